@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from rillmeter.operators.ranking import local_table
 from rillmeter.operators.sampling import sample_rows
-from rillmeter.operators.scoring import Scorer, euclidean, score_profiles
+from rillmeter.operators.scoring import Scorer, euclidean, nearest, score_profiles
 from rillmeter.schemas import FINAL_FEATURES, KEYS
 
 # Clusters and seeds of the training and the suitability study.
@@ -178,28 +179,53 @@ def pca_ratios(df: DataFrame, features: Sequence[str]) -> list[float]:
     return [float(x) for x in PCA(k=components, inputCol="vector", outputCol="pc").fit(vectors).explainedVariance]
 
 
+#: Independent fits submitted at the same time.
+PARALLEL_FITS = 8
+STUDY_METRICS = ("pca_variance_ratio", "inertia", "silhouette", "squared_silhouette")
+
+
 def cluster_suitability(
     df: DataFrame, features: Sequence[str] = FINAL_FEATURES, max_k: int = 8, seed: int = STUDY_SEED,
-    sample_size: int = SILHOUETTE_SAMPLE,
+    sample_size: int = SILHOUETTE_SAMPLE, metrics: Sequence[str] = STUDY_METRICS,
 ) -> DataFrame:
     """PCA ratios, inertia and both silhouettes for k = 2..max_k, long form ``(hemisphere, metric, k, value)``.
 
-    For the PCA rows ``k`` is the component number.
+    For the PCA rows ``k`` is the component number. The Euclidean silhouette is
+    taken over a sample, as it compares every pair; the squared one over all
+    rows. Fits of different k do not depend on each other and run side by side.
     """
-    out = []
+    spark = df.sparkSession
+    rows: list[tuple] = []
     for h in hemispheres_of(df):
         part = df.where(F.col("hemisphere") == h).select(*KEYS, *features).persist()
         try:
-            out += [(h, "pca_variance_ratio", i + 1, v) for i, v in enumerate(pca_ratios(part, features))]
+            if "pca_variance_ratio" in metrics:
+                rows += [(h, "pca_variance_ratio", i + 1, v) for i, v in enumerate(pca_ratios(part, features))]
+            if set(metrics) == {"pca_variance_ratio"}:
+                continue
             sample = sample_rows(part, KEYS, sample_size, seed)
-            for k in range(2, max_k + 1):
+
+            def study(k: int) -> tuple[list[tuple], list[list[float]]]:
                 model = best_kmeans(part, features, k, seed)
-                out += [
-                    (h, "inertia", k, inertia(part, model, features)),
-                    (h, "silhouette", k, silhouette(label_rows(sample, model, features), features)),
-                    (h, "squared_silhouette", k, squared_silhouette(label_rows(part, model, features), features)),
+                out = []
+                if "inertia" in metrics:
+                    out.append((h, "inertia", k, inertia(part, model, features)))
+                if "squared_silhouette" in metrics:
+                    out.append((h, "squared_silhouette", k, squared_silhouette(label_rows(part, model, features), features)))
+                return out, centroid_literals(model)
+
+            with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+                studied = list(pool.map(study, range(2, max_k + 1)))
+            rows += [row for out, _ in studied for row in out]
+            if "silhouette" in metrics:
+                labels = [
+                    F.struct(F.lit(k).alias("k"), nearest(F.array(*[euclidean(features, c) for c in centroids])).alias("label"))
+                    for k, (_, centroids) in enumerate(studied, start=2)
                 ]
+                wide = sample.select("hemisphere", *features, F.explode(F.array(*labels)).alias("fit"))
+                scored = silhouettes(wide.select("*", "fit.k", "fit.label"), features, ["hemisphere", "k"])
+                rows += [(r["hemisphere"], "silhouette", r["k"], r["silhouette"]) for r in scored.collect()]
         finally:
             part.unpersist()
-    data = {n: [r[i] for r in out] for i, n in enumerate(("hemisphere", "metric", "k", "value"))}
-    return local_table(df.sparkSession, data, "hemisphere STRING, metric STRING, k INT, value DOUBLE")
+    data = {n: [r[i] for r in rows] for i, n in enumerate(("hemisphere", "metric", "k", "value"))}
+    return local_table(spark, data, "hemisphere STRING, metric STRING, k INT, value DOUBLE")

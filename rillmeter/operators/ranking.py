@@ -37,10 +37,12 @@ def local_table(spark: SparkSession, columns: dict[str, list], ddl: str) -> Data
 
 def melt(df: DataFrame, ids: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Long form ``(ids..., column, value DOUBLE)`` of numeric columns, without NULLs."""
+    names = F.array(*[F.lit(c) for c in columns])
+    values = F.array(*[F.col(c).cast("double") for c in columns])
     return (
-        df.select(*ids, *[F.col(c).cast("double").alias(c) for c in columns])
-        .unpivot(list(ids), list(columns), "column", "value")
+        df.select(*ids, F.posexplode(values).alias("i", "value"))
         .where(F.col("value").isNotNull())
+        .select(*ids, F.get(names, F.col("i")).alias("column"), "value")
     )
 
 
@@ -75,11 +77,13 @@ class _Slice:
 
 
 def _group_counts(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> list[tuple[tuple, str, int]]:
-    counts = df.groupBy(*by).agg(*[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(columns)])
-    rows = counts.limit(MAX_SLICES // len(columns) + 1).collect()
-    if len(rows) * len(columns) > MAX_SLICES:
+    """Known values per group and column; a group without any still counts, as zero."""
+    arrays = F.array(*[F.col(c).isNotNull() for c in columns])
+    flags = df.select(*by, F.posexplode(arrays).alias("i", "known"))
+    rows = flags.groupBy(*by, "i").agg(F.count_if("known").alias("n")).limit(MAX_SLICES + 1).collect()
+    if len(rows) > MAX_SLICES:
         raise ValueError("too many groups for a global quantile; use percentile() per group")
-    return [(tuple(r[b] for b in by), c, r[f"n{i}"]) for r in rows for i, c in enumerate(columns)]
+    return [(tuple(r[b] for b in by), columns[r["i"]], r["n"]) for r in rows]
 
 
 def _type_of(df: DataFrame, column: str) -> str:

@@ -48,7 +48,11 @@ def fit_robust(
 
 
 def _likelihoods(cells: DataFrame, brackets: dict[tuple[str, str], tuple[float, float]]) -> dict:
-    """Log-likelihood of every candidate of every bracket, in one aggregate over the cells."""
+    """Log-likelihood of every candidate of every bracket, in one pass over the cells.
+
+    Each cell meets its candidates inside its task and is summed there, so the
+    shuffle carries one row per candidate.
+    """
     keys = list(brackets)
     table = local_table(
         cells.sparkSession,
@@ -60,28 +64,26 @@ def _likelihoods(cells: DataFrame, brackets: dict[tuple[str, str], tuple[float,
         },
         "hemisphere STRING, column STRING, low DOUBLE, step DOUBLE",
     )
-    candidates = [F.col("low") + j * F.col("step") for j in range(CANDIDATES)]
+    transformed = yeo_johnson(F.col("value"), F.col("low") + F.col("candidate") * F.col("step"))
     rows = (
         cells.join(F.broadcast(table), ["hemisphere", "column"])
-        .groupBy("hemisphere", "column")
+        .withColumn("candidate", F.explode(F.sequence(F.lit(0), F.lit(CANDIDATES - 1))))
+        .groupBy("hemisphere", "column", "candidate")
         .agg(
             F.count("value").alias("n"),
             F.sum(log_jacobian(F.col("value"))).alias("jacobian"),
-            *[F.var_pop(yeo_johnson(F.col("value"), lam)).alias(f"v{j}") for j, lam in enumerate(candidates)],
+            F.var_pop(transformed).alias("variance"),
         )
         .collect()
     )
-    out = {}
+    out = {key: [-math.inf] * CANDIDATES for key in brackets}
     for r in rows:
-        low, high = brackets[r["hemisphere"], r["column"]]
-        step = (high - low) / (CANDIDATES - 1)
-        scores = []
-        for j in range(CANDIDATES):
-            v = r[f"v{j}"]
-            usable = v is not None and math.isfinite(v) and v > 0
-            fit = -r["n"] / 2 * math.log(v) if usable else -math.inf
-            scores.append(fit + (low + j * step - 1) * r["jacobian"] if usable else -math.inf)
-        out[r["hemisphere"], r["column"]] = scores
+        key, j, v = (r["hemisphere"], r["column"]), r["candidate"], r["variance"]
+        if v is None or not math.isfinite(v) or v <= 0:
+            continue
+        low, high = brackets[key]
+        lam = low + j * (high - low) / (CANDIDATES - 1)
+        out[key][j] = -r["n"] / 2 * math.log(v) + (lam - 1) * r["jacobian"]
     return out
 
 
@@ -89,7 +91,8 @@ def fit_lambdas(features: DataFrame, columns: Sequence[str] = POWER_COLUMNS) ->
     """Maximum-likelihood lambda per hemisphere and column.
 
     Every pass scores 17 candidates for all brackets at once; a bracket whose
-    best candidate lies at its end moves outwards, else it shrinks eightfold.
+    best candidate lies at its end moves outwards and doubles, else it shrinks
+    eightfold.
     """
     cells = melt(features, ["hemisphere"], columns)
     groups = cells.select("hemisphere", "column").distinct().collect()
@@ -104,8 +107,8 @@ def fit_lambdas(features: DataFrame, columns: Sequence[str] = POWER_COLUMNS) ->
             if not math.isfinite(scores[best]):
                 found[key] = 1.0
             elif best in (0, CANDIDATES - 1) and max(abs(low), abs(high)) < LARGEST_LAMBDA:
-                width = high - low
-                following[key] = (low - width, low + step) if best == 0 else (high - step, high + width)
+                reach = 2 * (high - low)
+                following[key] = (low - reach, low + step) if best == 0 else (high - step, high + reach)
             elif best in (0, CANDIDATES - 1):
                 found[key] = low + best * step
             elif step > FINE_STEP:
