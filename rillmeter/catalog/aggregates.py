@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from rillmeter.catalog import tables as t
 from rillmeter.catalog.registry import query
 from rillmeter.catalog.sql import CORRELATION, long_of, r, with_tables
+from rillmeter.functions.expressions import array_of
 from rillmeter.operators import profile as pr
 from rillmeter.operators.features import correlation_of
 from rillmeter.operators.ranking import quantile_table
@@ -151,8 +152,8 @@ def null_sum(spark, sf_dir):
     from rillmeter.sources.layout import day_columns
 
     matrix = usage_matrix(spark, sf_dir)
-    missing = F.array_size(F.filter(F.array(*day_columns(matrix.columns)), lambda x: x.isNull()))
-    return matrix.groupBy("hemisphere").agg(F.sum(missing).alias("null_cells"))
+    cells = matrix.select("hemisphere", F.explode(array_of(day_columns(matrix.columns), "FLOAT")).alias("liters"))
+    return cells.groupBy("hemisphere").agg(F.count_if(F.col("liters").isNull()).alias("null_cells"))
 
 
 @query(

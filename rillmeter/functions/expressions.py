@@ -73,3 +73,13 @@ def rounded(x: Column, digits: int = 6) -> Column:
     """Round for publication; negative zero becomes zero."""
     r = F.round(x, digits)
     return F.when(r == 0, F.lit(0.0)).otherwise(r)
+
+
+def array_of(columns: Iterable[str], element: str = "DOUBLE") -> Column:
+    """The columns as one array. Written as SQL text: wide tables make hundreds of column objects costly."""
+    return F.expr(f"CAST(array({', '.join(f'`{c}`' for c in columns)}) AS ARRAY<{element}>)")
+
+
+def names_of(columns: Iterable[str]) -> Column:
+    """The column names as a literal array."""
+    return F.expr("array(" + ", ".join(f"'{c}'" for c in columns) + ")")

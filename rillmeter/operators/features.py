@@ -1,7 +1,9 @@
-"""The ten behavioural features, from one grouped aggregate over daily usage."""
+"""The ten behavioural features, from one pass over daily usage."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,37 +43,106 @@ def correlation_of(covariance: Column, std_x: Column, std_y: Column) -> Column:
     return F.try_divide(covariance, std_x * std_y)
 
 
-def usage_statistics(usage: DataFrame, flags: DataFrame, flag_rows: int | None = None) -> DataFrame:
-    """All per-household moments, masked means and percentiles in one exchange.
+def household_years(usage: DataFrame) -> DataFrame:
+    """Gather each household's days into two parallel arrays, in the one shuffle the features need.
 
-    A group is one household's year, so the exact percentiles hold at most 366
-    values each.
+    Needs one row per household and day (see :func:`daily_usage`), so an array
+    holds a year at most. Partial lists would not shrink the data, hence rows
+    are moved first and gathered where they land.
     """
-    liters = nan_to_null(F.col("liters").cast("double"))
-    quantiles = F.percentile("liters", F.array(F.lit(0.25), F.lit(0.95)))
+    days = F.collect_list(F.struct("day_index", F.col("liters").cast("double").alias("liters")))
     return (
-        with_flags(usage, flags, flag_rows)
-        .withColumn("liters", liters)
+        usage.repartition(*[F.col(k) for k in KEYS])
         .groupBy(*KEYS)
-        .agg(
-            F.count("liters").alias("n_days"),
-            F.avg("liters").alias("mean_usage"),
-            F.stddev_pop("liters").alias("std_usage"),
-            masked_mean(F.col("liters"), F.col("is_dry")).alias("dry_mean"),
-            masked_mean(F.col("liters"), ~F.col("is_dry")).alias("wet_mean"),
-            masked_mean(F.col("liters"), F.col("is_weekend")).alias("weekend_mean"),
-            masked_mean(F.col("liters"), ~F.col("is_weekend")).alias("weekday_mean"),
-            masked_mean(F.col("liters"), F.col("is_summer")).alias("summer_mean"),
-            masked_mean(F.col("liters"), ~F.col("is_summer")).alias("winter_mean"),
-            masked_mean(F.col("liters"), F.col("is_drought")).alias("drought_mean"),
-            F.bool_or("any_drought").alias("any_drought"),
-            F.covar_pop("liters", "temp").alias("temp_covariance"),
-            F.stddev_pop(F.when(F.col("liters").isNotNull(), F.col("temp"))).alias("temp_std"),
-            quantiles.alias("quantiles"),
+        .agg(days.alias("days"))
+        .select(*KEYS, F.col("days.day_index").alias("day_index"), F.col("days.liters").alias("liters"))
+    )
+
+
+def interpolated(ordered: Column, p: float) -> Column:
+    """Linearly interpolated quantile of a sorted array; NULL if it is empty."""
+    last = F.size(ordered) - 1
+    x = last * F.lit(p)
+    low = F.floor(x).cast("int")
+    below, above = F.get(ordered, low), F.get(ordered, F.least(low + 1, last))
+    return F.when(last >= 0, below + (above - below) * (x - low))
+
+
+_FLAGS = ("is_dry", "is_weekend", "is_summer", "is_drought")
+
+
+def flag_arrays(flags: DataFrame) -> DataFrame:
+    """One row per hemisphere: temperature and flags of day ``i`` at position ``i``, NULL without weather."""
+    names = ("temp", *_FLAGS)
+    by_day = F.map_from_entries(F.collect_list(F.struct(F.col("day_index"), F.struct(*names))))
+    year = F.transform(F.sequence(F.lit(0), F.col("last_day")), lambda d: F.col("by_day")[d])
+    return (
+        flags.groupBy("hemisphere")
+        .agg(by_day.alias("by_day"), F.max("day_index").alias("last_day"), F.bool_or("any_drought").alias("any_drought"))
+        .select("hemisphere", "any_drought", year.alias("year"))
+        .select("hemisphere", "any_drought", *[F.col("year")[n].alias(n) for n in names])
+    )
+
+
+def known_only(ordered: Column) -> Column:
+    """Known values of a sorted array, where NULLs come first and NaN last; a complete array is not touched."""
+    complete = F.get(ordered, F.lit(0)).isNotNull() & ~F.isnan(F.get(ordered, F.size(ordered) - 1))
+    return F.when(complete, ordered).otherwise(F.filter(ordered, lambda x: x.isNotNull() & ~F.isnan(x)))
+
+
+def year_statistics(
+    years: DataFrame, flags: DataFrame, keys: Sequence[str] = KEYS, flag_rows: int | None = None
+) -> DataFrame:
+    """All per-household moments, masked means and percentiles.
+
+    ``years`` has one row per household with parallel arrays ``day_index`` and
+    ``liters``. Percentiles are read off the sorted array in place. The days are
+    unrolled inside the task and summed right there by a hash aggregate; a day
+    finds its flags by position, without a join per reading.
+    """
+    ordered = (
+        years.withColumn("ordered", F.sort_array("liters"))
+        .withColumn("ordered", known_only(F.col("ordered")))
+        .select(
+            *keys, "day_index", "liters",
+            interpolated(F.col("ordered"), 0.25).alias("p25"),
+            interpolated(F.col("ordered"), 0.95).alias("p95"),
+        )
+    )
+    day = F.get("day_index", F.col("i"))
+    cells = (
+        ordered.join(small_side(flag_arrays(flags), known_rows=flag_rows), "hemisphere")
+        .select("*", F.posexplode_outer("liters").alias("i", "value"))
+        .select(
+            *keys, "p25", "p95", "any_drought",
+            nan_to_null(F.col("value")).alias("liters"),
+            *[F.get(n, day).alias(n) for n in ("temp", *_FLAGS)],
         )
-        .withColumns({"p25": F.col("quantiles")[0], "p95": F.col("quantiles")[1]})
-        .drop("quantiles")
+        .where(F.col("is_dry").isNotNull())
     )
+    return cells.groupBy(*keys).agg(
+        F.count("liters").alias("n_days"),
+        F.avg("liters").alias("mean_usage"),
+        F.stddev_pop("liters").alias("std_usage"),
+        masked_mean(F.col("liters"), F.col("is_dry")).alias("dry_mean"),
+        masked_mean(F.col("liters"), ~F.col("is_dry")).alias("wet_mean"),
+        masked_mean(F.col("liters"), F.col("is_weekend")).alias("weekend_mean"),
+        masked_mean(F.col("liters"), ~F.col("is_weekend")).alias("weekday_mean"),
+        masked_mean(F.col("liters"), F.col("is_summer")).alias("summer_mean"),
+        masked_mean(F.col("liters"), ~F.col("is_summer")).alias("winter_mean"),
+        masked_mean(F.col("liters"), F.col("is_drought")).alias("drought_mean"),
+        F.covar_pop("liters", "temp").alias("temp_covariance"),
+        F.stddev_pop(F.when(F.col("liters").isNotNull(), F.col("temp"))).alias("temp_std"),
+        # Constant within a household.
+        F.first("any_drought").alias("any_drought"),
+        F.first("p25").alias("p25"),
+        F.first("p95").alias("p95"),
+    )
+
+
+def usage_statistics(usage: DataFrame, flags: DataFrame, flag_rows: int | None = None) -> DataFrame:
+    """:func:`year_statistics` of long usage; readings cross the network once."""
+    return year_statistics(household_years(usage), flags, KEYS, flag_rows)
 
 
 def feature_columns() -> dict[str, Column]:
@@ -112,8 +183,16 @@ def extract_features(
     return features_from_statistics(household, usage_statistics(usage, flags, flag_rows))
 
 
-def features_of(inputs: Inputs) -> DataFrame:
-    """Fit the day flags on ``inputs`` and transform the same inputs."""
-    return extract_features(
-        inputs.household, inputs.usage, env_flags(inputs.environment), inputs.environment_rows
+def features_of(inputs: Inputs, flags: DataFrame | None = None) -> DataFrame:
+    """The ten features of ``inputs``; day flags are learned from them unless given.
+
+    If the inputs still carry the wide usage table, households are summed up
+    where their row is read and only the sums meet the household keys.
+    """
+    flags = env_flags(inputs.environment) if flags is None else flags
+    if inputs.matrix is None:
+        return extract_features(inputs.household, inputs.usage, flags, inputs.environment_rows)
+    statistics = year_statistics(inputs.matrix, flags, ("hemisphere", "row_number"), inputs.environment_rows)
+    return features_from_statistics(
+        inputs.household, statistics.join(inputs.positions, ["hemisphere", "row_number"])
     )

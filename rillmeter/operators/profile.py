@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rillmeter.functions.calendar import is_weekend
+from rillmeter.functions.expressions import names_of
 from rillmeter.operators.ranking import DIRECT_ROWS, melt, quantile_table
 from rillmeter.schemas import KEYS
 from rillmeter.session import pin_small
@@ -36,17 +37,13 @@ def _is_numeric(field: T.StructField) -> bool:
 
 def _cells(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """One row per cell: numbers in ``value``, everything else in ``text``; NULLs kept."""
-    fields = {f.name: f for f in df.schema.fields}
-    no_value, no_text = F.lit(None).cast("double"), F.lit(None).cast("string")
-    cells = [
-        F.struct(
-            F.lit(c).alias("column"),
-            (F.col(c).cast("double") if _is_numeric(fields[c]) else no_value).alias("value"),
-            (no_text if _is_numeric(fields[c]) else F.col(c).cast("string")).alias("text"),
-        )
-        for c in columns
-    ]
-    return df.select(*by, F.explode(F.array(*cells)).alias("cell")).select(*by, "cell.*")
+    numeric = {f.name for f in df.schema.fields if _is_numeric(f)}
+    values = ", ".join(f"CAST(`{c}` AS DOUBLE)" if c in numeric else "CAST(NULL AS DOUBLE)" for c in columns)
+    texts = ", ".join("CAST(NULL AS STRING)" if c in numeric else f"CAST(`{c}` AS STRING)" for c in columns)
+    cells = df.select(*by, F.posexplode(F.expr(f"array({values})")).alias("i", "value"), F.expr(f"array({texts})").alias("texts"))
+    return cells.select(
+        *by, F.get(names_of(columns), F.col("i")).alias("column"), "value", F.get("texts", F.col("i")).alias("text")
+    )
 
 
 def profile(
@@ -76,7 +73,7 @@ def profile(
     median = quantile_table(df, by, numeric, [0.5], direct_rows).select(
         *names, F.col("quantiles")[0].alias("median")
     )
-    types = F.create_map(*[F.lit(x) for c in columns for x in (c, df.schema[c].dataType.simpleString())])
+    types = F.map_from_arrays(names_of(columns), names_of(df.schema[c].dataType.simpleString() for c in columns))
     return (
         distinct.join(moments, names)
         .join(median, names, "left")

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rillmeter.functions.expressions import array_of, names_of
+
 #: A slice with at most this many rows is sorted inside one task.
 DIRECT_ROWS = 250_000
 #: Splitters proposed per pass, and the rank error (1/accuracy) of the sketch.
@@ -37,12 +39,10 @@ def local_table(spark: SparkSession, columns: dict[str, list], ddl: str) -> Data
 
 def melt(df: DataFrame, ids: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Long form ``(ids..., column, value DOUBLE)`` of numeric columns, without NULLs."""
-    names = F.array(*[F.lit(c) for c in columns])
-    values = F.array(*[F.col(c).cast("double") for c in columns])
     return (
-        df.select(*ids, F.posexplode(values).alias("i", "value"))
+        df.select(*ids, F.posexplode(array_of(columns)).alias("i", "value"))
         .where(F.col("value").isNotNull())
-        .select(*ids, F.get(names, F.col("i")).alias("column"), "value")
+        .select(*ids, F.get(names_of(columns), F.col("i")).alias("column"), "value")
     )
 
 
@@ -78,9 +78,8 @@ class _Slice:
 
 def _group_counts(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> list[tuple[tuple, str, int]]:
     """Known values per group and column; a group without any still counts, as zero."""
-    arrays = F.array(*[F.col(c).isNotNull() for c in columns])
-    flags = df.select(*by, F.posexplode(arrays).alias("i", "known"))
-    rows = flags.groupBy(*by, "i").agg(F.count_if("known").alias("n")).limit(MAX_SLICES + 1).collect()
+    cells = df.select(*by, F.posexplode(array_of(columns)).alias("i", "value"))
+    rows = cells.groupBy(*by, "i").agg(F.count("value").alias("n")).limit(MAX_SLICES + 1).collect()
     if len(rows) > MAX_SLICES:
         raise ValueError("too many groups for a global quantile; use percentile() per group")
     return [(tuple(r[b] for b in by), columns[r["i"]], r["n"]) for r in rows]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rillmeter.functions.calendar import env_flags
 from rillmeter.functions.expressions import publish_float
-from rillmeter.operators.features import extract_features
+from rillmeter.operators.features import features_of
 from rillmeter.operators.quality import Expectations, check_inputs, require_clean
 from rillmeter.operators.scaling import fit_scaler, scale
 from rillmeter.operators.selection import keep_columns, reduce_collinear, variance_filter, variance_table
@@ -33,9 +33,7 @@ class Engineered:
 def engineer(inputs: Inputs) -> Engineered:
     """Extract once, store the unscaled features, then fit and apply the scalers on the stored table."""
     flags = env_flags(inputs.environment)
-    unscaled = materialise(
-        extract_features(inputs.household, inputs.usage, flags, inputs.environment_rows), "unscaled"
-    )
+    unscaled = materialise(features_of(inputs, flags), "unscaled")
     params = fit_scaler(unscaled)
     scaled = scale(unscaled, params)
     kept = variance_filter(scaled, SCALED_ORDER)

@@ -89,9 +89,15 @@ class Inputs:
     ``usage`` holds one row per household and day, so a household owns at most
     a year of rows. ``environment_rows`` is an upper bound of the environment
     table known to whoever built it; ``None`` means nobody has counted yet.
+
+    ``matrix`` and ``positions`` are set when usage came as a wide table: the
+    year of each row as arrays ``day_index`` and ``liters``, and the household
+    behind each ``row_number``. They spare the features a shuffle of ``usage``.
     """
 
     household: DataFrame
     environment: DataFrame
     usage: DataFrame
     environment_rows: int | None = None
+    matrix: DataFrame | None = None
+    positions: DataFrame | None = None

@@ -12,20 +12,30 @@ from pyspark.sql import functions as F
 DAY_TABLE_LIMIT = 7_320
 
 
+#: Settings the package is tuned for; a cluster session should carry them too. The
+#: last one lets a task gather this many household years before it sorts instead.
+RECOMMENDED_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "20000",
+}
+
+
 def local_session(cores: int | str = "*", app: str = "rillmeter", memory: str = "8g") -> SparkSession:
     """Session for tests and benchmarks; a cluster job brings its own session."""
     width = "8" if cores == "*" else str(cores)
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", width)
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    for key, value in RECOMMENDED_CONF.items():
+        builder = builder.config(key, value)
+    return builder.getOrCreate()
 
 
 def checkpoint_root(spark: SparkSession) -> str:

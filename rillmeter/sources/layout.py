@@ -12,12 +12,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rillmeter.functions.expressions import clip
+from rillmeter.functions.expressions import array_of, clip
 from rillmeter.schemas import ENVIRONMENT_SCHEMA, HEMISPHERES, HOUSEHOLD_SCHEMA, KEYS, Inputs
 from rillmeter.session import pin_small
 
@@ -93,10 +94,14 @@ def read_usage_matrix(spark: SparkSession, base_dir: str, hemisphere: str, numbe
     """Wide usage Parquet with every day column as float32."""
     df = spark.read.parquet(f"{base_dir}/{hemisphere}_water_usage.parquet")
     days = day_columns(df.columns)
-    others = [c for c in df.columns if c not in days]
+    other_types = {c: F.col(c).cast("float") for c, kind in df.dtypes if c in days and kind != "float"}
     if numbered:
-        df, others = _numbered_parquet(df), [*others, "row_number"]
-    return df.select(F.lit(hemisphere).alias("hemisphere"), *others, *[F.col(c).cast("float").alias(c) for c in days])
+        df = _numbered_parquet(df)
+    return df.withColumns({"hemisphere": F.lit(hemisphere)} | other_types)
+
+
+def _day_numbers(days: Sequence[str]) -> Column:
+    return F.expr("array(" + ", ".join(DAY_COLUMN.match(c).group(1) for c in days) + ")")
 
 
 def unpivot_usage(matrix: DataFrame) -> DataFrame:
@@ -106,17 +111,19 @@ def unpivot_usage(matrix: DataFrame) -> DataFrame:
     """
     days = day_columns(matrix.columns)
     others = [c for c in matrix.columns if c not in days]
-    long = matrix.select(*others, F.posexplode(F.array(*days)).alias("position", "liters"))
-    numbers = [int(DAY_COLUMN.match(c).group(1)) for c in days]
-    if numbers == list(range(len(days))):
-        day = F.col("position")
-    else:
-        day = F.get(F.array(*[F.lit(n) for n in numbers]), F.col("position"))
-    return long.withColumn("day_index", day.cast("int")).where(F.col("liters").isNotNull()).select(
-        *others, "day_index", "liters"
+    long = matrix.select(*others, F.posexplode(array_of(days, "FLOAT")).alias("position", "liters"))
+    return long.where(F.col("liters").isNotNull()).select(
+        *others, F.get(_day_numbers(days), F.col("position")).alias("day_index"), "liters"
     )
 
 
+def matrix_years(matrix: DataFrame) -> DataFrame:
+    """Wide rows as parallel arrays ``day_index`` and ``liters``, other columns kept; no shuffle."""
+    days = day_columns(matrix.columns)
+    others = [c for c in matrix.columns if c not in days]
+    return matrix.select(*others, _day_numbers(days).alias("day_index"), array_of(days).alias("liters"))
+
+
 def align_by_position(household: DataFrame, matrix: DataFrame) -> DataFrame:
     """Give each row of a numbered usage matrix the key of the household in the same position."""
     return matrix.join(household.select("hemisphere", "row_number", "household_id"), ["hemisphere", "row_number"])
@@ -127,22 +134,25 @@ def load_inputs(spark: SparkSession, base_dir: str, hemispheres: Sequence[str] =
     parts = []
     for h in hemispheres:
         household = read_household(spark, base_dir, h, numbered=True)
-        usage = unpivot_usage(align_by_position(household, read_usage_matrix(spark, base_dir, h, numbered=True)))
+        matrix = read_usage_matrix(spark, base_dir, h, numbered=True)
+        usage = unpivot_usage(align_by_position(household, matrix))
         parts.append(
-            (household.drop("row_number"), read_environment(spark, base_dir, h), usage.select(*KEYS, "day_index", "liters"))
+            (
+                household.drop("row_number"),
+                read_environment(spark, base_dir, h),
+                usage.select(*KEYS, "day_index", "liters"),
+                matrix_years(matrix).select("hemisphere", "row_number", "day_index", "liters"),
+                household.select(*KEYS, "row_number"),
+            )
         )
-    household, environment, usage = parts[0]
-    for part in parts[1:]:
-        household, environment, usage = (
-            a.unionByName(b) for a, b in zip((household, environment, usage), part)
-        )
-    return Inputs(household, environment, usage)
+    household, environment, usage, matrix, positions = (reduce(DataFrame.unionByName, tables) for tables in zip(*parts))
+    return Inputs(household, environment, usage, matrix=matrix, positions=positions)
 
 
 def usage_matrix(usage: DataFrame, days: int = 365) -> DataFrame:
     """Long to wide: one row per household, ``column_0`` onwards; unobserved days are NULL."""
-    wide = usage.groupBy(*KEYS).pivot("day_index", list(range(days))).agg(F.first("liters"))
-    return wide.withColumnsRenamed({str(d): f"column_{d}" for d in range(days)})
+    wide = usage.groupBy(*KEYS).pivot("day_index", list(range(days))).agg(F.first(F.col("liters").cast("float")))
+    return wide.toDF(*KEYS, *[f"column_{d}" for d in range(days)])
 
 
 def write_positional(inputs: Inputs, out_dir: str, hemispheres: Sequence[str] = HEMISPHERES, days: int = 365) -> None:
@@ -161,10 +171,7 @@ def write_positional(inputs: Inputs, out_dir: str, hemispheres: Sequence[str] =
             "overwrite"
         ).csv(f"{out_dir}/{h}_environment.csv", header=True)
         matrix = household.select(*KEYS).join(usage_matrix(inputs.usage.where(own), days), list(KEYS), "left")
-        names = [f"column_{d}" for d in range(days)]
-        matrix.orderBy("household_id").select(*[F.col(c).cast("float").alias(c) for c in names]).write.mode(
-            "overwrite"
-        ).parquet(f"{out_dir}/{h}_water_usage.parquet")
+        matrix.orderBy("household_id").drop(*KEYS).write.mode("overwrite").parquet(f"{out_dir}/{h}_water_usage.parquet")
 
 
 def write_keyed(df: DataFrame, path: str) -> None:
