@@ -107,16 +107,22 @@ def gamma_cdf(shape: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def gamma_ppf(p: np.ndarray, shape: np.ndarray) -> np.ndarray:
-    """Inverse of :func:`gamma_cdf` by bisection on a bracket grown to hold ``p``."""
-    low = np.zeros_like(p)
-    high = shape + 10.0 * np.sqrt(shape) + 10.0
+    """Inverse of :func:`gamma_cdf` by bisection.
+
+    The leading term of the series exceeds the distribution function, so its
+    inverse is a lower bound; the upper bound is doubled until it holds ``p``.
+    Halving is geometric while the bounds are far apart.
+    """
+    log_gamma = np.vectorize(math.lgamma)(shape + 1.0)
+    low = np.exp(np.maximum((np.log(p) + log_gamma) / shape, -690.0))
+    high = np.maximum(shape + 10.0 * np.sqrt(shape) + 10.0, 2.0 * low)
     for _ in range(60):
         short = gamma_cdf(shape, high) < p
         if not short.any():
             break
         high = np.where(short, high * 2, high)
-    for _ in range(100):
-        middle = (low + high) / 2
+    for _ in range(120):
+        middle = np.where(high > 2 * low, np.sqrt(low) * np.sqrt(high), (low + high) / 2)
         below = gamma_cdf(shape, middle) < p
         low, high = np.where(below, middle, low), np.where(below, high, middle)
         if np.all(high - low <= 1e-13 * high):

@@ -5,28 +5,37 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations_with_replacement
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillmeter.functions.expressions import array_of, names_of
 from rillmeter.operators.ranking import average_ranks
 
 
-def pearson_of(a: str, b: str) -> Column:
-    """Pearson over the rows where both are known; NULL if either is constant."""
-    both = F.col(a).isNotNull() & F.col(b).isNotNull()
-    x, y = F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double"))
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-
-
 def pearson(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ("hemisphere",)) -> DataFrame:
-    """All pairs in one aggregate; both triangles are returned."""
-    pairs = list(combinations_with_replacement(columns, 2))
-    wide = df.groupBy(*by).agg(*[pearson_of(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    cells = []
-    for i, (a, b) in enumerate(pairs):
-        for x, y in dict.fromkeys([(a, b), (b, a)]):
-            cells.append(F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.col(f"r{i}").alias("r")))
-    return wide.select(*by, F.explode(F.array(*cells)).alias("cell")).select(*by, "cell.*")
+    """All pairs over the rows where both are known; both triangles are returned.
+
+    Each row meets its pairs inside its task and is summed there. A pair with a
+    constant side gives NULL, where ``corr`` would raise a division error.
+    """
+    pairs = list(combinations_with_replacement(range(len(columns)), 2))
+    sides = F.expr("array(" + ", ".join(f"struct({i} AS a, {j} AS b)" for i, j in pairs) + ")")
+    x, y = F.get("values", F.col("pair.a")), F.get("values", F.col("pair.b"))
+    known = (
+        df.select(*by, array_of(columns).alias("values"), F.explode(sides).alias("pair"))
+        .select(*by, "pair.a", "pair.b", x.alias("x"), y.alias("y"))
+        .withColumn("both", F.col("x").isNotNull() & F.col("y").isNotNull())
+    )
+    x, y = F.when(F.col("both"), F.col("x")), F.when(F.col("both"), F.col("y"))
+    upper = known.groupBy(*by, "a", "b").agg(
+        F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias("r")
+    )
+    lower = F.when(F.col("a") != F.col("b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = F.array_compact(F.array(F.struct("a", "b"), lower))
+    names = names_of(columns)
+    return upper.select(*by, "r", F.explode(both).alias("pair")).select(
+        *by, F.get(names, F.col("pair.a")).alias("a"), F.get(names, F.col("pair.b")).alias("b"), "r"
+    )
 
 
 def rank_columns(

@@ -94,7 +94,7 @@ def check_household(household: DataFrame, expected: Expectations = Expectations(
     checks = [
         _check("Q3_occupancy_min", "error", F.col("occ_min"), occ_text, F.col("occ_bad")),
         _check("Q3_occupancy_max", "error", F.col("occ_max"), occ_text, F.col("occ_bad")),
-        _check("Q10_unique_ids", "error", F.col("n_ids"), "one per row", F.col("n") - F.col("n_ids") - F.col("empty_ids")),
+        _check("Q10_unique_ids", "error", F.col("n_ids"), "one per row", F.col("n") - F.col("n_ids")),
         _check("Q10_non_empty_ids", "error", F.col("empty_ids"), "0", F.col("empty_ids")),
         _check("Q11_occupancy_mean", "warn", F.col("occ_mean"), "within 15%", off_target(F.col("occ_mean"), occ_target)),
         _check("Q12_efficiency_min", "error", F.col("eff_min"), eff_text, F.col("eff_bad")),

@@ -95,9 +95,10 @@ def fit_lambdas(features: DataFrame, columns: Sequence[str] = POWER_COLUMNS) ->
     eightfold.
     """
     cells = melt(features, ["hemisphere"], columns)
-    groups = cells.select("hemisphere", "column").distinct().collect()
-    brackets = {(r["hemisphere"], r["column"]): START for r in groups}
-    found: dict = {}
+    spans = cells.groupBy("hemisphere", "column").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).collect()
+    # A constant column stays as it is, which is lambda one.
+    found: dict = {(r["hemisphere"], r["column"]): 1.0 for r in spans if r["lo"] == r["hi"]}
+    brackets = {(r["hemisphere"], r["column"]): START for r in spans if r["lo"] != r["hi"]}
     while brackets:
         scored = _likelihoods(cells, brackets)
         following = {}
