@@ -224,7 +224,7 @@ _gate(
         _check("Q14_usage_shape", "error", "sum(cells)", "one cell per household and day", "sum(cells) - sum(days)", _PER_HOUSEHOLD),
         _check("Q14_missing", "error", "count(*) - count(liters)", "0", "count(*) - count(liters)", "usage"),
         _check("Q14_not_finite", "error", "count(*) FILTER (WHERE NOT isfinite(liters))", "0", "count(*) FILTER (WHERE NOT isfinite(liters))", "usage"),
-        _check("Q14_floor", "error", "min(liters)", ">= occupancy x intake", f"count(*) FILTER (WHERE liters < occupancy_count * {_both('intake_liters')} - 1e-5)", _FLOOR),
+        _check("Q14_floor", "error", "min(liters)", ">= occupancy x intake", f"count(DISTINCT household_id) FILTER (WHERE liters < occupancy_count * {_both('intake_liters')} - 1e-5)", _FLOOR),
     ),
     _usage,
 )

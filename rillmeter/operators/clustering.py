@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillmeter.operators.ranking import local_table
@@ -25,6 +25,9 @@ STUDY_SEED = 42
 SILHOUETTE_SAMPLE = 2_000
 MAX_PCA_COMPONENTS = 15
 
+#: Independent fits submitted at the same time.
+PARALLEL_FITS = 8
+
 # Archetype names.
 LOW_VOLUME = "Conservationists (Low Volume)"
 HIGH_VOLUME = "Heavy Users (High Volume)"
@@ -71,10 +74,11 @@ def hemispheres_of(df: DataFrame) -> list[str]:
 def train_models(
     df: DataFrame, features: Sequence[str] = FINAL_FEATURES, k: int = CLUSTERS, seed: int = TRAINING_SEED, n_starts: int = 1
 ) -> dict[str, KMeansModel]:
-    """One model per hemisphere."""
-    return {
-        h: best_kmeans(df.where(F.col("hemisphere") == h), features, k, seed, n_starts) for h in hemispheres_of(df)
-    }
+    """One model per hemisphere, fitted side by side."""
+    names = hemispheres_of(df)
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        models = pool.map(lambda h: best_kmeans(df.where(F.col("hemisphere") == h), features, k, seed, n_starts), names)
+        return dict(zip(names, models))
 
 
 def centroid_table(spark: SparkSession, models: dict[str, KMeansModel]) -> DataFrame:
@@ -88,26 +92,20 @@ def name_archetypes(centroids: DataFrame) -> DataFrame:
 
     Makes cluster meaning independent of the numbering k-means happens to give.
     """
-    usage = F.col("centroid")[0]
-    landscape = F.element_at("centroid", -1)
-    ends = centroids.groupBy("hemisphere").agg(
-        F.min_by("cluster_id", F.struct(usage, F.col("cluster_id"))).alias("lowest"),
-        F.max_by("cluster_id", F.struct(usage, F.col("cluster_id"))).alias("highest"),
-    )
-    placed = centroids.join(ends, "hemisphere").withColumn(
-        "between", (F.col("cluster_id") != F.col("lowest")) & (F.col("cluster_id") != F.col("highest"))
-    )
-    outdoor = placed.where("between").groupBy("hemisphere").agg(
-        F.max_by("cluster_id", F.struct(landscape, F.col("cluster_id"))).alias("outdoor")
-    )
+    own = Window.partitionBy("hemisphere")
+    cluster, usage, landscape = F.col("cluster_id"), F.col("centroid")[0], F.element_at("centroid", -1)
+    between = (cluster != F.col("lowest")) & (cluster != F.col("highest"))
     name = (
-        F.when(F.col("cluster_id") == F.col("lowest"), LOW_VOLUME)
-        .when(F.col("cluster_id") == F.col("highest"), HIGH_VOLUME)
-        .when(F.col("cluster_id") == F.col("outdoor"), OUTDOOR)
+        F.when(cluster == F.col("lowest"), LOW_VOLUME)
+        .when(cluster == F.col("highest"), HIGH_VOLUME)
+        .when(cluster == F.col("outdoor"), OUTDOOR)
         .otherwise(STANDARD)
     )
-    return placed.join(outdoor, "hemisphere", "left").select(
-        "hemisphere", "cluster_id", "centroid", name.alias("archetype")
+    return (
+        centroids.withColumn("lowest", F.min_by(cluster, F.struct(usage, cluster)).over(own))
+        .withColumn("highest", F.max_by(cluster, F.struct(usage, cluster)).over(own))
+        .withColumn("outdoor", F.max_by(cluster, F.when(between, F.struct(landscape, cluster))).over(own))
+        .select("hemisphere", "cluster_id", "centroid", name.alias("archetype"))
     )
 
 
@@ -179,8 +177,6 @@ def pca_ratios(df: DataFrame, features: Sequence[str]) -> list[float]:
     return [float(x) for x in PCA(k=components, inputCol="vector", outputCol="pc").fit(vectors).explainedVariance]
 
 
-#: Independent fits submitted at the same time.
-PARALLEL_FITS = 8
 STUDY_METRICS = ("pca_variance_ratio", "inertia", "silhouette", "squared_silhouette")
 
 

@@ -11,7 +11,7 @@ from rillmeter.functions.calendar import env_flags
 from rillmeter.functions.expressions import clip, guarded_ratio, nan_to, nan_to_null
 from rillmeter.functions.landscape import landscape_coefficient
 from rillmeter.schemas import FEATURES, KEYS, Inputs
-from rillmeter.session import small_side
+from rillmeter.session import DAY_TABLE_LIMIT, small_side
 
 # Bounds of the clipped features.
 MIN_TEMP_CORRELATION = -0.5
@@ -90,6 +90,23 @@ def known_only(ordered: Column) -> Column:
     return F.when(complete, ordered).otherwise(F.filter(ordered, lambda x: x.isNotNull() & ~F.isnan(x)))
 
 
+def _flagged_cells(years: DataFrame, flags: DataFrame, carried: Sequence[str], flag_rows: int | None) -> DataFrame:
+    """One row per reading with the flags of its day; days without weather drop out."""
+    wanted = [*carried, "any_drought", "liters", "temp", *_FLAGS]
+    day, liters = F.get("day_index", F.col("i")).alias("day"), nan_to_null(F.col("value")).alias("liters")
+    rows = flags.limit(DAY_TABLE_LIMIT + 1).count() if flag_rows is None else flag_rows
+    if rows > DAY_TABLE_LIMIT:
+        cells = years.select("*", F.posexplode_outer("liters").alias("i", "value")).select(*dict.fromkeys([*carried, "hemisphere"]), day, liters)
+        return cells.join(flags.withColumnRenamed("day_index", "day"), ["hemisphere", "day"]).select(*wanted)
+    return (
+        years.join(F.broadcast(flag_arrays(flags)), "hemisphere")
+        .select("*", F.posexplode_outer("liters").alias("i", "value"))
+        .select(*carried, "any_drought", liters, *[F.get(n, F.get("day_index", F.col("i"))).alias(n) for n in ("temp", *_FLAGS)])
+        .where(F.col("is_dry").isNotNull())
+        .select(*wanted)
+    )
+
+
 def year_statistics(
     years: DataFrame, flags: DataFrame, keys: Sequence[str] = KEYS, flag_rows: int | None = None
 ) -> DataFrame:
@@ -98,7 +115,8 @@ def year_statistics(
     ``years`` has one row per household with parallel arrays ``day_index`` and
     ``liters``. Percentiles are read off the sorted array in place. The days are
     unrolled inside the task and summed right there by a hash aggregate; a day
-    finds its flags by position, without a join per reading.
+    finds its flags by position, without a join per reading, as long as the day
+    table is small enough to travel with the task.
     """
     ordered = (
         years.withColumn("ordered", F.sort_array("liters"))
@@ -109,17 +127,7 @@ def year_statistics(
             interpolated(F.col("ordered"), 0.95).alias("p95"),
         )
     )
-    day = F.get("day_index", F.col("i"))
-    cells = (
-        ordered.join(small_side(flag_arrays(flags), known_rows=flag_rows), "hemisphere")
-        .select("*", F.posexplode_outer("liters").alias("i", "value"))
-        .select(
-            *keys, "p25", "p95", "any_drought",
-            nan_to_null(F.col("value")).alias("liters"),
-            *[F.get(n, day).alias(n) for n in ("temp", *_FLAGS)],
-        )
-        .where(F.col("is_dry").isNotNull())
-    )
+    cells = _flagged_cells(ordered, flags, [*keys, "p25", "p95"], flag_rows)
     return cells.groupBy(*keys).agg(
         F.count("liters").alias("n_days"),
         F.avg("liters").alias("mean_usage"),

@@ -212,28 +212,36 @@ def check_environment(environment: DataFrame, expected: Expectations = Expectati
 def check_usage(usage: DataFrame, household: DataFrame, expected: Expectations = Expectations()) -> DataFrame:
     """Shape, sign, NaN/Inf, physiological floor and statistics of the usage table.
 
-    The distinct household-days are counted by the grouping on the key, which
-    the join with the household traits reuses.
+    Readings are combined per household and day before they move, then per
+    household, so repeated readings of one household do not pile up. The floor
+    is checked on each household's smallest reading and counts households.
     """
     liters = F.col("liters").cast("double")
     finite = ~F.isnan(liters) & ~liters.isin(float("inf"), float("-inf"))
-    floor = F.col("occupancy_count") * parameter("intake_liters") - F.lit(FLOOR_SLACK)
+    sums = ("cells", "missing", "not_finite", "negative")
     per_household = (
-        usage.join(household.select(*KEYS, "occupancy_count"), list(KEYS), "left")
-        .groupBy(*KEYS)
+        usage.groupBy(*KEYS, "day_index")
         .agg(
             F.count(F.lit(1)).alias("cells"),
-            F.count_distinct("day_index").alias("days"),
             F.count_if(liters.isNull()).alias("missing"),
             F.count_if(~finite).alias("not_finite"),
             F.count_if(liters < 0).alias("negative"),
-            F.count_if(finite & (liters < floor)).alias("below_floor"),
+            F.min(F.when(finite, liters)).alias("lowest"),
         )
+        .groupBy(*KEYS)
+        .agg(F.count(F.lit(1)).alias("days"), F.min("lowest").alias("lowest"), *[F.sum(c).alias(c) for c in sums])
     )
-    shape = per_household.groupBy("hemisphere").agg(
-        F.count(F.lit(1)).alias("households"),
-        *[F.sum(c).alias(c) for c in ("cells", "days", "missing", "not_finite", "negative", "below_floor")],
-        F.count_if(F.col("days") != F.lit(expected.days)).alias("incomplete"),
+    floor = F.col("occupancy_count") * parameter("intake_liters") - F.lit(FLOOR_SLACK)
+    shape = (
+        per_household.join(household.select(*KEYS, "occupancy_count"), list(KEYS), "left")
+        .groupBy("hemisphere")
+        .agg(
+            F.count(F.lit(1)).alias("households"),
+            F.sum("days").alias("days"),
+            *[F.sum(c).alias(c) for c in sums],
+            F.count_if(F.col("lowest") < floor).alias("below_floor"),
+            F.count_if(F.col("days") != F.lit(expected.days)).alias("incomplete"),
+        )
     )
     value = F.when(finite, liters)
     statistics = usage.groupBy("hemisphere").agg(

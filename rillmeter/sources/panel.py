@@ -39,14 +39,17 @@ def _hemisphere(nation: Column) -> Column:
 
 
 def panel_household(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _household(_table(spark, sf_dir, "supplier"), _table(spark, sf_dir, "nation"), _table(spark, sf_dir, "region"))
+
+
+def _household(supplier: DataFrame, nation: DataFrame, region: DataFrame) -> DataFrame:
     landscape = F.lit("food_homegarden")
     for region, label in _REGION_LANDSCAPE.items():
         landscape = F.when(F.col("r_name") == region, label).otherwise(landscape)
     key = F.col("s_suppkey")
     return (
-        _table(spark, sf_dir, "supplier")
-        .join(_table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-        .join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+        .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
         .select(
             _hemisphere(F.col("s_nationkey")),
             key.alias("household_id"),
@@ -57,35 +60,33 @@ def panel_household(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _readings(lineitem: DataFrame) -> DataFrame:
     day = F.dayofyear("l_shipdate") - 1
-    return (
-        _table(spark, sf_dir, "lineitem")
-        .withColumn("day_index", day.cast("int"))
-        .where(F.col("day_index") < DAYS)
-    )
+    return lineitem.withColumn("day_index", day.cast("int")).where(F.col("day_index") < DAYS)
 
 
 def panel_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _usage(_readings(_table(spark, sf_dir, "lineitem")), _table(spark, sf_dir, "supplier"))
+
+
+def _usage(readings: DataFrame, supplier: DataFrame) -> DataFrame:
     """Daily litres; quantities are summed per supplier and day before the join.
 
     The map-side combine leaves at most 365 rows per supplier and task, so one
     supplier owning a large share of the orders costs nothing extra.
     """
-    daily = (
-        _readings(spark, sf_dir)
-        .groupBy("l_suppkey", "day_index")
-        .agg(F.sum("l_quantity").alias("liters"))
-    )
-    supplier = _table(spark, sf_dir, "supplier").select(
-        F.col("s_suppkey").alias("l_suppkey"), _hemisphere(F.col("s_nationkey"))
-    )
-    return daily.join(supplier, "l_suppkey").select(
+    daily = readings.groupBy("l_suppkey", "day_index").agg(F.sum("l_quantity").alias("liters"))
+    sides = supplier.select(F.col("s_suppkey").alias("l_suppkey"), _hemisphere(F.col("s_nationkey")))
+    return daily.join(sides, "l_suppkey").select(
         "hemisphere", F.col("l_suppkey").alias("household_id"), "day_index", "liters"
     )
 
 
 def panel_environment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _environment(_readings(_table(spark, sf_dir, "lineitem")))
+
+
+def _environment(readings: DataFrame) -> DataFrame:
     """Weather of both hemispheres: at most 2 x 365 rows, as day numbers are distinct in [0, 365)."""
     day = F.col("day_index")
     angle = 2 * F.pi() / 365
@@ -94,8 +95,7 @@ def panel_environment(spark: SparkSession, sf_dir: str) -> DataFrame:
     dry_season = day.between(150, 239)
     rains = (dry_season & (day % 13 == 0)) | (~dry_season & ((day * 7) % 10 < 3))
     return (
-        _readings(spark, sf_dir)
-        .select("day_index")
+        readings.select("day_index")
         .distinct()
         .withColumn("hemisphere", F.explode(F.array(F.lit("north"), F.lit("south"))))
         .select(
@@ -112,9 +112,13 @@ def panel_environment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def load_panel(spark: SparkSession, sf_dir: str) -> Inputs:
+    supplier, nation, region, lineitem = (
+        _table(spark, sf_dir, name) for name in ("supplier", "nation", "region", "lineitem")
+    )
+    readings = _readings(lineitem)
     return Inputs(
-        household=panel_household(spark, sf_dir),
-        environment=panel_environment(spark, sf_dir),
-        usage=panel_usage(spark, sf_dir),
+        household=_household(supplier, nation, region),
+        environment=_environment(readings),
+        usage=_usage(readings, supplier),
         environment_rows=2 * DAYS,
     )

@@ -126,3 +126,10 @@ def test_occupancy_below_one_counts_as_one(spark):
     nobody = household(spark, [("north", "a", 0, 0.5, "xeriscape_native")])
     row = extract_features(nobody, panel.usage, env_flags(panel.environment)).first()
     assert row["log_per_capita_usage"] == pytest.approx(math.log1p(4))
+
+
+def test_large_day_table_is_joined_instead_of_broadcast(spark):
+    panel = inputs(spark, {"a": [5, 9, 7, 3, 8, 2, 9, 4], "b": [1, 2, 3, 4, 5, 6, 7, 8]}, RAIN[:8])
+    flags = env_flags(panel.environment)
+    few, many = (sorted(extract_features(panel.household, panel.usage, flags, rows).collect()) for rows in (8, 10**9))
+    assert few == many

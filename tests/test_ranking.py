@@ -81,3 +81,10 @@ def test_sample_is_exact_and_independent_of_partitions(skewed):
     assert first != sorted(r["id"] for r in sample_rows(df, ["id"], 100, 8).collect())
     assert sample_per_group(df, "g", ["a", "b"], ["id"], 50).count() == 100
     assert sample_rows(df, ["id"], 10**6).count() == 6000
+
+
+def test_sample_of_a_large_table_is_cut_first_and_stays_the_same(spark):
+    df = spark.range(50_000)
+    chosen = sorted(r["id"] for r in sample_rows(df, ["id"], 40, 3).collect())
+    token = F.md5(F.concat_ws("|", F.lit("3"), F.col("id").cast("string")))
+    assert chosen == sorted(r["id"] for r in df.orderBy(token).limit(40).collect())
