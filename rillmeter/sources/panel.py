@@ -44,8 +44,8 @@ def panel_household(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _household(supplier: DataFrame, nation: DataFrame, region: DataFrame) -> DataFrame:
     landscape = F.lit("food_homegarden")
-    for region, label in _REGION_LANDSCAPE.items():
-        landscape = F.when(F.col("r_name") == region, label).otherwise(landscape)
+    for name, label in _REGION_LANDSCAPE.items():
+        landscape = F.when(F.col("r_name") == name, label).otherwise(landscape)
     key = F.col("s_suppkey")
     return (
         supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
