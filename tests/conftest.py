@@ -1,3 +1,4 @@
+import functools
 import os
 import sys
 
@@ -6,6 +7,7 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 
+from rillmeter.catalog import tables  # noqa: E402
 from rillmeter.session import local_session  # noqa: E402
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
@@ -19,6 +21,13 @@ def spark():
     session.stop()
 
 
+@pytest.fixture(scope="session", autouse=True)
+def shared_tables():
+    """Let the named queries share their stored starting tables; each builds its own outside the tests."""
+    for name in ("stored_features", "stored_usage", "stored_final", "scaled"):
+        setattr(tables, name, functools.lru_cache(getattr(tables, name)))
+
+
 @pytest.fixture(scope="session")
 def sf_dir():
     return SF_DIR
