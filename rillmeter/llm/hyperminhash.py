@@ -10,7 +10,7 @@ register keeps the count of leading zeros and ten bits after them: 128 registers
    are confirmed on full sets, and links make components.
 3. Buckets that still hold several components may hide links between members that are not first. Their
    members are joined exactly, by prefixes: two sets that reach the threshold share a shingle among the first
-   ``n - ceil(t * n) + 1`` of each, in any fixed order. Rare shingles come first (by a counting table of fixed
+   ``n - ceil(t * n) + 1`` of each, in any fixed order, and its places there bound what they share. Rare shingles come first (by a counting table of fixed
    size), so passages and lines that many documents share are in no prefix. Only pairs between different
    components are formed and confirmed.
 
@@ -184,8 +184,8 @@ def _prefixes(batches: Iterator[pa.RecordBatch], counts, percent: int) -> Iterat
             some = prefix(found, table, percent).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(some), *[pa.array(np.full(len(some), batch[c][i].as_py(), np.int64)) for c in ("id", "component")],
-                 pa.array(np.full(len(some), len(found), np.int64))],
-                names=["token", "id", "component", "n"],
+                 pa.array(np.full(len(some), len(found), np.int64)), pa.array(np.arange(len(some)))],
+                names=["token", "id", "component", "n", "at"],
             )
 
 
@@ -273,15 +273,16 @@ def _prefix_links(spark, texts: DataFrame, rest: DataFrame, words: int, percent:
     table[found["slot"].to_numpy()] = np.minimum(found["n"].to_numpy(), np.iinfo(np.int32).max)
     shared = spark.sparkContext.broadcast(table)
     tokens = materialise(
-        sets.join(rest, "id").mapInArrow(lambda b: _prefixes(b, shared, percent), "token long, id long, component long, n long").distinct(),
+        sets.join(rest, "id").mapInArrow(lambda b: _prefixes(b, shared, percent), "token long, id long, component long, n long, at long").distinct(),
         "prefixes",
     )
     several = (
         tokens.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
     )
     met = materialise(tokens.join(several, "token", "left_semi"), "met")
-    other = met.select("token", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
-    close = f"component < cb and 100 * least(n, nb) >= {percent} * greatest(n, nb)"
+    other = met.select("token", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("at").alias("bt"))
+    # Before a pair's first common shingle nothing is shared, so at most min(n - at, nb - bt) shingles are.
+    close = f"component < cb and {100 + percent} * least(n - at, nb - bt) >= {percent} * (n + nb)"
     pairs = met.join(other, "token").where(close).select(F.col("id").alias("a"), "b").distinct()
     return _confirmed(pairs, sets, percent)
 
