@@ -13,6 +13,7 @@ from rillmeter.llm.exact_dedup import exact_dedup
 from rillmeter.llm.hyperminhash import near_dedup
 from rillmeter.llm.packing import pack
 from rillmeter.llm.token_store import read_tokens, write_tokens
+from rillmeter.llm.toxicity import fit, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -100,3 +101,9 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents")).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return toxicity(documents, fit(documents, table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
