@@ -12,6 +12,7 @@ from rillmeter.llm.decontaminate import contaminated_words
 from rillmeter.llm.exact_dedup import exact_dedup
 from rillmeter.llm.hyperminhash import near_dedup
 from rillmeter.llm.packing import pack
+from rillmeter.llm.secrets import scan_secrets, written
 from rillmeter.llm.token_store import read_tokens, write_tokens
 from rillmeter.llm.toxicity import fit, toxicity
 
@@ -107,3 +108,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return toxicity(documents, fit(documents, table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op1_secrets")
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2(written("base"), 256).alias("base_sha256"), written("found").alias("spans"), "n_random"
+    )
