@@ -8,30 +8,51 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillmeter.llm import exact_dedup, hyperminhash
+from rillmeter.llm import decontaminate, exact_dedup, hyperminhash, packing, toxicity
+from rillmeter.llm.common import table
 from rillmeter.session import materialise
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Fit on the labelled rows of ``docs`` and drop what is scored as toxic."""
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id stays."""
     return exact_dedup.keep_one(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts linked by five-word shingles at 0.8 or more, the row with the smallest doc_id stays."""
     return hyperminhash.keep_one(docs)
 
 
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop every document that holds a window of a benchmark item."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in sequences of at most 2048."""
+    return packing.pack(docs)
+
+
 STAGES = [
+    ("toxicity", drop_toxic),
     ("exact dedup", drop_copies),
     ("MinHash near-dedup", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("packing", pack),
 ]
 
-#: Later stages tokenise and score by a trained model, which SQL cannot express; the tests hold each stage
-#: against a brute-force version.
+#: The first stage scores by a trained model and the last one tokenises, which SQL cannot express; the tests hold
+#: every stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from rillmeter.llm.common import table
 from rillmeter.llm.decontaminate import contaminated_words
 from rillmeter.llm.exact_dedup import exact_dedup
+from rillmeter.llm.html_text import extract
 from rillmeter.llm.hyperminhash import near_dedup
+from rillmeter.llm.language import detect
+from rillmeter.llm.licenses import scan_licenses
 from rillmeter.llm.packing import pack
 from rillmeter.llm.secrets import scan_secrets, written
 from rillmeter.llm.token_store import read_tokens, write_tokens
@@ -115,3 +118,21 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_assign", "n_access", "n_hex", F.sha2(written("base"), 256).alias("base_sha256"), written("found").alias("spans"), "n_random"
     )
+
+
+@query("op7_html_text")
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
+@query("op8_licenses")
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.array_join("licenses", ",").alias("licenses"), F.size("spans").cast("long").alias("n_statements"),
+        F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("unmatched", ",").alias("unmatched"),
+    )
+
+
+@query("op9_language")
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
