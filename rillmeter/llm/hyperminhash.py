@@ -190,14 +190,15 @@ def _prefixes(batches: Iterator[pa.RecordBatch], counts, percent: int) -> Iterat
 
 
 def _texts_of(texts: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    wanted = texts.select(F.col("doc_id").alias("id"), "text").join(ids.select("id").distinct(), "id", "left_semi")
+    wanted = texts.select(F.col("doc_id").alias("id"), "text").join(ids.select("id").distinct().hint("merge"), "id", "left_semi")
     return wanted.mapInArrow(lambda b: _full_sets(b, words), "id long, shingles binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(lambda b: _linked(b, percent), "a long, b long")
+    met = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b")  # both sides grow with the corpus
+    return met.mapInArrow(lambda b: _linked(b, percent), "a long, b long")
 
 
 def near_dedup(
@@ -239,8 +240,7 @@ def near_dedup(
         star.join(left, "a").join(right, "b").mapInArrow(lambda b: _probable(b, percent / 100), "a long, b long").distinct(),
         "probable",
     )
-    ids = probable.select(F.col("a").alias("id")).union(probable.select(F.col("b").alias("id")))
-    sets = materialise(_texts_of(texts, ids, words), "sets")
+    sets = materialise(_texts_of(texts, members, words), "sets")  # the only time that texts are shuffled
     links = materialise(_confirmed(probable, sets, percent), "star-links")
     found = materialise(components(links), "components")
 
@@ -248,7 +248,7 @@ def near_dedup(
     labelled = labelled.withColumn("component", F.coalesce("component", "id"))
     open_keys = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
     rest = materialise(labelled.join(open_keys, "key", "left_semi").select("id", "component").distinct(), "rest")
-    more = _prefix_links(spark, texts, rest, words, percent, counters)
+    more = _prefix_links(spark, sets, rest, percent, counters)
     merged = found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
     final = materialise(components(merged), "components")
 
@@ -264,9 +264,8 @@ def near_dedup(
     )
 
 
-def _prefix_links(spark, texts: DataFrame, rest: DataFrame, words: int, percent: int, counters: int) -> DataFrame:
+def _prefix_links(spark, sets: DataFrame, rest: DataFrame, percent: int, counters: int) -> DataFrame:
     """Links between different components of ``rest`` (id, component), found by an exact prefix join."""
-    sets = materialise(_texts_of(texts, rest, words), "rest-sets")
     counted = sets.select("shingles").mapInArrow(lambda b: _counted(b, counters), "slot long, n long")
     found = counted.groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most ``counters`` rows
     table = np.zeros(counters, np.int32)
