@@ -114,7 +114,7 @@ def recognise(sentence: str) -> tuple[str, str | None] | None:
 def sentences(text: str) -> list[tuple[int, int, str, str | None]]:
     """Start, end, identifier and licence named of the known sentences of a text.
 
-    A line break may stand inside a sentence: up to ``REACH`` pieces in a row are also tried as one, longest first.
+    A line break may stand inside a sentence: up to ``REACH`` pieces in a row are also tried as one, the fewest first.
     """
     if not _HINT.search(text):
         return []
@@ -124,7 +124,7 @@ def sentences(text: str) -> list[tuple[int, int, str, str | None]]:
     out, i = [], 0
     while i < len(pieces):
         found = None
-        for j in range(min(len(pieces), i + REACH), i, -1):
+        for j in range(i + 1, min(len(pieces), i + REACH) + 1):
             joined = " ".join(p[2] for p in pieces[i:j])
             if len(joined) <= LONGEST and (j == i + 1 or _HINT.search(joined)) and (hit := recognise(joined)):
                 found = (pieces[i][0], pieces[j - 1][1], *hit)

@@ -35,6 +35,8 @@ MAX_ENTRIES, MAX_STATES = 120, 60_000
 FOLDS = 5
 SHORTEST, LONGEST_STEM = 4, 9
 LEAST_TEXTS, LEAST_ODDS = 5, 2.0
+#: Least log likelihood ratio of an entry against an equal spread over both classes (about one in ten million by chance).
+LEAST_RATIO = 14.0
 #: Words to each side of a match that are looked at for a reporting verb.
 CONTEXT = 4
 
@@ -280,7 +282,9 @@ def choose_entries(rows: list[tuple[str, int, int]], toxic: int, clean: int, lim
     scored = []
     for term, t, c in rows:
         odds = np.log((t + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (clean + 1))
-        if t >= LEAST_TEXTS and odds >= LEAST_ODDS:
+        share = toxic / (toxic + clean)
+        ratio = t * np.log(t / ((t + c) * share)) + (c * np.log(c / ((t + c) * (1 - share))) if c else 0.0)
+        if t >= LEAST_TEXTS and odds >= LEAST_ODDS and ratio >= LEAST_RATIO:
             scored.append((-t * odds, term.endswith("*"), -len(term), term))
     chosen: list[tuple[str, bool]] = []
     for _, stem, _, term in sorted(scored):
