@@ -10,7 +10,8 @@ register keeps the count of leading zeros and ten bits after them: 128 registers
    are confirmed on full sets, and links make components.
 3. Buckets that still hold several components may hide links between members that are not first. Their
    members are joined exactly, by prefixes: two sets that reach the threshold share a shingle among the first
-   ``n - ceil(t * n) + 1`` of each, in any fixed order, and its places there bound what they share. Rare shingles come first (by a counting table of fixed
+   ``n - ceil(t * n) + 1`` of each, in any fixed order, and its places there and the parities of
+   256 cells bound what they share. Rare shingles come first (by a counting table of fixed
    size), so passages and lines that many documents share are in no prefix. Only pairs between different
    components are formed and confirmed.
 
@@ -41,6 +42,7 @@ BANDS = ((1, 20, 8), (13, 80, 16), (52, 1 << 62, 32))
 SIGMAS = 6
 #: Counters that order shingles by frequency: 4 MB, whatever the corpus holds.
 COUNTERS = 1 << 20
+PARITIES = ("p0", "p1", "p2", "p3")
 
 
 def registers(shingles: np.ndarray) -> np.ndarray:
@@ -176,6 +178,13 @@ def prefix(shingles: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray
     return shingles[np.lexsort((shingles, often))[:length]]
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Parity of the number of shingles in each of 256 cells. Two sets' parities differ in at most as many cells as
+    the sets differ in shingles."""
+    odd = np.bincount((mix(shingles) >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _prefixes(batches: Iterator[pa.RecordBatch], counts, percent: int) -> Iterator[pa.RecordBatch]:
     table = counts.value
     for batch in batches:
@@ -184,8 +193,9 @@ def _prefixes(batches: Iterator[pa.RecordBatch], counts, percent: int) -> Iterat
             some = prefix(found, table, percent).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(some), *[pa.array(np.full(len(some), batch[c][i].as_py(), np.int64)) for c in ("id", "component")],
-                 pa.array(np.full(len(some), len(found), np.int64)), pa.array(np.arange(len(some)))],
-                names=["token", "id", "component", "n", "at"],
+                 pa.array(np.full(len(some), len(found), np.int64)), pa.array(np.arange(len(some))),
+                 *[pa.array(np.full(len(some), x, np.int64)) for x in parities(found)]],
+                names=["token", "id", "component", "n", "at", *PARITIES],
             )
 
 
@@ -272,16 +282,21 @@ def _prefix_links(spark, sets: DataFrame, rest: DataFrame, percent: int, counter
     table[found["slot"].to_numpy()] = np.minimum(found["n"].to_numpy(), np.iinfo(np.int32).max)
     shared = spark.sparkContext.broadcast(table)
     tokens = materialise(
-        sets.join(rest, "id").mapInArrow(lambda b: _prefixes(b, shared, percent), "token long, id long, component long, n long, at long").distinct(),
+        sets.join(rest, "id").mapInArrow(lambda b: _prefixes(b, shared, percent), "token long, id long, component long, n long, at long, " + ", ".join(f"{p} long" for p in PARITIES)).distinct(),
         "prefixes",
     )
     several = (
         tokens.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
     )
     met = materialise(tokens.join(several, "token", "left_semi"), "met")
-    other = met.select("token", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("at").alias("bt"))
+    other = met.select("token", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("at").alias("bt"), *[F.col(p).alias(f"b{p}") for p in PARITIES])
     # Before a pair's first common shingle nothing is shared, so at most min(n - at, nb - bt) shingles are.
-    close = f"component < cb and {100 + percent} * least(n - at, nb - bt) >= {percent} * (n + nb)"
+    # A pair that reaches the threshold differs in at most (100 - t) / (100 + t) of (n + nb) shingles.
+    differ = " + ".join(f"bit_count({p} ^ b{p})" for p in PARITIES)
+    close = (
+        f"component < cb and {100 + percent} * least(n - at, nb - bt) >= {percent} * (n + nb) "
+        f"and {100 + percent} * ({differ}) <= {100 - percent} * (n + nb)"
+    )
     pairs = met.join(other, "token").where(close).select(F.col("id").alias("a"), "b").distinct()
     return _confirmed(pairs, sets, percent)
 
