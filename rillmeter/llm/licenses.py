@@ -80,6 +80,12 @@ RULES = (
 _LONG = (("noncommercial", "nc"), ("noderivatives", "nd"), ("no derivatives", "nd"), ("sharealike", "sa"), ("share alike", "sa"))
 #: A text without any of these words holds no licence sentence, and is not cut up.
 _HINT = re.compile(r"licen[sc]e|copyright|permission|redistribut|warrant|public domain|rights reserved|free software|spdx|mit\b|as is|\bmpl\b|cc0|version [23] of", re.I)
+#: How a known sentence begins; only there is one looked for.
+_BEGINS = re.compile(
+    r"(?:this \w+ is )?(?:licensed|released|distributed|dedicated) (?:under|to|in)\b|spdx\b|portions copyright|copyright\b|all rights|you may (?:not|obtain)|"
+    r"unless required|see the license|(?:the )?mit license|permission (?:is|to)\b|the above copyright|the software is|in no event|(?:\d )?redistribution|"
+    r"(?:\d )?neither the|this (?:software|program|library|source|work|file) |you should have|(?:either )?version [23] of|if a copy"
+)
 #: A sentence ends at a full stop, exclamation or question mark before a blank, a semicolon, a blank line, or a line that ends a statement.
 _ENDS = re.compile(r"(?<=[.!?;:])\s+|\n+")
 
@@ -124,6 +130,9 @@ def sentences(text: str) -> list[tuple[int, int, str, str | None]]:
     out, i = [], 0
     while i < len(pieces):
         found = None
+        if not _BEGINS.match(" ".join(p[2] for p in pieces[i : i + 1 + (len(pieces[i][2]) < 30)])):
+            i += 1
+            continue
         for j in range(i + 1, min(len(pieces), i + REACH) + 1):
             joined = " ".join(p[2] for p in pieces[i:j])
             if len(joined) <= LONGEST and (j == i + 1 or _HINT.search(joined)) and (hit := recognise(joined)):
