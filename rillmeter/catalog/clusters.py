@@ -61,9 +61,7 @@ def distances(spark, sf_dir):
 def anomalies(spark, sf_dir):
     final = t.stored_final(spark, sf_dir)
     scorer = t.class_scorer(spark, sf_dir, final)
-    strict = score_profiles(final, scorer).select(*KEYS, "min_distance", "is_anomaly")
-    near = score_profiles(final, scorer, threshold=0.5).select(*KEYS, F.col("is_anomaly").alias("is_far"))
-    return strict.join(near, list(KEYS))
+    return score_profiles(final, scorer).select(*KEYS, "min_distance", "is_anomaly", (F.col("min_distance") > 0.5).alias("is_far"))
 
 
 @query("K6_archetypes", with_tables("scored", "SELECT hemisphere, cluster_id, archetype FROM named"))

@@ -117,11 +117,20 @@ ROBUST = (
 )
 
 
-_PASSES = 10
+def _slope(x: str, lam: str) -> str:
+    """Derivative of the transform by lambda."""
+    gain, power = f"ln(1 + abs({x}))", f"(CASE WHEN {x} >= 0 THEN {lam} ELSE 2 - {lam} END)"
+    return (
+        f"CASE WHEN abs({power}) < 1e-15 THEN {gain} * {gain} / 2 "
+        f"ELSE (pow(1 + abs({x}), {power}) * {gain} - (pow(1 + abs({x}), {power}) - 1) / {power}) / {power} END"
+    )
+
+
+_PASSES, _ZOOMS = 10, 3
 
 
 def _power() -> str:
-    """The lambda search: passes of 17 candidates that move outwards or narrow, then a parabola."""
+    """The lambda search: passes of 17 candidates that move outwards or narrow, then the zero of the derivative."""
     parts = [
         f"pv AS (SELECT * FROM feature_long WHERE value IS NOT NULL AND \"column\" IN ({', '.join(repr(c) for c in POWER_COLUMNS)}))",
         "b0 AS (SELECT DISTINCT hemisphere, \"column\", -2::DOUBLE AS low, 0.25::DOUBLE AS step FROM pv)",
@@ -141,11 +150,24 @@ def _power() -> str:
                 "CASE WHEN j IN (0, 16) THEN 33 * step / 16 WHEN step <= 1e-3 THEN step ELSE step / 8 END AS step "
                 f"FROM l{i} QUALIFY row_number() OVER (PARTITION BY hemisphere, \"column\" ORDER BY ll DESC, j) = 1)"
             )
+    # Where the likelihood's derivative is zero: three passes to the interval of its change of sign, then a line.
+    lam = "(low + j * step)"
+    y, slope = yeo_johnson("value", lam), _slope("value", lam)
+    ordered = 'WINDOW w AS (PARTITION BY hemisphere, "column" ORDER BY j)'
     parts.append(
-        "lam AS (SELECT hemisphere, \"column\", low + (j + 0.5 * (a - c) / (a - 2 * ll + c)) * step AS \"lambda\" FROM "
-        "(SELECT *, lag(ll) OVER w AS a, lead(ll) OVER w AS c, row_number() OVER (PARTITION BY hemisphere, \"column\" ORDER BY ll DESC, j) AS rn "
-        f"FROM l{_PASSES - 1} WINDOW w AS (PARTITION BY hemisphere, \"column\" ORDER BY j)) WHERE rn = 1)"
+        f"z0 AS (SELECT hemisphere, \"column\", low + (j - 1) * step AS low, step / 8 AS step FROM l{_PASSES - 1} "
+        "QUALIFY row_number() OVER (PARTITION BY hemisphere, \"column\" ORDER BY ll DESC, j) = 1)"
     )
+    for i in range(_ZOOMS):
+        parts.append(
+            f"d{i} AS MATERIALIZED (SELECT hemisphere, \"column\", low, step, j, sum(sign(value) * ln(1 + abs(value))) "
+            f"- count(*) * covar_pop({y}, {slope}) / var_pop({y}) AS slope FROM z{i} JOIN pv USING (hemisphere, \"column\") "
+            "CROSS JOIN (SELECT range AS j FROM range(17)) GROUP BY hemisphere, \"column\", low, step, j), "
+            f"e{i} AS (SELECT * FROM (SELECT *, lead(slope) OVER w AS after FROM d{i} {ordered}) WHERE slope > 0 AND after <= 0)"
+        )
+        if i < _ZOOMS - 1:
+            parts.append(f"z{i + 1} AS (SELECT hemisphere, \"column\", low + j * step AS low, step / 16 AS step FROM e{i})")
+    parts.append(f"lam AS (SELECT hemisphere, \"column\", low + (j + slope / (slope - after)) * step AS \"lambda\" FROM e{_ZOOMS - 1})")
     transformed = yeo_johnson("value", '"lambda"')
     parts.append(
         f"power AS MATERIALIZED (SELECT hemisphere, \"column\", \"lambda\", avg({transformed}) AS center, stddev_pop({transformed}) AS scale "

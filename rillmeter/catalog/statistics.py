@@ -12,9 +12,8 @@ from rillmeter.functions import distributions as dist
 from rillmeter.functions.expressions import one_hot
 from rillmeter.functions.landscape import LANDSCAPE_TYPES
 from rillmeter.operators import correlation, density, profile as pr
-from rillmeter.operators.sampling import sample_per_group
 from rillmeter.operators.scoring import score_profiles
-from rillmeter.schemas import FEATURES, FINAL_FEATURES, HEMISPHERES, KEYS
+from rillmeter.schemas import FEATURES, FINAL_FEATURES, KEYS
 from rillmeter.session import materialise
 
 _HID = "hemisphere, household_id"
@@ -195,23 +194,13 @@ _DENSITY_SELECT = (
     + " FROM weights JOIN widths USING (hemisphere, \"column\") JOIN spans USING (hemisphere, \"column\") "
     "CROSS JOIN (SELECT range AS point FROM range(300)) GROUP BY hemisphere, \"column\", point, lo, step, m, h"
 )
-_SAMPLED = (
-    "kernels AS (SELECT * FROM cells QUALIFY row_number() OVER (PARTITION BY hemisphere ORDER BY "
-    "md5(concat_ws('|', '42', hemisphere, CAST(household_id AS VARCHAR), CAST(day_index AS VARCHAR)))) <= 100000)"
-)
+_ALL_CELLS = "kernels AS (SELECT * FROM cells WHERE value IS NOT NULL)"
 USAGE_CELLS = "cells AS (SELECT hemisphere, household_id, day_index, 'liters' AS \"column\", liters AS value FROM usage)"
-# Sample size of the density and quantile views of daily usage.
-USAGE_SAMPLE = 100_000
-
-
-def _usage_sample(usage):
-    return sample_per_group(usage, "hemisphere", HEMISPHERES, [*KEYS, "day_index"], USAGE_SAMPLE)
 
 
-@query("C7_usage_density", with_tables("panel", _DENSITY_SELECT, USAGE_CELLS, _SAMPLED, *_DENSITY))
+@query("C7_usage_density", with_tables("panel", _DENSITY_SELECT, USAGE_CELLS, _ALL_CELLS, *_DENSITY))
 def usage_density(spark, sf_dir):
-    usage = t.stored_usage(spark, sf_dir)
-    return density.kernel_density(usage, ["liters"], sample=_usage_sample(usage))
+    return density.kernel_density(t.stored_usage(spark, sf_dir), ["liters"])
 
 
 @query("C7_trait_density", with_tables("panel", _DENSITY_SELECT, TRAIT_LONG, "kernels AS (SELECT * FROM cells)", *_DENSITY))
@@ -245,10 +234,9 @@ _POSITIONS = (
 _QQ_SELECT = f"SELECT hemisphere, \"column\", position, {r(theoretical=_normal_quantile('p'), value='value')} FROM placed"
 
 
-@query("C8_usage_normal_qq", with_tables("panel", _QQ_SELECT, USAGE_CELLS, _SAMPLED, _POSITIONS))
+@query("C8_usage_normal_qq", with_tables("panel", _QQ_SELECT, USAGE_CELLS, _ALL_CELLS, _POSITIONS))
 def usage_normal_qq(spark, sf_dir):
-    sample = _usage_sample(t.stored_usage(spark, sf_dir))
-    return density.normal_qq(materialise(sample, "usage-sample"), ["liters"], ["household_id", "day_index"])
+    return density.normal_qq(t.stored_usage(spark, sf_dir), ["liters"], ["household_id", "day_index"])
 
 
 @query("C8_feature_normal_qq", with_tables("features", _QQ_SELECT, FEATURE_CELLS, "kernels AS (SELECT * FROM cells WHERE value IS NOT NULL)", _POSITIONS))
@@ -274,8 +262,7 @@ def qq_line(spark, sf_dir):
 
 @query("C9_usage_gamma_qq")
 def usage_gamma_qq(spark, sf_dir):
-    sample = _usage_sample(t.stored_usage(spark, sf_dir))
-    return density.gamma_qq(materialise(sample, "usage-sample"), ["liters"], ["household_id", "day_index"])
+    return density.gamma_qq(t.stored_usage(spark, sf_dir), ["liters"], ["household_id", "day_index"])
 
 
 @query("C9_trait_gamma_qq")

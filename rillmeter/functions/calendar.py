@@ -27,7 +27,8 @@ def is_summer(hemisphere: Column, day: Column) -> Column:
 
 
 def is_dry(rain: Column) -> Column:
-    return rain < F.lit(DRY_BELOW_MM)
+    """Never NULL: a day whose rain is unknown is not dry, and still is a day with weather."""
+    return F.coalesce(rain < F.lit(DRY_BELOW_MM), F.lit(False))
 
 
 def env_flags(environment: DataFrame) -> DataFrame:

@@ -17,6 +17,13 @@ def yeo_johnson(x: Column, lam: Column) -> Column:
     return F.when(x >= 0, upper).otherwise(lower)
 
 
+def yeo_johnson_slope(x: Column, lam: Column) -> Column:
+    """Derivative of the transform by lambda."""
+    gain = F.log1p(F.abs(x))
+    power = F.when(x >= 0, lam).otherwise(F.lit(2.0) - lam)
+    return F.when(F.abs(power) < _TINY, gain * gain / 2).otherwise((F.exp(gain * power) * gain - F.expm1(gain * power) / power) / power)
+
+
 def log_jacobian(x: Column) -> Column:
     """``sign(x) * log(1 + |x|)``, whose sum enters the likelihood."""
     return F.signum(x) * F.log1p(F.abs(x))

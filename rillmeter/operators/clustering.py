@@ -68,7 +68,7 @@ def label_rows(df: DataFrame, model: KMeansModel, features: Sequence[str]) -> Da
 
 
 def hemispheres_of(df: DataFrame) -> list[str]:
-    return [r["hemisphere"] for r in df.select("hemisphere").distinct().orderBy("hemisphere").limit(1_000).collect()]
+    return [r["hemisphere"] for r in df.select("hemisphere").distinct().orderBy("hemisphere").collect()]
 
 
 def train_models(

@@ -75,12 +75,13 @@ def flag_arrays(flags: DataFrame) -> DataFrame:
     """One row per hemisphere: temperature and flags of day ``i`` at position ``i``, NULL without weather."""
     names = ("temp", *_FLAGS)
     by_day = F.map_from_entries(F.collect_list(F.struct(F.col("day_index"), F.struct(*names))))
-    year = F.transform(F.sequence(F.lit(0), F.col("last_day")), lambda d: F.col("by_day")[d])
+    days = F.sequence(F.lit(0), F.col("last_day"))
+    year = F.transform(days, lambda d: F.col("by_day")[d])
     return (
         flags.groupBy("hemisphere")
         .agg(by_day.alias("by_day"), F.max("day_index").alias("last_day"), F.bool_or("any_drought").alias("any_drought"))
-        .select("hemisphere", "any_drought", year.alias("year"))
-        .select("hemisphere", "any_drought", *[F.col("year")[n].alias(n) for n in names])
+        .select("hemisphere", "any_drought", "last_day", year.alias("year"), (F.size("by_day") == F.size(days)).alias("gapless"))
+        .select("hemisphere", "any_drought", "last_day", "gapless", *[F.col("year")[n].alias(n) for n in names])
     )
 
 
@@ -90,44 +91,53 @@ def known_only(ordered: Column) -> Column:
     return F.when(complete, ordered).otherwise(F.filter(ordered, lambda x: x.isNotNull() & ~F.isnan(x)))
 
 
-def _flagged_cells(years: DataFrame, flags: DataFrame, carried: Sequence[str], flag_rows: int | None) -> DataFrame:
-    """One row per reading with the flags of its day; days without weather drop out."""
-    wanted = [*carried, "any_drought", "liters", "temp", *_FLAGS]
+def _with_weather(years: DataFrame) -> Column:
+    """Readings of days that have weather; a year without gaps is not touched."""
+    inside = (F.array_min("day_index") >= 0) & (F.array_max("day_index") <= F.col("last_day"))
+    met = F.filter(F.arrays_zip("day_index", "liters"), lambda x: F.get("is_dry", x["day_index"]).isNotNull())
+    return F.when(F.col("gapless") & inside, F.col("liters")).otherwise(F.transform(met, lambda x: x["liters"]))
+
+
+def _cells(years: DataFrame, flags: DataFrame, keys: Sequence[str], flag_rows: int | None) -> tuple[DataFrame, dict[str, Column]]:
+    """One row per reading with the flags of its day, and how the percentiles follow from it.
+
+    Days without weather drop out of both. While the day table is small, percentiles are read off the sorted
+    array in place and a day finds its flags by position; a larger one is joined.
+    """
+    wanted = ["any_drought", "liters", "temp", *_FLAGS]
     day, liters = F.get("day_index", F.col("i")).alias("day"), nan_to_null(F.col("value")).alias("liters")
     rows = flags.limit(DAY_TABLE_LIMIT + 1).count() if flag_rows is None else flag_rows
     if rows > DAY_TABLE_LIMIT:
-        cells = years.select("*", F.posexplode_outer("liters").alias("i", "value")).select(*dict.fromkeys([*carried, "hemisphere"]), day, liters)
-        return cells.join(flags.withColumnRenamed("day_index", "day"), ["hemisphere", "day"]).select(*wanted)
-    return (
-        years.join(F.broadcast(flag_arrays(flags)), "hemisphere")
-        .select("*", F.posexplode_outer("liters").alias("i", "value"))
-        .select(*carried, "any_drought", liters, *[F.get(n, F.get("day_index", F.col("i"))).alias(n) for n in ("temp", *_FLAGS)])
+        cells = years.select("*", F.posexplode_outer("liters").alias("i", "value")).select(*dict.fromkeys([*keys, "hemisphere"]), day, liters)
+        cells = cells.join(flags.withColumnRenamed("day_index", "day"), ["hemisphere", "day"]).select(*dict.fromkeys([*keys, *wanted]))
+        return cells, {name: F.percentile("liters", F.lit(p)) for name, p in _PERCENTILES.items()}
+    placed = years.join(F.broadcast(flag_arrays(flags)), "hemisphere")
+    ordered = placed.withColumn("ordered", F.sort_array(_with_weather(placed))).withColumn("ordered", known_only(F.col("ordered")))
+    read = ordered.select(
+        *keys, "any_drought", "day_index", "liters", "temp", *_FLAGS, *[interpolated(F.col("ordered"), p).alias(n) for n, p in _PERCENTILES.items()]
+    )
+    cells = (
+        read.select("*", F.posexplode_outer("liters").alias("i", "value"))
+        .select(*keys, *_PERCENTILES, "any_drought", liters, *[F.get(n, F.get("day_index", F.col("i"))).alias(n) for n in ("temp", *_FLAGS)])
         .where(F.col("is_dry").isNotNull())
-        .select(*wanted)
     )
+    return cells, {name: F.first(name) for name in _PERCENTILES}
+
+
+_PERCENTILES = {"p25": 0.25, "p95": 0.95}
 
 
 def year_statistics(
     years: DataFrame, flags: DataFrame, keys: Sequence[str] = KEYS, flag_rows: int | None = None
 ) -> DataFrame:
-    """All per-household moments, masked means and percentiles.
+    """All per-household moments, masked means and percentiles over the days that have weather.
 
     ``years`` has one row per household with parallel arrays ``day_index`` and
-    ``liters``. Percentiles are read off the sorted array in place. The days are
-    unrolled inside the task and summed right there by a hash aggregate; a day
-    finds its flags by position, without a join per reading, as long as the day
-    table is small enough to travel with the task.
+    ``liters``. The days are unrolled inside the task and summed right there by a
+    hash aggregate, without a join per reading as long as the day table is small
+    enough to travel with the task. Both ways give the same result.
     """
-    ordered = (
-        years.withColumn("ordered", F.sort_array("liters"))
-        .withColumn("ordered", known_only(F.col("ordered")))
-        .select(
-            *keys, "day_index", "liters",
-            interpolated(F.col("ordered"), 0.25).alias("p25"),
-            interpolated(F.col("ordered"), 0.95).alias("p95"),
-        )
-    )
-    cells = _flagged_cells(ordered, flags, [*keys, "p25", "p95"], flag_rows)
+    cells, percentiles = _cells(years, flags, keys, flag_rows)
     return cells.groupBy(*keys).agg(
         F.count("liters").alias("n_days"),
         F.avg("liters").alias("mean_usage"),
@@ -143,8 +153,7 @@ def year_statistics(
         F.stddev_pop(F.when(F.col("liters").isNotNull(), F.col("temp"))).alias("temp_std"),
         # Constant within a household.
         F.first("any_drought").alias("any_drought"),
-        F.first("p25").alias("p25"),
-        F.first("p95").alias("p95"),
+        *[value.alias(name) for name, value in percentiles.items()],
     )
 
 

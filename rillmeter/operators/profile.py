@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rillmeter.functions.calendar import is_weekend
-from rillmeter.functions.expressions import names_of
+from rillmeter.functions.expressions import names_of, nan_to_null
 from rillmeter.operators.ranking import DIRECT_ROWS, melt, quantile_table
 from rillmeter.schemas import KEYS
 from rillmeter.session import pin_small
@@ -36,13 +36,13 @@ def _is_numeric(field: T.StructField) -> bool:
 
 
 def _cells(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """One row per cell: numbers in ``value``, everything else in ``text``; NULLs kept."""
+    """One row per cell: numbers in ``value``, everything else in ``text``; NULLs kept, NaN is NULL."""
     numeric = {f.name for f in df.schema.fields if _is_numeric(f)}
     values = ", ".join(f"CAST(`{c}` AS DOUBLE)" if c in numeric else "CAST(NULL AS DOUBLE)" for c in columns)
     texts = ", ".join("CAST(NULL AS STRING)" if c in numeric else f"CAST(`{c}` AS STRING)" for c in columns)
     cells = df.select(*by, F.posexplode(F.expr(f"array({values})")).alias("i", "value"), F.expr(f"array({texts})").alias("texts"))
     return cells.select(
-        *by, F.get(names_of(columns), F.col("i")).alias("column"), "value", F.get("texts", F.col("i")).alias("text")
+        *by, F.get(names_of(columns), F.col("i")).alias("column"), nan_to_null(F.col("value")).alias("value"), F.get("texts", F.col("i")).alias("text")
     )
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rillmeter.functions.expressions import array_of, names_of
+from rillmeter.functions.expressions import array_of, names_of, nan_to_null
 
 #: A slice with at most this many rows is sorted inside one task.
 DIRECT_ROWS = 250_000
@@ -38,10 +38,10 @@ def local_table(spark: SparkSession, columns: dict[str, list], ddl: str) -> Data
 
 
 def melt(df: DataFrame, ids: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Long form ``(ids..., column, value DOUBLE)`` of numeric columns, without NULLs."""
+    """Long form ``(ids..., column, value DOUBLE)`` of numeric columns, without NULL and NaN."""
     return (
         df.select(*ids, F.posexplode(array_of(columns)).alias("i", "value"))
-        .where(F.col("value").isNotNull())
+        .where(nan_to_null(F.col("value")).isNotNull())
         .select(*ids, F.get(names_of(columns), F.col("i")).alias("column"), "value")
     )
 
@@ -79,7 +79,7 @@ class _Slice:
 def _group_counts(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> list[tuple[tuple, str, int]]:
     """Known values per group and column; a group without any still counts, as zero."""
     cells = df.select(*by, F.posexplode(array_of(columns)).alias("i", "value"))
-    rows = cells.groupBy(*by, "i").agg(F.count("value").alias("n")).limit(MAX_SLICES + 1).collect()
+    rows = cells.groupBy(*by, "i").agg(F.count(nan_to_null(F.col("value"))).alias("n")).limit(MAX_SLICES + 1).collect()
     if len(rows) > MAX_SLICES:
         raise ValueError("too many groups for a global quantile; use percentile() per group")
     return [(tuple(r[b] for b in by), columns[r["i"]], r["n"]) for r in rows]

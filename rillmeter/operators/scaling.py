@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillmeter.functions.power import log_jacobian, yeo_johnson
+from rillmeter.functions.power import log_jacobian, yeo_johnson, yeo_johnson_slope
 from rillmeter.operators.ranking import DIRECT_ROWS, exact_quantiles, local_table, melt
 from rillmeter.schemas import KEYS, POWER_COLUMNS, ROBUST_COLUMNS, SCALED_ORDER
 
@@ -21,8 +21,9 @@ PARAMS_DDL = "hemisphere STRING, column STRING, lambda DOUBLE, center DOUBLE, sc
 
 CANDIDATES = 17
 START = (-2.0, 2.0)
-#: Stop halving once candidates are this close; the parabola through the best three finishes.
+#: Stop comparing likelihoods once candidates are this close; so many passes then look for the derivative's zero.
 FINE_STEP = 1e-3
+ZOOMS = 3
 LARGEST_LAMBDA = 512.0
 
 
@@ -47,8 +48,11 @@ def fit_robust(
     return local_table(features.sparkSession, data, PARAMS_DDL)
 
 
-def _likelihoods(cells: DataFrame, brackets: dict[tuple[str, str], tuple[float, float]]) -> dict:
-    """Log-likelihood of every candidate of every bracket, in one pass over the cells.
+Bracket = tuple[float, float]
+
+
+def _candidate_sums(cells: DataFrame, brackets: dict[tuple[str, str], Bracket], *more: Column) -> list:
+    """Count, Jacobian, variance of the transformed values and ``more``, for every candidate of every bracket.
 
     Each cell meets its candidates inside its task and is summed there, so the
     shuffle carries one row per candidate.
@@ -64,20 +68,26 @@ def _likelihoods(cells: DataFrame, brackets: dict[tuple[str, str], tuple[float,
         },
         "hemisphere STRING, column STRING, low DOUBLE, step DOUBLE",
     )
-    transformed = yeo_johnson(F.col("value"), F.col("low") + F.col("candidate") * F.col("step"))
-    rows = (
+    lam = F.col("low") + F.col("candidate") * F.col("step")
+    return (
         cells.join(F.broadcast(table), ["hemisphere", "column"])
         .withColumn("candidate", F.explode(F.sequence(F.lit(0), F.lit(CANDIDATES - 1))))
+        .withColumns({"y": yeo_johnson(F.col("value"), lam), "slope": yeo_johnson_slope(F.col("value"), lam)})
         .groupBy("hemisphere", "column", "candidate")
         .agg(
             F.count("value").alias("n"),
             F.sum(log_jacobian(F.col("value"))).alias("jacobian"),
-            F.var_pop(transformed).alias("variance"),
+            F.var_pop("y").alias("variance"),
+            *more,
         )
         .collect()
     )
+
+
+def _likelihoods(cells: DataFrame, brackets: dict[tuple[str, str], Bracket]) -> dict:
+    """Log-likelihood of every candidate of every bracket, in one pass over the cells."""
     out = {key: [-math.inf] * CANDIDATES for key in brackets}
-    for r in rows:
+    for r in _candidate_sums(cells, brackets):
         key, j, v = (r["hemisphere"], r["column"]), r["candidate"], r["variance"]
         if v is None or not math.isfinite(v) or v <= 0:
             continue
@@ -87,18 +97,40 @@ def _likelihoods(cells: DataFrame, brackets: dict[tuple[str, str], tuple[float,
     return out
 
 
+def _zero_slopes(cells: DataFrame, brackets: dict[tuple[str, str], Bracket]) -> dict[tuple[str, str], float]:
+    """Where the derivative of the likelihood is zero in each bracket.
+
+    ``ZOOMS`` passes of candidates narrow a bracket to where the sign changes; a line through both ends finishes.
+    Near the maximum the likelihood is flat, so comparing its values would know lambda to half the digits only.
+    """
+    found: dict[tuple[str, str], float] = {}
+    for zoom in range(ZOOMS if brackets else 0):
+        slopes = {key: [math.nan] * CANDIDATES for key in brackets}
+        for r in _candidate_sums(cells, brackets, F.covar_pop("y", "slope").alias("covariance")):
+            slopes[r["hemisphere"], r["column"]][r["candidate"]] = r["jacobian"] - r["n"] * r["covariance"] / r["variance"]
+        for key, (low, high) in brackets.items():
+            s, step = slopes[key], (high - low) / (CANDIDATES - 1)
+            j = min(max((i for i in range(CANDIDATES) if s[i] > 0), default=0), CANDIDATES - 2)
+            if not s[j] > 0 >= s[j + 1]:
+                raise ValueError(f"the likelihood of {key} has no maximum between {low} and {high}")
+            brackets[key] = (low + j * step, low + (j + 1) * step)
+            found[key] = low + (j + s[j] / (s[j] - s[j + 1])) * step
+    return found
+
+
 def fit_lambdas(features: DataFrame, columns: Sequence[str] = POWER_COLUMNS) -> dict[tuple[str, str], float]:
     """Maximum-likelihood lambda per hemisphere and column.
 
     Every pass scores 17 candidates for all brackets at once; a bracket whose
     best candidate lies at its end moves outwards and doubles, else it shrinks
-    eightfold.
+    eightfold. The maximum itself is where the likelihood's derivative is zero.
     """
     cells = melt(features, ["hemisphere"], columns)
     spans = cells.groupBy("hemisphere", "column").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).collect()
     # A constant column stays as it is, which is lambda one.
     found: dict = {(r["hemisphere"], r["column"]): 1.0 for r in spans if r["lo"] == r["hi"]}
     brackets = {(r["hemisphere"], r["column"]): START for r in spans if r["lo"] != r["hi"]}
+    peaks: dict[tuple[str, str], tuple[float, float]] = {}
     while brackets:
         scored = _likelihoods(cells, brackets)
         following = {}
@@ -106,21 +138,18 @@ def fit_lambdas(features: DataFrame, columns: Sequence[str] = POWER_COLUMNS) ->
             scores, step = scored[key], (high - low) / (CANDIDATES - 1)
             best = max(range(CANDIDATES), key=scores.__getitem__)
             if not math.isfinite(scores[best]):
-                found[key] = 1.0
+                raise ValueError(f"the likelihood of {key} is not finite between {low:g} and {high:g}")
             elif best in (0, CANDIDATES - 1) and max(abs(low), abs(high)) < LARGEST_LAMBDA:
                 reach = 2 * (high - low)
                 following[key] = (low - reach, low + step) if best == 0 else (high - step, high + reach)
             elif best in (0, CANDIDATES - 1):
-                found[key] = low + best * step
+                raise ValueError(f"the likelihood of {key} still rises at lambda {low + best * step:g}")
             elif step > FINE_STEP:
                 following[key] = (low + (best - 1) * step, low + (best + 1) * step)
             else:
-                left, top, right = scores[best - 1], scores[best], scores[best + 1]
-                bend = left - 2 * top + right
-                shift = 0.5 * (left - right) / bend if bend < 0 and math.isfinite(bend) else 0.0
-                found[key] = low + (best + shift) * step
+                peaks[key] = (low + (best - 1) * step, low + (best + 1) * step)
         brackets = following
-    return found
+    return found | _zero_slopes(cells, peaks)
 
 
 def fit_power(features: DataFrame, columns: Sequence[str] = POWER_COLUMNS) -> DataFrame:

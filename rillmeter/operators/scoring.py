@@ -56,7 +56,7 @@ def load_scorer(
         names.setdefault(r["hemisphere"], []).append(r["archetype"] if "archetype" in centroids.columns else None)
     ranges: dict = {}
     if bounds is not None:
-        found = {(r["hemisphere"], r["feature"]): (r["lower"], r["upper"]) for r in bounds.limit(MAX_CENTROIDS).collect()}
+        found = {(r["hemisphere"], r["feature"]): (r["lower"], r["upper"]) for r in bounds.where(F.col("hemisphere").isin(list(points))).collect()}
         ranges = {h: [found[h, f] for f in features] for h in points}
     return Scorer(points, names, ranges)
 

@@ -52,21 +52,21 @@ def reduce_collinear(df: DataFrame) -> DataFrame:
 
 def silhouette_ablation(
     df: DataFrame, columns: Sequence[str], k: int = 4, seed: int = 42, n_starts: int = 10,
-    sample_size: int = 2_000, parallel: int = 8,
+    sample_size: int | None = None, parallel: int = 8,
 ) -> DataFrame:
     """How much the silhouette falls when each feature is left out, for one hemisphere's frame.
 
-    ``drop_euclidean`` scores a sample of ``sample_size`` rows (all rows if
-    there are no more), because the Euclidean silhouette compares every pair;
-    ``drop_squared`` scores all rows. The fits are independent and share a
+    ``drop_squared`` scores all rows. ``drop_euclidean`` is NULL unless the caller
+    asks for it on a sample of ``sample_size`` rows, because the Euclidean
+    silhouette compares every pair. The fits are independent and share a
     small thread pool; ``df`` should be stored or cached.
     """
-    sample = sample_rows(df, KEYS, sample_size, seed)
+    sample = None if sample_size is None else sample_rows(df, KEYS, sample_size, seed)
 
     def scores(names: Sequence[str]) -> tuple[float | None, float | None]:
         model = best_kmeans(df, names, k, seed, n_starts)
         return (
-            silhouette(label_rows(sample, model, names), names),
+            None if sample is None else silhouette(label_rows(sample, model, names), names),
             squared_silhouette(label_rows(df, model, names), names),
         )
 

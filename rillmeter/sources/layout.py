@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from rillmeter.functions.expressions import array_of, clip
 from rillmeter.schemas import ENVIRONMENT_SCHEMA, HEMISPHERES, HOUSEHOLD_SCHEMA, KEYS, Inputs
-from rillmeter.session import pin_small
+from rillmeter.session import materialise, pin_small
 
 # Efficiency scores are clipped to this range on load.
 EFFICIENCY_CLIP = (0.15, 1.0)
@@ -51,9 +51,10 @@ def _number_rows(df: DataFrame, split: Sequence[Column], in_split: Column) -> Da
 
 
 def _numbered_csv(df: DataFrame) -> DataFrame:
-    return _number_rows(
-        df, [F.col("_metadata.file_path"), F.col("_metadata.file_block_start")], F.monotonically_increasing_id()
-    )
+    """Where a file is split depends on the parallelism of the moment, so rows are stored with their place first."""
+    places = {"_path": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start"), "_row": F.monotonically_increasing_id()}
+    stored = materialise(df.select("*", *[place.alias(name) for name, place in places.items()]), "numbered")
+    return _number_rows(stored, [F.col("_path"), F.col("_start")], F.col("_row")).drop(*places)
 
 
 def _numbered_parquet(df: DataFrame) -> DataFrame:

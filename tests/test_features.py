@@ -133,3 +133,19 @@ def test_large_day_table_is_joined_instead_of_broadcast(spark):
     flags = env_flags(panel.environment)
     few, many = (sorted(extract_features(panel.household, panel.usage, flags, rows).collect()) for rows in (8, 10**9))
     assert few == many
+
+
+def test_unknown_rain_is_wet_and_keeps_the_day(spark):
+    panel = inputs(spark, {"a": [5, 9, 7, 5000, 8, 2, 9, 4]}, RAIN[:8])
+    rain = F.when(F.col("day_index") != 3, F.col("daily_rainfall_mm"))
+    flags = env_flags(panel.environment.withColumn("daily_rainfall_mm", rain))
+    few, many = (year_statistics(household_years(panel.usage), flags, flag_rows=n).first() for n in (8, 10**9))
+    assert few == many and few["n_days"] == 8 and few["mean_usage"] == 630.5
+
+
+def test_percentiles_leave_out_days_without_weather(spark):
+    panel = inputs(spark, {"a": [5, 9, 7, 5000, 8, 2, 9, 4]}, RAIN[:8])
+    flags = env_flags(panel.environment).where("day_index <> 3")
+    for n in (8, 10**9):
+        row = year_statistics(household_years(panel.usage), flags, flag_rows=n).first()
+        assert row["n_days"] == 7 and (row["p25"], row["p95"]) == (4.5, 9.0)

@@ -88,3 +88,9 @@ def test_sample_of_a_large_table_is_cut_first_and_stays_the_same(spark):
     chosen = sorted(r["id"] for r in sample_rows(df, ["id"], 40, 3).collect())
     token = F.md5(F.concat_ws("|", F.lit("3"), F.col("id").cast("string")))
     assert chosen == sorted(r["id"] for r in df.orderBy(token).limit(40).collect())
+
+
+def test_nan_counts_as_missing(spark):
+    df = spark.createDataFrame([("g", 1.0), ("g", 2.0), ("g", float("nan")), ("g", None)], "g string, x double")
+    for rows in (250_000, 1):
+        assert exact_quantiles(df, ["g"], ["x"], [0.5], direct_rows=rows) == {(("g",), "x"): [1.5]}

@@ -96,3 +96,21 @@ def test_usage_matrix_keeps_gaps(spark):
     panel = inputs(spark, {"a": [1, None, 3]}, [0, 0, 0])
     row = layout.usage_matrix(panel.usage.where("liters IS NOT NULL"), 3).first()
     assert (row["column_0"], row["column_1"], row["column_2"]) == (1.0, None, 3.0)
+
+
+def test_row_numbers_survive_changed_parallelism(spark, tmp_path):
+    from rillmeter.sources.layout import _numbered_csv
+
+    path = tmp_path / "rows.csv"
+    path.write_text("v\n" + "".join(f"{i}\n" for i in range(40_000)))
+    settings = {"spark.sql.files.openCostInBytes": "1000", "spark.sql.leafNodeDefaultParallelism": "4"}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        frame = _numbered_csv(spark.read.schema("v INT").csv(str(path), header=True))
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", "7")
+        rows = frame.collect()
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+    assert len(rows) == 40_000 and all(r["v"] == r["row_number"] for r in rows)
