@@ -139,7 +139,7 @@ def test_suitability(blobs):
 
 def test_ablation(blobs):
     north = blobs.where("hemisphere = 'north'")
-    rows = silhouette_ablation(north, FINAL_FEATURES, n_starts=2).orderBy("position").collect()
+    rows = silhouette_ablation(north, FINAL_FEATURES, n_starts=2, sample_size=2_000).orderBy("position").collect()
     assert [r["feature"] for r in rows] == list(FINAL_FEATURES)
     pdf = north.toPandas()[list(FINAL_FEATURES)].to_numpy()
     base = brute_silhouette(pdf, np.repeat(range(4), 60))
