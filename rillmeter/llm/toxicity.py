@@ -339,7 +339,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if len(counts) < 2:
         share = totals.get(1, 0) / max(1, sum(totals.values()))
         return Model(bias=float(np.log((share + 1e-9) / (1 - share + 1e-9))))
-    spread = sample.repartition(8, "doc_id").mapInArrow(_term_counts, "term string, toxic long, clean long")
+    # Which of several near copies is counted must not depend on the order in which rows arrive.
+    spread = sample.repartition(8, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(_term_counts, "term string, toxic long, clean long")
     terms = spread.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = F.log((F.col("toxic") + 0.5) / (counts[1] + 1)) - F.log((F.col("clean") + 0.5) / (counts[0] + 1))
     strongest = terms.where((F.col("toxic") >= LEAST_TEXTS) & (odds >= LEAST_ODDS)).orderBy((-F.col("toxic") * odds), "term").limit(40 * MAX_ENTRIES)
@@ -363,7 +364,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                     names=["doc_id", "toxic", "words", "hits"],
                 )
 
-    rows = sample.mapInArrow(matched, "doc_id long, toxic int, words long, hits array<array<int>>").orderBy("doc_id", "words").collect()
+    rows = sample.mapInArrow(matched, "doc_id long, toxic int, words long, hits array<array<int>>").orderBy("doc_id", "words", "hits").collect()
     y = np.array([r["toxic"] for r in rows], float)
     hits = [[(n, e, bool(q)) for n, e, q in r["hits"]] for r in rows]
     seen = np.zeros((2, len(entries), 3))

@@ -128,6 +128,14 @@ def test_toxicity_holds_on_held_out_rows(spark, documents, sf_dir, model):
         assert sum(r["predicted"] for r in some if not r["toxic"]) <= 0.02 * len(some)
 
 
+def test_fit_does_not_depend_on_the_order_of_rows(documents, sf_dir, spark, model):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    for turned in (documents.orderBy(documents["doc_id"].desc()), documents.repartition(5, "text")):
+        again = toxicity.fit(turned, labels)
+        assert (again.automaton.moves == model.automaton.moves).all() and (again.evidence == model.evidence).all()
+        assert (again.weights == model.weights).all() and again.bias == model.bias
+
+
 def test_toxicity_on_hard_rows(spark, hard, nothing, model):
     got = toxicity.toxicity(hard, model).collect()
     assert len(got) == len(HARD) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
