@@ -15,8 +15,10 @@ _HID = "hemisphere, household_id"
 
 
 def _per_household(*names):
+    table = t.statistics if {"p25", "p95"} & set(names) else t.moments
+
     def build(spark, sf_dir):
-        return t.statistics(spark, sf_dir).select(*KEYS, *names)
+        return table(spark, sf_dir).select(*KEYS, *names)
 
     return build
 
@@ -35,7 +37,7 @@ for _name, _columns in {
 @query("A4_temperature_correlation", with_tables("stats", f"SELECT {_HID}, {r(correlation=CORRELATION)} FROM stats"))
 def temperature_correlation(spark, sf_dir):
     r_ = correlation_of(F.col("temp_covariance"), F.col("std_usage"), F.col("temp_std"))
-    return t.statistics(spark, sf_dir).select(*KEYS, r_.alias("correlation"))
+    return t.moments(spark, sf_dir).select(*KEYS, r_.alias("correlation"))
 
 
 @query("A6_daily_mean", with_tables("panel", f"SELECT hemisphere, day_index, {r(mean_liters='avg(liters)')} FROM usage GROUP BY 1, 2"))

@@ -1,5 +1,8 @@
 """K: clustering, scoring and anomalies."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillmeter.catalog import tables as t
@@ -7,10 +10,14 @@ from rillmeter.catalog.registry import query
 from rillmeter.catalog.sql import r, with_tables
 from rillmeter.operators import clustering as cl
 from rillmeter.operators.sampling import sample_per_group
+from rillmeter.operators.scaling import fit_robust, scale
 from rillmeter.operators.scoring import score_profiles, training_bounds
+from rillmeter.operators.selection import variance_table
 from rillmeter.plans.clustering import archetype_profiles, cluster
+from rillmeter.plans.scoring import score_households
 from rillmeter.schemas import FINAL_FEATURES, HEMISPHERES, KEYS
-from rillmeter.session import scratch_path
+from rillmeter.session import materialise, scratch_path
+from rillmeter.sources.layout import save_fitted
 from rillmeter.streaming.scoring import read_profiles, score_stream, write_scores
 
 _HID = "hemisphere, household_id"
@@ -32,6 +39,46 @@ def kmeans_fit(spark, sf_dir):
     return done.centroids.withColumns(coordinates).drop("centroid").join(sizes, ["hemisphere", "cluster_id"])
 
 
+def _sums_of_squares(final, k, seed):
+    """Scatter around the fitted centroids plus that of the centroids around the mean.
+
+    Equals the total scatter only if every centroid is the mean of the rows nearest to it.
+    """
+    done = cluster(final, k, seed)
+    within = F.sum(F.pow("min_distance", F.lit(2)))
+    sizes = done.assignments.groupBy("hemisphere", F.col("cluster_id").cast("int").alias("cluster_id")).agg(
+        F.count(F.lit(1)).alias("n"), within.alias("within")
+    )
+    middle = final.groupBy("hemisphere").agg(F.array(*[F.avg(f) for f in FINAL_FEATURES]).alias("middle"))
+    gaps = F.zip_with("centroid", "middle", lambda x, y: (x - y) * (x - y))
+    between = F.aggregate(gaps, F.lit(0.0), lambda total, gap: total + gap)
+    parts = sizes.join(done.centroids, ["hemisphere", "cluster_id"]).join(middle, "hemisphere")
+    return parts.groupBy("hemisphere").agg(
+        F.lit(k).alias("k"), F.count(F.lit(1)).alias("n_clusters"), F.sum("n").alias("n_rows"),
+        F.round(F.sum(F.col("within") + F.col("n") * between), 4).alias("sum_of_squares"),
+    )
+
+
+def _total_scatter(k):
+    total = "count(*) * (" + " + ".join(f"var_pop({f})" for f in FINAL_FEATURES) + ")"
+    return (
+        f"SELECT hemisphere, CAST({k} AS INT) AS k, CAST({k} AS BIGINT) AS n_clusters, count(*) AS n_rows, "
+        f"{r(digits=4, sum_of_squares=total)} FROM scaled GROUP BY 1"
+    )
+
+
+@query("K1_sums_of_squares", with_tables("scaled", _total_scatter(cl.CLUSTERS)))
+def sums_of_squares(spark, sf_dir):
+    return _sums_of_squares(t.stored_final(spark, sf_dir), cl.CLUSTERS, cl.TRAINING_SEED)
+
+
+@query("K7_sums_of_squares_by_k", with_tables("scaled", " UNION ALL ".join(_total_scatter(k) for k in range(2, 9))))
+def sums_of_squares_by_k(spark, sf_dir):
+    final = t.stored_final(spark, sf_dir)
+    parts = [_sums_of_squares(final, k, cl.STUDY_SEED) for k in range(2, 9)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("K2_cluster_labels")
 def cluster_labels(spark, sf_dir):
     final = t.stored_final(spark, sf_dir)
@@ -77,6 +124,37 @@ def _suitability(*metrics):
     return build
 
 
+_COVARIANCES = " UNION ALL ".join(
+    f"SELECT hemisphere, {i} AS a, {j} AS b, covar_pop({x}, {y}) AS c FROM scaled GROUP BY 1"
+    for i, x in enumerate(FINAL_FEATURES) for j, y in enumerate(FINAL_FEATURES)
+)
+
+
+@query(
+    "K9_pca_power_sums",
+    with_tables(
+        "scaled",
+        f"SELECT hemisphere, 1 AS power, {r(value='sum(c)')} FROM ratio WHERE a = b GROUP BY 1 "
+        f"UNION ALL SELECT hemisphere, 2, {r(value='sum(c)')} FROM squared WHERE a = b GROUP BY 1 "
+        f"UNION ALL SELECT s.hemisphere, 3, {r(value='sum(s.c * u.c)')} FROM squared s JOIN ratio u ON s.hemisphere = u.hemisphere AND s.a = u.b AND s.b = u.a GROUP BY 1 "
+        f"UNION ALL SELECT s.hemisphere, 4, {r(value='sum(s.c * u.c)')} FROM squared s JOIN squared u ON s.hemisphere = u.hemisphere AND s.a = u.b AND s.b = u.a GROUP BY 1",
+        f"covariances AS ({_COVARIANCES})",
+        "traces AS (SELECT hemisphere, sum(c) AS trace FROM covariances WHERE a = b GROUP BY 1)",
+        "ratio AS (SELECT v.hemisphere, a, b, c / trace AS c FROM covariances v JOIN traces x ON v.hemisphere = x.hemisphere)",
+        "squared AS (SELECT x.hemisphere, x.a, y.b, sum(x.c * y.c) AS c FROM ratio x JOIN ratio y "
+        "ON x.hemisphere = y.hemisphere AND x.b = y.a GROUP BY 1, 2, 3)",
+    ),
+)
+def pca_power_sums(spark, sf_dir):
+    """Sums of the first four powers of the explained-variance ratios, which fix all four ratios: the traces of
+    the powers of the covariance matrix over its own trace."""
+    ratios = cl.cluster_suitability(t.stored_final(spark, sf_dir), metrics=("pca_variance_ratio",))
+    powers = F.explode(F.array(*[F.lit(i + 1) for i in range(len(FINAL_FEATURES))])).alias("power")
+    return ratios.select("hemisphere", "value", powers).groupBy("hemisphere", "power").agg(
+        F.sum(F.pow("value", F.col("power"))).alias("value")
+    )
+
+
 query("K7_inertia_by_k")(_suitability("inertia"))
 query("K9_pca_ratios")(_suitability("pca_variance_ratio"))
 query("K10_suitability")(_suitability(*cl.STUDY_METRICS))
@@ -134,19 +212,32 @@ def _score_report(scored):
     return scored.withColumn("n_out_of_range", F.size("out_of_range")).select(*_SCORE_COLUMNS)
 
 
-@query(
-    "K12_score_profiles",
-    with_tables(
-        "scored",
-        f"SELECT s.hemisphere, s.household_id, s.cluster_id, archetype, {r(min_distance='s.min_distance')}, "
-        "s.min_distance > 5 AS is_anomaly, CAST(0 AS INT) AS n_out_of_range "
-        "FROM scored s JOIN named n ON s.hemisphere = n.hemisphere AND s.cluster_id = CAST(n.cluster_id AS VARCHAR)",
-    ),
+_SCORES = with_tables(
+    "scored",
+    f"SELECT s.hemisphere, s.household_id, s.cluster_id, archetype, {r(min_distance='s.min_distance')}, "
+    "s.min_distance > 5 AS is_anomaly, CAST(0 AS INT) AS n_out_of_range "
+    "FROM scored s JOIN named n ON s.hemisphere = n.hemisphere AND s.cluster_id = CAST(n.cluster_id AS VARCHAR)",
 )
+
+
+@query("K12_score_profiles", _SCORES)
 def score_table(spark, sf_dir):
     return _score_report(_scored(spark, sf_dir, bounds=True))
 
 
+@query("K12_score_saved_state", _SCORES)
+def score_saved(spark, sf_dir):
+    """Save everything fitted, load it and score raw usage with it."""
+    path, p = scratch_path(spark, "state"), t.panel(spark, sf_dir)
+    unscaled = t.stored_features(spark, sf_dir)
+    params = fit_robust(unscaled, FINAL_FEATURES)
+    final = materialise(scale(unscaled, params, FINAL_FEATURES), "final")
+    save_fitted(f"{path}/fitted", t.flags(spark, sf_dir), params, variance_table(final, FINAL_FEATURES))
+    cl.name_archetypes(t.class_centroids(final, p.household)).write.parquet(f"{path}/centroids")
+    training_bounds(final).write.parquet(f"{path}/training_bounds")
+    return _score_report(score_households(spark, path, p))
+
+
 # Events as profiles: value and user drive the four features, the event type the hemisphere.
 _PROFILE_SQL = (
     "profiles AS (SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'north' ELSE 'south' END AS hemisphere, "

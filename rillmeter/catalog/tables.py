@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rillmeter.functions.calendar import env_flags
 from rillmeter.operators.clustering import name_archetypes
-from rillmeter.operators.features import features_of, usage_statistics
+from rillmeter.operators.features import features_of, moment_statistics, usage_statistics
 from rillmeter.operators.scaling import fit_robust, fit_scaler, scale
 from rillmeter.operators.scoring import Scorer, load_scorer, training_bounds
 from rillmeter.schemas import FINAL_FEATURES, KEYS, Inputs
@@ -31,6 +31,11 @@ def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage_statistics(p.usage, env_flags(p.environment), p.environment_rows)
 
 
+def moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = panel(spark, sf_dir)
+    return moment_statistics(p.usage, env_flags(p.environment), p.environment_rows)
+
+
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features_of(panel(spark, sf_dir))
 

@@ -138,7 +138,12 @@ def year_statistics(
     enough to travel with the task. Both ways give the same result.
     """
     cells, percentiles = _cells(years, flags, keys, flag_rows)
-    return cells.groupBy(*keys).agg(
+    return cells.groupBy(*keys).agg(*_moments(), *[value.alias(name) for name, value in percentiles.items()])
+
+
+def _moments() -> list[Column]:
+    """Aggregates over readings with the flags of their day; all of them combine before a shuffle."""
+    return [
         F.count("liters").alias("n_days"),
         F.avg("liters").alias("mean_usage"),
         F.stddev_pop("liters").alias("std_usage"),
@@ -153,8 +158,13 @@ def year_statistics(
         F.stddev_pop(F.when(F.col("liters").isNotNull(), F.col("temp"))).alias("temp_std"),
         # Constant within a household.
         F.first("any_drought").alias("any_drought"),
-        *[value.alias(name) for name, value in percentiles.items()],
-    )
+    ]
+
+
+def moment_statistics(usage: DataFrame, flags: DataFrame, flag_rows: int | None = None) -> DataFrame:
+    """:func:`year_statistics` without the percentiles: one partly summed row per household and task is shuffled."""
+    cells = with_flags(usage.withColumn("liters", nan_to_null(F.col("liters").cast("double"))), flags, flag_rows)
+    return cells.groupBy(*KEYS).agg(*_moments())
 
 
 def usage_statistics(usage: DataFrame, flags: DataFrame, flag_rows: int | None = None) -> DataFrame:

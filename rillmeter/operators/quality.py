@@ -17,6 +17,7 @@ from rillmeter.functions.hemispheres import LANDSCAPE_WEIGHTS, parameter
 from rillmeter.functions.landscape import LANDSCAPE_TYPES
 from rillmeter.operators.profile import category_shares
 from rillmeter.schemas import ENVIRONMENT_SCHEMA, HOUSEHOLD_SCHEMA, KEYS, USAGE_SCHEMA, Inputs
+from rillmeter.session import materialise
 
 # Tolerance of soft checks and bounds of the inputs.
 TOLERANCE = 0.15
@@ -209,44 +210,61 @@ def check_environment(environment: DataFrame, expected: Expectations = Expectati
     )
 
 
-def check_usage(usage: DataFrame, household: DataFrame, expected: Expectations = Expectations()) -> DataFrame:
-    """Shape, sign, NaN/Inf, physiological floor and statistics of the usage table.
+def household_usage(usage: DataFrame) -> DataFrame:
+    """What every usage gate needs, one row per household, from one scan.
 
     Readings are combined per household and day before they move, then per
-    household, so repeated readings of one household do not pile up. The floor
-    is checked on each household's smallest reading and counts households.
+    household, so repeated readings of one household do not pile up.
     """
     liters = F.col("liters").cast("double")
     finite = ~F.isnan(liters) & ~liters.isin(float("inf"), float("-inf"))
-    sums = ("cells", "missing", "not_finite", "negative")
-    per_household = (
-        usage.groupBy(*KEYS, "day_index")
-        .agg(
-            F.count(F.lit(1)).alias("cells"),
-            F.count_if(liters.isNull()).alias("missing"),
-            F.count_if(~finite).alias("not_finite"),
-            F.count_if(liters < 0).alias("negative"),
-            F.min(F.when(finite, liters)).alias("lowest"),
-        )
-        .groupBy(*KEYS)
-        .agg(F.count(F.lit(1)).alias("days"), F.min("lowest").alias("lowest"), *[F.sum(c).alias(c) for c in sums])
+    value = F.when(finite, liters)
+    sums = {
+        "cells": F.count(F.lit(1)),
+        "missing": F.count_if(liters.isNull()),
+        "not_finite": F.count_if(~finite),
+        "negative": F.count_if(liters < 0),
+        "measured": F.count(value),
+        "total": F.sum(value),
+        "squares": F.sum(value * value),
+    }
+    per_day = usage.groupBy(*KEYS, "day_index").agg(
+        *[x.alias(name) for name, x in sums.items()], F.min(value).alias("lowest"), F.max(value).alias("highest")
     )
+    return per_day.groupBy(*KEYS).agg(
+        F.count(F.lit(1)).alias("days"),
+        F.count("day_index").alias("known_days"),
+        *[F.sum(name).alias(name) for name in sums],
+        F.min("lowest").alias("lowest"),
+        F.max("highest").alias("highest"),
+    )
+
+
+def check_usage(
+    usage: DataFrame, household: DataFrame, expected: Expectations = Expectations(), per_household: DataFrame | None = None
+) -> DataFrame:
+    """Shape, sign, NaN/Inf, physiological floor and statistics of the usage table.
+
+    ``per_household`` is :func:`household_usage`, if the caller has it already.
+    The floor is checked on each household's smallest reading and counts households.
+    """
+    per_household = household_usage(usage) if per_household is None else per_household
     floor = F.col("occupancy_count") * parameter("intake_liters") - F.lit(FLOOR_SLACK)
+    sums = ("days", "cells", "missing", "not_finite", "negative", "measured", "total", "squares")
     shape = (
         per_household.join(household.select(*KEYS, "occupancy_count"), list(KEYS), "left")
         .groupBy("hemisphere")
         .agg(
             F.count(F.lit(1)).alias("households"),
-            F.sum("days").alias("days"),
             *[F.sum(c).alias(c) for c in sums],
+            F.min("lowest").alias("min"),
+            F.max("highest").alias("max"),
             F.count_if(F.col("lowest") < floor).alias("below_floor"),
             F.count_if(F.col("days") != F.lit(expected.days)).alias("incomplete"),
         )
-    )
-    value = F.when(finite, liters)
-    statistics = usage.groupBy("hemisphere").agg(
-        F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"),
-        F.min(value).alias("min"), F.max(value).alias("max"),
+        .withColumn("mean", F.try_divide("total", "measured"))
+        .withColumn("variance", F.try_divide("squares", "measured") - F.col("mean") * F.col("mean"))
+        .withColumn("std", F.sqrt(F.when(F.col("variance") < 0, 0.0).otherwise(F.col("variance"))))
     )
     checks = [
         _check("Q1_usage_days", "error", F.col("days"), f"{expected.days} per household", F.col("incomplete")),
@@ -263,12 +281,15 @@ def check_usage(usage: DataFrame, household: DataFrame, expected: Expectations =
     if expected.households is not None:
         size = F.lit(expected.households)
         checks.append(_check("Q1_usage_households", "error", F.col("households"), size, F.abs(F.col("households") - size)))
-    return _rows(shape.join(statistics, "hemisphere"), checks)
+    return _rows(shape, checks)
 
 
-def orphan_households(inputs: Inputs) -> DataFrame:
-    """Households without usage and usage without a household, with the side that has them."""
-    metered = inputs.usage.select(*KEYS).distinct()
+def orphan_households(inputs: Inputs, metered: DataFrame | None = None) -> DataFrame:
+    """Households without usage and usage without a household, with the side that has them.
+
+    ``metered`` holds the distinct keys of usage, if the caller has them already.
+    """
+    metered = inputs.usage.select(*KEYS).distinct() if metered is None else metered
     unmetered = inputs.household.select(*KEYS).join(metered, list(KEYS), "left_anti")
     unknown = metered.join(inputs.household.select(*KEYS), list(KEYS), "left_anti")
     return unmetered.withColumn("missing_in", F.lit("usage")).unionByName(
@@ -276,17 +297,14 @@ def orphan_households(inputs: Inputs) -> DataFrame:
     )
 
 
-def check_integrity(inputs: Inputs, expected: Expectations = Expectations()) -> DataFrame:
-    """Consistency across the three inputs; never raises."""
+def check_integrity(inputs: Inputs, expected: Expectations = Expectations(), per_household: DataFrame | None = None) -> DataFrame:
+    """Consistency across the three inputs; never raises. ``per_household`` as in :func:`check_usage`."""
+    if per_household is None:
+        per_household = materialise(household_usage(inputs.usage).select(*KEYS, "known_days"), "household-usage")
     households = inputs.household.groupBy("hemisphere").agg(F.count(F.lit(1)).alias("households"))
-    metered = (
-        inputs.usage.groupBy(*KEYS)
-        .agg(F.count_distinct("day_index").alias("days"))
-        .groupBy("hemisphere")
-        .agg(F.count(F.lit(1)).alias("metered"), F.max("days").alias("usage_days"))
-    )
+    metered = per_household.groupBy("hemisphere").agg(F.count(F.lit(1)).alias("metered"), F.max("known_days").alias("usage_days"))
     days = inputs.environment.groupBy("hemisphere").agg(F.count(F.lit(1)).alias("environment_days"))
-    orphans = orphan_households(inputs).groupBy("hemisphere").agg(F.count(F.lit(1)).alias("orphans"))
+    orphans = orphan_households(inputs, per_household.select(*KEYS)).groupBy("hemisphere").agg(F.count(F.lit(1)).alias("orphans"))
     wide = (
         households.join(metered, "hemisphere", "full")
         .join(days, "hemisphere", "full")
@@ -343,11 +361,12 @@ def check_types(table: str, df: DataFrame) -> DataFrame:
 
 
 def check_inputs(inputs: Inputs, expected: Expectations = Expectations()) -> DataFrame:
-    """All gates over the three inputs in one table."""
+    """All gates over the three inputs in one table; usage is scanned once."""
+    per_household = materialise(household_usage(inputs.usage), "household-usage")
     return (
         check_household(inputs.household, expected)
         .unionByName(check_landscape(inputs.household))
         .unionByName(check_environment(inputs.environment, expected))
-        .unionByName(check_usage(inputs.usage, inputs.household, expected))
-        .unionByName(check_integrity(inputs, expected))
+        .unionByName(check_usage(inputs.usage, inputs.household, expected, per_household))
+        .unionByName(check_integrity(inputs, expected, per_household))
     )

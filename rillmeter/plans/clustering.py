@@ -43,6 +43,7 @@ def train_clusters(spark: SparkSession, data_dir: str, k: int = CLUSTERS, seed:
     done = cluster(read_keyed(spark, f"{data_dir}/final"), k, seed)
     write_keyed(done.assignments, f"{data_dir}/final_with_clusters")
     done.centroids.write.mode("overwrite").parquet(f"{data_dir}/centroids")
+    training_bounds(read_keyed(spark, f"{data_dir}/final")).write.mode("overwrite").parquet(f"{data_dir}/training_bounds")
     for h, model in done.models.items():
         model.write().overwrite().save(f"{data_dir}/fitted/kmeans_{h}")
     return done

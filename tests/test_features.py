@@ -6,7 +6,7 @@ from fixtures import household, inputs, usage
 from pyspark.sql import functions as F
 
 from rillmeter.functions.calendar import env_flags
-from rillmeter.operators.features import daily_usage, extract_features, features_of, household_years, year_statistics
+from rillmeter.operators.features import daily_usage, extract_features, features_of, household_years, moment_statistics, year_statistics
 from rillmeter.schemas import FEATURES
 
 RAIN = [0, 0, 0, 5, 0, 0, 0, 0, 0, 0, 0, 1, 0, 0]
@@ -149,3 +149,14 @@ def test_percentiles_leave_out_days_without_weather(spark):
     for n in (8, 10**9):
         row = year_statistics(household_years(panel.usage), flags, flag_rows=n).first()
         assert row["n_days"] == 7 and (row["p25"], row["p95"]) == (4.5, 9.0)
+
+
+def test_moments_without_arrays_are_the_same(spark):
+    panel = inputs(spark, {"a": [5, 9, 7, 5000, 8, None, float("nan"), 4], "b": [1, 2, 3, 4, 5, 6, 7, 8]}, RAIN[:8])
+    flags = env_flags(panel.environment).where("day_index <> 3")
+    moments = moment_statistics(panel.usage, flags)
+    arrays = {r["household_id"]: r for r in year_statistics(household_years(panel.usage), flags).collect()}
+    for row in moments.collect():
+        for name in moments.columns:
+            other = arrays[row["household_id"]][name]
+            assert row[name] == (pytest.approx(other) if isinstance(other, float) else other)

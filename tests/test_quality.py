@@ -1,9 +1,11 @@
+import numpy as np
 import pytest
 from fixtures import ENVIRONMENT, HOUSEHOLD, USAGE, inputs
 from pyspark.sql import functions as F
 
 from rillmeter.operators import quality as q
 from rillmeter.schemas import Inputs
+from rillmeter.session import materialise
 
 GOOD = q.Expectations(households=2, days=14)
 
@@ -81,3 +83,24 @@ def test_soft_checks_warn(spark):
 def test_types(spark):
     rows = {r["column"]: r["conforms"] for r in q.check_types("household", clean(spark).household).collect()}
     assert rows == {"hemisphere": True, "household_id": True, "occupancy_count": False, "appliance_efficiency_score": False, "landscape_type": True}
+
+
+def test_usage_statistics_from_sums(spark):
+    panel = inputs(spark, {"a": [50.0] * 14, "b": [80.0, float("nan"), None] + [90.0] * 11}, [0, 0.5] * 7)
+    found = {r["check_id"]: r["observed"] for r in q.check_usage(panel.usage, panel.household, GOOD).collect()}
+    values = np.array([50.0] * 14 + [80.0] + [90.0] * 11)
+    assert found["Q15_usage_mean"] == pytest.approx(values.mean()) and found["Q15_usage_std"] == pytest.approx(values.std())
+    assert (found["Q15_usage_min"], found["Q15_usage_max"]) == (50.0, 90.0)
+
+
+def test_usage_without_a_measured_value(spark):
+    panel = inputs(spark, {"a": [None] * 14}, [0, 0.5] * 7)
+    found = {r["check_id"]: r["observed"] for r in q.check_usage(panel.usage, panel.household, GOOD).collect()}
+    assert found["Q15_usage_mean"] is None and found["Q15_usage_std"] is None
+
+
+def test_all_gates_start_from_one_stored_pass_over_usage(spark):
+    panel = clean(spark)
+    report = q.check_inputs(Inputs(panel.household, panel.environment, materialise(panel.usage, "readings")))
+    read = "".join(report.inputFiles())
+    assert "/household-usage-" in read and "/readings-" not in read

@@ -6,6 +6,7 @@ from rillmeter.operators.features import features_of
 from rillmeter.operators.quality import Expectations
 from rillmeter.plans.clustering import train_clusters
 from rillmeter.plans.feature_engineering import engineer, run_feature_engineering
+from rillmeter.plans.scoring import score_households
 from rillmeter.schemas import FEATURES, FINAL_FEATURES, SCALED_ORDER
 from rillmeter.session import checkpoint_root, materialise, pin_small, small_side
 from rillmeter.sources import layout
@@ -70,6 +71,10 @@ def test_whole_run_through_files(spark, sf_dir, tmp_path):
     assert labelled.select("hemisphere").distinct().count() == 1 and labelled.where("archetype IS NULL").count() == 0
     models = layout.load_models(f"{out}/fitted")
     assert (models["south"].clusterCenters()[0] == clustered.models["south"].clusterCenters()[0]).all()
+    scored = score_households(spark, out, layout.load_inputs(spark, source))
+    both = scored.alias("s").join(clustered.assignments.alias("t"), ["hemisphere", "household_id"])
+    assert both.where("s.cluster_id = t.cluster_id AND s.archetype = t.archetype AND abs(s.min_distance - t.min_distance) < 1e-6").count() == n
+    assert scored.where("size(out_of_range) > 0").count() == 0
     pruned = labelled._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(hemisphere" in pruned
 
