@@ -122,7 +122,8 @@ FINGERPRINT = ["fa", "fb", "n_bytes"]
 def _differing(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, segment: int) -> DataFrame:
     """Fingerprints whose rows do not all hold the same bytes."""
     texts = id_and_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
-    known = members.select("doc_id", "text_hash", *FINGERPRINT).distinct()
+    # Dealt anew before rows are made distinct: else a hot fingerprint would have to stay in one task.
+    known = members.select("doc_id", "text_hash", *FINGERPRINT).repartition("doc_id", "text_hash").distinct()
     held = texts.join(known, null_safe(texts, known, ["doc_id", "text_hash"])).select(*FINGERPRINT, F.col("text").cast("binary").alias("bytes"))
     chunks = held.select(
         *FINGERPRINT, "bytes",
@@ -145,19 +146,22 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gives an empty result; other columns of ``docs`` are not looked at.
     """
     rows = materialise(fingerprints(docs, id_col, text_col, prime, segment), "fingerprints")
-    groups = rows.groupBy(*FINGERPRINT).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    differing = materialise(_differing(docs, rows.join(groups, FINGERPRINT, "left_semi"), id_col, text_col, segment), "differing")
+    # Groups are stored before rows are joined back to them: only then can adaptive execution split a hot group.
+    groups = materialise(rows.groupBy(*FINGERPRINT).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "groups")
+    repeated = rows.join(groups.hint("merge"), FINGERPRINT, "left_semi")
+    differing = materialise(_differing(docs, repeated, id_col, text_col, segment), "differing")
     split = differing.withColumn("split", F.lit(True))
     classed = rows.join(split, FINGERPRINT, "left").withColumn("told", F.when(F.col("split"), F.col("text_sha256")).otherwise("")).drop("split")
     by = [*FINGERPRINT, "told"]
     keepers = classed.groupBy(*by).agg(
         F.max(F.struct("doc_id", "row_id")).alias("keeper"), F.count(F.lit(1)).alias("group_size")
     )
-    return classed.join(keepers, by).select(
+    keepers = materialise(keepers.where("group_size > 1"), "keepers")
+    return classed.join(keepers.hint("merge"), by, "left").select(
         "doc_id",
-        F.col("keeper.doc_id").alias("keep_id"),
-        "group_size",
-        (F.col("row_id") == F.col("keeper.row_id")).alias("kept"),
+        F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keeper.doc_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        F.coalesce(F.col("row_id") == F.col("keeper.row_id"), F.lit(True)).alias("kept"),
         "text_sha256",
         "text_hash",
         "row_id",
