@@ -1,7 +1,8 @@
 """Connected components of a link table, by alternating large-star and small-star steps.
 
 Every step is a grouped minimum and a join on tables in the shared folder; the driver sees one count a step.
-A node with very many links is a skewed join key, which adaptive execution splits.
+A node with very many links is a skewed join key, which adaptive execution splits: the minima are stored first, so
+both sides of the join come straight from a shuffle.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ def _step(links: DataFrame, large: bool) -> DataFrame:
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         both = both.union(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    met = both.join(least, "u")
+    least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+    met = both.join(least.hint("merge"), "u")
     if large:
         moved = met.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         own = least.where("u > m").select(F.col("u").alias("a"), F.col("m").alias("b"))
@@ -41,7 +42,8 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
 
     seen = mark(current)
     while seen[0]:
-        current = materialise(_step(_step(current, True), False), name)
+        current = materialise(_step(current, True), name)
+        current = materialise(_step(current, False), name)
         now = mark(current)
         if now == seen:
             break

@@ -235,14 +235,17 @@ def near_dedup(
         "classes",
     )
     banded = classes.select("id", "n", "regs").mapInArrow(_banded, "key long, id long, n long")
+    # Here and below, what is grouped by a key is stored before rows are joined back to it: adaptive execution can
+    # split a hot key only where both sides of the join come straight from a shuffle.
     leaders = banded.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    members = materialise(banded.join(leaders, "key"), "members")
+    leaders = materialise(leaders, "leaders")
+    members = materialise(banded.join(leaders.hint("merge"), "key"), "members")
 
-    sizes = classes.groupBy("id").agg(F.max("n").alias("n"))
+    sizes = materialise(classes.groupBy("id").agg(F.max("n").alias("n")), "sizes")
     close = f"100 * least(n, nb) >= {percent} * greatest(n, nb)"
     star = (
         members.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b"), "n").distinct()
-        .join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b").where(close).select("a", "b")
+        .join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")).hint("merge"), "b").where(close).select("a", "b")
     )
     left = classes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
     right = classes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
@@ -257,7 +260,8 @@ def near_dedup(
     labelled = members.select("key", "id").join(found.select(F.col("node").alias("id"), "component"), "id", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "id"))
     open_keys = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    rest = materialise(labelled.join(open_keys, "key", "left_semi").select("id", "component").distinct(), "rest")
+    open_keys = materialise(open_keys, "open-keys")
+    rest = materialise(labelled.join(open_keys.hint("merge"), "key", "left_semi").select("id", "component").distinct(), "rest")
     more = _prefix_links(spark, sets, rest, percent, counters)
     merged = found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
     final = materialise(components(merged), "components")
@@ -265,8 +269,9 @@ def near_dedup(
     named = first.join(final.select(F.col("node").alias("id"), "component"), "id", "left").select(
         *by_set, F.coalesce("component", "id").alias("component")
     )
+    named = materialise(named, "named")
     own = F.coalesce("component", "doc_id")
-    return rows.join(named, by_set, "left").select(
+    return rows.join(named.hint("merge"), by_set, "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), own).alias("component_id"),
@@ -288,7 +293,8 @@ def _prefix_links(spark, sets: DataFrame, rest: DataFrame, percent: int, counter
     several = (
         tokens.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
     )
-    met = materialise(tokens.join(several, "token", "left_semi"), "met")
+    several = materialise(several, "several")
+    met = materialise(tokens.join(several.hint("merge"), "token", "left_semi"), "met")
     other = met.select("token", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("at").alias("bt"), *[F.col(p).alias(f"b{p}") for p in PARITIES])
     # Before a pair's first common shingle nothing is shared, so at most min(n - at, nb - bt) shingles are.
     # A pair that reaches the threshold differs in at most (100 - t) / (100 + t) of (n + nb) shingles.

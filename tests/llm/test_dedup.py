@@ -2,9 +2,11 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from rillmeter.llm import exact_dedup as ed
 from rillmeter.llm import hyperminhash as hm
@@ -53,6 +55,38 @@ def test_kept_rows_keep_their_columns(hard, nothing):
     assert ed.keep_one(nothing).count() == 0
 
 
+@contextmanager
+def small_skew(spark):
+    """Partitions of a kilobyte count as skewed and are not put together."""
+    lowered = {
+        "skewJoin.skewedPartitionThresholdInBytes": "1k", "skewJoin.skewedPartitionFactor": "1.3", "advisoryPartitionSizeInBytes": "1k", "coalescePartitions.enabled": "false",
+    }
+    for name, value in lowered.items():
+        spark.conf.set(f"spark.sql.adaptive.{name}", value)
+    try:
+        yield
+    finally:
+        for name in lowered:
+            spark.conf.unset(f"spark.sql.adaptive.{name}")
+
+
+def executed(df):
+    rows = df.collect()
+    return rows, df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_hot_group_is_split_over_tasks(spark):
+    text = F.when(F.col("id") % 3 > 0, "one very common text of more than four words").otherwise(F.concat(F.lit("text number "), "id", F.lit(" of its own kind")))
+    docs = spark.range(0, 9000, 1, 8).select(F.col("id").alias("doc_id"), text.alias("text"))
+    with small_skew(spark):
+        rows, plan = executed(ed.exact_dedup(docs))
+        assert "skew=true" in plan
+        assert sum(r["kept"] for r in rows) == 3001 and max(r["group_size"] for r in rows) == 6000
+        rows, plan = executed(hm.near_dedup(docs, words=4))
+        assert "skew=true" in plan
+        assert Counter(r["component_id"] for r in rows)[1] == 6000
+
+
 def shingles(text, words):
     found = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not found:
