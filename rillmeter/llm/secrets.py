@@ -25,8 +25,10 @@ HEX = "[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
 SHORTEST_VALUE = 6
 
-#: Tokens that may be random, and the alphabets they are read in (name, pattern, symbols).
-CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
+#: Tokens that may be random, and the alphabets they are read in (name, pattern, symbols). "=" is padding at the end of a
+#: token and no letter of it, so a name and its value are tokens apart; a padded token or a value may be shorter.
+_LETTER = "[A-Za-z0-9+/_-]"
+CANDIDATE = f"{_LETTER}{{20,}}={{0,2}}|{_LETTER}{{14,19}}=+(?![A-Za-z0-9+/_=-])|(?<==){_LETTER}{{14,19}}"
 _DIGITS, _LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 ENCODINGS = (
     ("hex", "^([0-9a-f]+|[0-9A-F]+)$", _DIGITS + "abcdef"),

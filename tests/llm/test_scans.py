@@ -40,6 +40,20 @@ def test_random_tokens_are_told_from_structured_ones(spark):
     assert sum(got[100 + i] for i in range(80)) <= 4
 
 
+def test_random_values_behind_names_are_found(spark):
+    rng = random.Random(6)
+    rows, want = [], {}
+    for i in range(240):
+        value = base64.urlsafe_b64encode(rng.randbytes(30)).decode() if i % 3 else base64.b64encode(rng.randbytes(13)).decode()
+        before = ("SESSION_SIG=", "GET /a?x=1&sig=", "[main]\nsalt=", "padded ")[i % 4]
+        rows.append((i, f"{before}{value}\nend"))
+        want[i] = f"random:{len(before)}:{len(before) + len(value)}"
+    got = secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", secrets.written("found").alias("f")).collect()
+    for kind in range(4):
+        some = [r["f"] == want[r["doc_id"]] for r in got if r["doc_id"] % 4 == kind]
+        assert sum(some) >= 0.8 * len(some)
+
+
 def brute_hits(text, items):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     hit, found = set(), set()
