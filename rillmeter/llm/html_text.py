@@ -30,7 +30,10 @@ BLOCK_TAGS = frozenset(
 CONTAINERS = frozenset("article aside body details dialog div dl fieldset figure footer form header li main menu nav ol section table td ul".split())
 MAIN_TAGS = frozenset("article main".split())
 OTHER_TAGS = frozenset("aside dialog fieldset footer form header menu nav".split())
-RAW = "script|style|noscript|template|svg|head|iframe|select|textarea|button|object|canvas|audio|video"
+#: Elements whose text is not page text. Without an end tag the first lot runs to the end of the page, as in browsers, and the
+#: second only to the next block-level tag.
+RAW = "script|style|textarea"
+UNREAD = frozenset("noscript template svg iframe select button object canvas audio video".split())
 OTHER_NAMES = frozenset(
     "ad ads adv advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright "
     "disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notification pager pagination "
@@ -111,6 +114,9 @@ _TAG = re.compile(
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>|<[!?][^>]*+(?:>|\Z)|<[a-zA-Z/][^>]*+\Z",
     re.S | re.I,
 )
+_UNREAD = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*+(?:(?<=/)>|>.*?(?:</\1\s*+>|\Z))|<(/?)({'|'.join(sorted(UNREAD))})\b(?![:-])([^>]*+)>", re.S | re.I
+)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
@@ -131,15 +137,31 @@ def zone_of(tag: str, attributes: str, outer: int) -> int:
     return outer
 
 
+def unread(page: str) -> dict[int, int]:
+    """Where unread elements that have an end tag start and end; of the same name the inner ones are closed first."""
+    out: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    for m in _UNREAD.finditer(page):
+        if m[3]:
+            same = opened.setdefault(m[3].lower(), [])
+            if m[2]:
+                if same:
+                    out[same.pop()] = m.end()
+            elif not m[4].endswith("/"):
+                same.append(m.start())
+    return out
+
+
 def blocks(page: str) -> list[tuple[str, int, int, int]]:
     """Text, zone, words and words in links of each block with text, in page order."""
     out: list[tuple[str, int, int, int]] = []
     stack: list[tuple[str, int]] = []
     parts: list[tuple[str, bool]] = []
     zone = at = links = 0
+    skipped, skipping = unread(page), False
 
     def add(raw: str) -> None:
-        if raw:
+        if raw and not skipping:
             parts.append((html.unescape(raw), links > 0))
 
     def close() -> None:
@@ -149,20 +171,27 @@ def blocks(page: str) -> list[tuple[str, int, int, int]]:
                 out.append((text, zone, len(text.split()), sum(len(t.split()) for t, linked in parts if linked)))
             parts.clear()
 
-    for m in _TAG.finditer(page):
+    while m := _TAG.search(page, at):
         add(page[at : m.start()])
         at = m.end()
         ends, tag, attributes = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
         if not tag:
             continue
         tag = tag.lower()
-        if tag == "a":
+        if tag == "head":
+            skipping = not ends
+        elif tag in UNREAD:
+            if m.start() in skipped:
+                at = skipped[m.start()]
+            elif not ends and not attributes.endswith("/"):
+                skipping = True
+        elif tag == "a":
             links = 0 if ends else 1
         elif tag == "br":
             parts.append((" ", False))
         elif tag in BLOCK_TAGS:
             close()
-            links = 0
+            links, skipping = 0, False
             if tag in CONTAINERS:
                 if ends:
                     depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
@@ -201,7 +230,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """For every row of ``pages``: page_id, url, text (main text, "" if there is none), n_chars (code points).
 
     Null and empty pages have no text. Unclosed and stray tags are read as browsers would as far as containers
-    go; text outside all tags is a block. Repeated rows are read each on its own. Nothing is shuffled.
+    go; a head, and an unread element without an end tag, ends at the next block-level tag; text outside all tags is a block. Repeated rows are read each on its own. Nothing is shuffled.
     """
     rows = pages.select(
         col(id_col).cast("long").alias("page_id"), col(url_col).cast("string").alias("url"),

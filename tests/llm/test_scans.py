@@ -175,6 +175,22 @@ def test_main_text(spark, sf_dir):
         assert got[r["page_id"]] == " ".join(html.unescape(re.sub(r"<[^>]*>", " ", re.sub("</?b>", "", body))).split())
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<html><head><title>t</title><body><article><p>Main text</p></article>", "Main text"),
+        ("<head><title>t</title><noscript><p>no</p></noscript><p>" + "text " * 30, ("text " * 30).strip()),
+        *[(f"<article><p>One</p><{t} id=x>gone<p>Two</p><p>Three</p></article>", "One Two Three") for t in sorted(html_text.UNREAD)],
+        *[(f"<article><p>One <{t}>gone<{t}>gone</{t}><p>gone</p></{t}> two</p></article>", "One two") for t in sorted(html_text.UNREAD)],
+        ("<article><p>One<div><select><option>gone</div><p>Two</p><select><option>gone</select><p>Three</p>", "One Two Three"),
+        ("<article><p>One</p><object/><p>Two</p><script>gone<p>gone", "One Two"),
+        ("<article><p>One</p><!-- <select> --><p>Two</p><textarea>gone<p>gone", "One Two"),
+    ],
+)
+def test_unclosed_elements_do_not_swallow_the_page(page, want):
+    assert html_text.main_text(page) == want
+
+
 def test_pages_with_nulls_and_repeats(spark):
     pages = spark.createDataFrame([(1, None, None), (1, "x", PAGE), (1, "x", PAGE), (None, "http://a.de/x", "<p>" + "wort " * 100_000)], "page_id long, url string, html string")
     got = html_text.extract(pages.selectExpr("*", "1 AS text", "2 AS n_chars")).collect()
