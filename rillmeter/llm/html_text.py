@@ -2,7 +2,7 @@
 
 A page is cut into blocks at block-level tags. A block's features are its words, its share of words in links,
 the same of the blocks before and after it, and its zone: inside an article, inside something that is known
-not to be one (by tag or by class name), or neither. The tree is trained on the labelled table below, each time
+not to be one (by tag or by class name), inside something that may hold one (a form in an article, a layout's class name), or neither. The tree is trained on the labelled table below, each time
 the module is used; it holds a few hundred rows.
 """
 
@@ -29,7 +29,9 @@ BLOCK_TAGS = frozenset(
 )
 CONTAINERS = frozenset("article aside body details dialog div dl fieldset figure footer form header li main menu nav ol section table td ul".split())
 MAIN_TAGS = frozenset("article main".split())
-OTHER_TAGS = frozenset("aside dialog fieldset footer form header menu nav".split())
+OTHER_TAGS = frozenset("aside dialog footer header menu nav".split())
+#: Elements that are no text of an article around them, but may stand around a whole page.
+FORM_TAGS = frozenset("fieldset form".split())
 #: Elements whose text is not page text. Without an end tag the first lot runs to the end of the page, as in browsers, and the
 #: second only to the next block-level tag.
 RAW = "script|style|textarea"
@@ -40,6 +42,16 @@ OTHER_NAMES = frozenset(
     "popup promo promoted promotion related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe "
     "tags toolbar warning widget widgets".split()
 )
+#: Of these, what holds texts of others or notices: an article inside is none of the page's own.
+FOREIGN_NAMES = frozenset(
+    "ad ads adv advert advertisement advertising adverts comment comments consent cookie cookies copyright disclaimer disqus gdpr promo promoted "
+    "promotion related replies reply respond sponsor sponsored".split()
+)
+#: Words beside which a name keeps its meaning: "site-header", but not "with-sidebar" or "comments-open".
+NEUTRAL_NAMES = frozenset(
+    "area bar block body bottom box buttons container content inner item items left links list main page post posts primary right secondary section "
+    "site text top wrap wrapper".split()
+)
 MAIN_NAMES = frozenset("article articlebody content entry main post story text".split())
 
 #: Blocks of pages that name no zone: zone 0, words, link share, words and link share before and after, main text or not.
@@ -53,12 +65,13 @@ UNNAMED = (
     (0, 8, 0.0, 5, 0.0, 6, 0.0, 0), (0, 2, 0.0, 4, 0.0, 3, 1.0, 0), (0, 15, 0.6, 10, 0.5, 12, 0.7, 0), (0, 60, 0.7, 20, 0.8, 30, 0.6, 0),
 )
 _NEIGHBOURS = ((0, 0.0), (4, 1.0), (7, 0.3), (60, 0.0))
-#: The labelled table. Blocks inside an article are its text unless they are link lists, blocks inside anything else are
-#: not, whatever is beside them; the rest is as labelled above.
+#: The labelled table. Blocks inside an article are its text unless they are link lists; blocks inside what a class name
+#: or a form sets apart (zone -1) are text if they are long and hold few links; blocks inside anything else (zone -2) are not,
+#: whatever is beside them; the rest is as labelled above.
 LABELLED = UNNAMED + tuple(
-    (zone, words, links, *before, *after, int(zone == 1 and links < 0.8))
-    for zone, shares in ((1, (0.0, 0.5, 0.9, 1.0)), (-1, (0.0, 1.0)))
-    for words, links, before, after in itertools.product((2, 30, 300), shares, _NEIGHBOURS, _NEIGHBOURS)
+    (zone, words, links, *before, *after, int(zone == 1 and links < 0.8 or zone == -1 and words >= 100 and links < 0.4))
+    for zone, shares in ((1, (0.0, 0.5, 0.9, 1.0)), (-1, (0.0, 0.3, 0.5, 1.0)), (-2, (0.0, 1.0)))
+    for words, links, before, after in itertools.product((2, 30, 300) if zone != -1 else (2, 30, 100, 300), shares, _NEIGHBOURS, _NEIGHBOURS)
 )
 FEATURES = ("zone", "words", "links", "words_before", "links_before", "words_after", "links_after")
 DEPTH = 6
@@ -121,19 +134,39 @@ _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
 
+def names_other(names: str) -> set[str]:
+    """Words of ``OTHER_NAMES`` that class names and ids are made of, but for neutral words."""
+    out: set[str] = set()
+    for name in names.lower().split():
+        parts = {w for w in re.split(r"[^a-z]+", name) if w}
+        if parts <= OTHER_NAMES | NEUTRAL_NAMES:
+            out |= parts & OTHER_NAMES
+    return out
+
+
 def zone_of(tag: str, attributes: str, outer: int) -> int:
-    """Zone inside an element; what names neither side keeps the zone around it."""
-    names = {w for m in _NAMES.finditer(attributes) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())} if attributes else set()
+    """Zone inside an element; what names neither side keeps the zone around it.
+
+    Zone -2 cannot be left. Zone -1, by a form in an article or a class name alone, ends at an article inside.
+    """
     if tag == "body" or tag == "html":
         return 0
-    if names & OTHER_NAMES or (attributes and _HIDDEN.search(attributes)):
+    if outer == -2:
+        return outer
+    names = " ".join(m[1] or m[2] or m[3] or "" for m in _NAMES.finditer(attributes)) if attributes else ""
+    other = names_other(names)
+    if other & FOREIGN_NAMES or (attributes and _HIDDEN.search(attributes)):
+        return -2
+    if other:
         return -1
     if tag == "header" and outer > 0:
         return outer
     if tag in OTHER_TAGS:
+        return -2
+    if tag in FORM_TAGS and outer > 0:
         return -1
-    if tag in MAIN_TAGS or (names & MAIN_NAMES and outer == 0):
-        return 1 if outer >= 0 else -1
+    if tag in MAIN_TAGS or (outer == 0 and names and MAIN_NAMES.intersection(re.split(r"[^a-z]+", names.lower()))):
+        return 1
     return outer
 
 

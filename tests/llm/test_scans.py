@@ -191,6 +191,18 @@ def test_unclosed_elements_do_not_swallow_the_page(page, want):
     assert html_text.main_text(page) == want
 
 
+@pytest.mark.parametrize("wrapper", ["div class=with-sidebar", "div class='page sidebar'", "main class=has-sidebar", "article class='post comments-open'", "form id=aspnetForm", "form class=search"])
+def test_wrappers_do_not_empty_a_page(wrapper):
+    name = wrapper.split()[0]
+    text = " ".join(f"word{k}" for k in range(200))
+    inside = f"<nav><p>{text}</p></nav><div class=site-header>Site</div><article><p>Short text</p></article><section class=comments><article><p>{text}</p></article></section>"
+    assert html_text.main_text(f"<body><{wrapper}>{inside}</{name}>") == "Short text"
+    assert html_text.main_text(f"<body><{wrapper}><p>{text}</p><p><a>{text}</a></p></{name}>") == text
+    many = [" ".join(f"word{k}" for k in range(40))] * 5
+    if "=search" not in wrapper and " sidebar" not in wrapper:
+        assert html_text.main_text(f"<body><{wrapper}>" + "".join(f"<p>{t}</p>" for t in many) + f"</{name}>") == " ".join(many)
+
+
 def test_pages_with_nulls_and_repeats(spark):
     pages = spark.createDataFrame([(1, None, None), (1, "x", PAGE), (1, "x", PAGE), (None, "http://a.de/x", "<p>" + "wort " * 100_000)], "page_id long, url string, html string")
     got = html_text.extract(pages.selectExpr("*", "1 AS text", "2 AS n_chars")).collect()
