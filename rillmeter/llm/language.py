@@ -25,7 +25,8 @@ from rillmeter.session import materialise
 PER_LANGUAGE, BUCKETS, MOST_LANGUAGES = 1_500, 1 << 15, 200
 #: Weight of a trigram against independence, pseudo-counts of the levels, and share of declarations taken for noise.
 TEMPER, SMOOTHING = 0.2, 5.0
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([a-zA-Z]{2,3})", re.I)
+_HTML = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)\b.*?(?:</\1|\Z)|<html\b([^>]*+)", re.I | re.S)
+_LANG = re.compile(r"\blang\s*=\s*[\"']?([a-zA-Z]{2,3})", re.I)
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -67,6 +68,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return languages, np.log(table / table.sum(1, keepdims=True))
 
 
+def declared_language(page: str) -> str:
+    """Language of the first <html> tag that names one, wherever it stands; "" without one. Comments and scripts hold no tags."""
+    found = (_LANG.search(m[2]) for m in _HTML.finditer(page) if m[2])
+    return next((m[1].lower() for m in found if m), "")
+
+
 def _evidence(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     languages, table = shared.value
     for batch in batches:
@@ -76,8 +83,7 @@ def _evidence(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBa
             score = TEMPER * table[:, found].sum(1)
             score = np.exp(score - score.max())
             posterior.append((score / score.sum()).tolist())
-            m = _LANG.search(page[:4096])
-            declared.append(m[1].lower() if m else "")
+            declared.append(declared_language(page))
             grams.append(len(found))
         yield pa.RecordBatch.from_arrays(
             [*(batch[c] for c in ("page_id", "url", "host", "domain", "suffix", "row_id")), pa.array(declared), pa.array(grams, pa.int64()), pa.array(posterior, pa.list_(pa.float64()))],

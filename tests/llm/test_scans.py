@@ -226,6 +226,15 @@ def test_language_fuses_evidence(spark, documents, sf_dir):
     assert language.detect(pages.limit(0), documents).count() == 0
 
 
+@pytest.mark.parametrize(
+    "before, want",
+    [("", "fr"), (f"<!-- {'x' * 5000} -->", "fr"), (" " * 5000, "fr"), ("<!--[if IE]><html lang=de><![endif]-->", "fr"), (f"<script>var t = '<html lang=de>';{' ' * 5000}</script>", "fr"), ("<html>", "fr")],
+)
+def test_declared_language_is_found_anywhere(before, want):
+    assert language.declared_language(f'{before}<html class=x lang="FR-ca"><p>text</p>') == want
+    assert language.declared_language(f"{before}<p lang=fr>text</p>") == ""
+
+
 MIT = """Copyright (c) 2020 Someone
 
 Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
