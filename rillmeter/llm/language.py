@@ -2,9 +2,9 @@
 
 The text likelihood is a naive Bayes model over character trigrams (hashed to a fixed table), fitted on a bounded
 sample of labelled documents. Posteriors of all pages, from their text alone, are then summed by grouped
-aggregation: per declared language (what a declaration is worth), and per host, registered domain and address
-suffix. Each level of an address is smoothed towards the one above it, and a page's own share is taken out of
-the sums before they judge it.
+aggregation: per declared language (what a declaration is worth), and per host, its last three labels, last two
+and last one. Each level of an address is smoothed towards the one above it, but for one that has no more pages
+than the level below, and a page's own share is taken out of the sums before they judge it.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from rillmeter.session import materialise
 PER_LANGUAGE, BUCKETS, MOST_LANGUAGES = 1_500, 1 << 15, 200
 #: Weight of a trigram against independence, pseudo-counts of the levels, and share of declarations taken for noise.
 TEMPER, SMOOTHING = 0.2, 5.0
+#: Levels of an address: its last label, last two, last three, and all of them.
+LEVELS = ("suffix", "domain", "site", "host")
 _HTML = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)\b.*?(?:</\1|\Z)|<html\b([^>]*+)", re.I | re.S)
 _LANG = re.compile(r"\blang\s*=\s*[\"']?([a-zA-Z]{2,3})", re.I)
 
@@ -86,8 +88,8 @@ def _evidence(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBa
             declared.append(declared_language(page))
             grams.append(len(found))
         yield pa.RecordBatch.from_arrays(
-            [*(batch[c] for c in ("page_id", "url", "host", "domain", "suffix", "row_id")), pa.array(declared), pa.array(grams, pa.int64()), pa.array(posterior, pa.list_(pa.float64()))],
-            names=["page_id", "url", "host", "domain", "suffix", "row_id", "declared", "n_grams", "text_posterior"],
+            [*(batch[c] for c in ("page_id", "url", *LEVELS, "row_id")), pa.array(declared), pa.array(grams, pa.int64()), pa.array(posterior, pa.list_(pa.float64()))],
+            names=["page_id", "url", *LEVELS, "row_id", "declared", "n_grams", "text_posterior"],
         )
 
 
@@ -114,14 +116,14 @@ def detect(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col:
     rows = pages.select(
         col(id_col).cast("long").alias("page_id"), col(url_col).cast("string").alias("url"), F.coalesce(col(html_col).cast("string"), F.lit("")).alias("html"),
         host.alias("host"), F.monotonically_increasing_id().alias("row_id"),
-    ).withColumns({"domain": F.substring_index("host", ".", -3), "suffix": F.substring_index("host", ".", -1)})
+    ).withColumns({level: F.substring_index("host", ".", -labels) for labels, level in enumerate(LEVELS[:-1], 1)})
     if not languages:
         return rows.select(
             "page_id", "url", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("text_lang"),
             F.lit("").alias("declared"), F.lit(0).cast("long").alias("n_grams"),
         )
     shared = spark.sparkContext.broadcast((languages, table))
-    kind = "page_id long, url string, host string, domain string, suffix string, row_id long, declared string, n_grams long, text_posterior array<double>"
+    kind = "page_id long, url string, " + "".join(f"{level} string, " for level in LEVELS) + "row_id long, declared string, n_grams long, text_posterior array<double>"
     seen = materialise(rows.mapInArrow(lambda b: _evidence(b, shared), kind), "page-evidence")
     n = len(languages)
     own = F.col("text_posterior")
@@ -129,7 +131,7 @@ def detect(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col:
     total = max(1, whole[0])
     overall = F.array(*[F.lit((float(whole[1 + i] or 0) + 1) / (total + n)) for i in range(n)])
     joined = seen
-    for key in ("suffix", "domain", "host", "declared"):
+    for key in (*LEVELS, "declared"):
         joined = joined.join(_sums(seen, key, n), key)
 
     def smoothed(key: str, above: Column) -> Column:
@@ -137,9 +139,13 @@ def detect(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col:
         return F.zip_with(rest, above, lambda s, a: (s + SMOOTHING * a) / (F.col(f"{key}_m") - 1 + SMOOTHING))
 
     judged = joined.withColumn("overall", overall)
-    judged = judged.withColumn("suffix_prior", smoothed("suffix", F.col("overall")))
-    judged = judged.withColumn("domain_prior", smoothed("domain", F.col("suffix_prior")))
-    judged = judged.withColumn("host_prior", smoothed("host", F.col("domain_prior")))
+    above = "overall"
+    for level, below in zip(LEVELS, (*LEVELS[1:], None)):
+        prior = smoothed(level, F.col(above))
+        if below:  # a level with no pages but those of the one below would count them twice
+            prior = F.when(F.col(f"{level}_m") == F.col(f"{below}_m"), F.col(above)).otherwise(prior)
+        judged = judged.withColumn(f"{level}_prior", prior)
+        above = f"{level}_prior"
     judged = judged.withColumn("said", F.zip_with(smoothed("declared", F.col("overall")), "overall", lambda d, a: d / a))
     log = lambda c: F.transform(c, lambda x: F.log(F.greatest(x, F.lit(1e-12))))
     judged = judged.withColumn("log_posterior", _plus(_plus(log("text_posterior"), log("host_prior")), log("said")))

@@ -235,6 +235,15 @@ def test_declared_language_is_found_anywhere(before, want):
     assert language.declared_language(f"{before}<p lang=fr>text</p>") == ""
 
 
+def test_hosts_of_one_site_share_their_pages(spark, documents):
+    french, english = (documents.where(f"lang = '{lang}' and length(text) > 300").first()["text"] for lang in ("fr", "en"))
+    page = "<article><p>{}</p></article>".format
+    rows = [(k, f"http://www.site.com/{k}", page(french)) for k in range(30)] + [(100 + k, f"http://www.other{k}.com/", page(english)) for k in range(60)]
+    rows += [(1000, "http://blog.site.com/", ""), (1001, "http://site.com/", ""), (1002, "http://a.b.site.com/", ""), (1003, "http://blog.new.com/", ""), (1004, "http://com/", "")]
+    by = {r["page_id"]: r["lang"] for r in language.detect(spark.createDataFrame(rows, "page_id long, url string, html string"), documents).collect()}
+    assert [by[k] for k in range(1000, 1005)] == ["fr", "fr", "fr", "en", "en"]
+
+
 MIT = """Copyright (c) 2020 Someone
 
 Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
