@@ -15,7 +15,7 @@ register keeps the count of leading zeros and ten bits after them: 128 registers
    size), so passages and lines that many documents share are in no prefix. Only pairs between different
    components are formed and confirmed.
 
-What can be missed is a linked pair that shares no band bucket at all; see ``BANDS``.
+What can be missed is a linked pair of larger sets that shares no band bucket at all; see ``BANDS``.
 """
 
 from __future__ import annotations
@@ -38,7 +38,10 @@ _REST = 57
 #: (smallest set, largest set, bands). Small sets fill few registers, so they get wider bands. Classes overlap
 #: by a quarter: a linked pair is in one class together. With 32 bands of 4 registers a pair at 0.8 shares no
 #: bucket with probability (1 - 0.8**4)**32 = 5e-8; below 80 shingles fewer shingles differ than there are bands.
+#: Small sets may share no filled band. Those that can be linked with a set of fewer than ``FEW`` shingles also have a
+#: bucket for each of their first shingles, as in step 3, so that none of their links is missed.
 BANDS = ((1, 20, 8), (13, 80, 16), (52, 1 << 62, 32))
+FEW = 20
 SIGMAS = 6
 #: Counters that order shingles by frequency: 4 MB, whatever the corpus holds.
 COUNTERS = 1 << 20
@@ -97,20 +100,27 @@ def _band_keys(regs: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(rows), np.concatenate(keys).astype(np.int64)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+def heads(shingles: np.ndarray, percent: int) -> np.ndarray:
+    """The least shingles of a small sorted set, one of which every set that reaches the threshold has among its own."""
+    n = len(shingles)
+    return shingles[: n - -(-percent * n // 100) + 1] if n and percent * n < 100 * FEW else shingles[:0]
+
+
+def _sketch(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, 2000):
             part = batch.slice(start, 2000)
-            n, h1, h2, regs = [], [], [], []
+            n, h1, h2, regs, least = [], [], [], [], []
             for found in shingle_sets(part["text"], words):
                 n.append(len(found))
                 h1.append(mix(found + np.uint64(11)).sum(dtype=np.uint64))
                 h2.append(mix(found ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
                 regs.append(registers(found).tobytes())
+                least.append(heads(found, percent).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [part["doc_id"], pa.array(n, pa.int64()), pa.array(np.array(h1, np.uint64).astype(np.int64)),
-                 pa.array(np.array(h2, np.uint64).astype(np.int64)), pa.array(regs, pa.binary())],
-                names=["doc_id", "n", "h1", "h2", "regs"],
+                 pa.array(np.array(h2, np.uint64).astype(np.int64)), pa.array(regs, pa.binary()), pa.array(least, pa.binary())],
+                names=["doc_id", "n", "h1", "h2", "regs", "heads"],
             )
 
 
@@ -121,6 +131,9 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         regs = np.frombuffer(b"".join(batch["regs"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
         n = batch["n"].to_numpy()
         rows, keys = _band_keys(regs, n)
+        first = batch["heads"].to_pylist()
+        rows = np.concatenate([rows, np.repeat(np.arange(len(first)), [len(x) // 8 for x in first])])
+        keys = np.concatenate([keys, mix(np.frombuffer(b"".join(first), np.uint64) ^ np.uint64(0xA24BAED4963EE407)).astype(np.int64)])
         ids = batch["id"].to_numpy()
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids[rows]), pa.array(n[rows])], names=["key", "id", "n"])
 
@@ -224,17 +237,17 @@ def near_dedup(
     spark = docs.sparkSession
     texts = id_and_text(docs, id_col, text_col)
     rows = materialise(
-        texts.mapInArrow(lambda b: _sketch(b, words), "doc_id long, n long, h1 long, h2 long, regs binary"), "sketches"
+        texts.mapInArrow(lambda b: _sketch(b, words, percent), "doc_id long, n long, h1 long, h2 long, regs binary, heads binary"), "sketches"
     )
     by_set = ["h1", "h2", "n"]
     first = rows.where("n > 0 and doc_id is not null").groupBy(*by_set).agg(F.min("doc_id").alias("id"))
     classes = materialise(
         first.join(
-            rows.select(F.col("doc_id").alias("id"), *by_set, "regs").distinct(), ["id", *by_set]
-        ).select("id", *by_set, "regs"),
+            rows.select(F.col("doc_id").alias("id"), *by_set, "regs", "heads").distinct(), ["id", *by_set]
+        ).select("id", *by_set, "regs", "heads"),
         "classes",
     )
-    banded = classes.select("id", "n", "regs").mapInArrow(_banded, "key long, id long, n long")
+    banded = classes.select("id", "n", "regs", "heads").mapInArrow(_banded, "key long, id long, n long")
     # Here and below, what is grouped by a key is stored before rows are joined back to it: adaptive execution can
     # split a hot key only where both sides of the join come straight from a shuffle.
     leaders = banded.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")

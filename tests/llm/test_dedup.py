@@ -136,6 +136,22 @@ def test_near_dedup_equals_brute_force(spark):
         assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_all_links_of_very_short_texts_are_found(spark):
+    rng = random.Random(7)
+    rows = []
+    for k in range(15_000):
+        text = [f"w{rng.randrange(10**9)}" for _ in range(8)]
+        rows += [(2 * k, " ".join(text[:7])), (2 * k + 1, " ".join(text))]
+    sets = list(hm.shingle_sets(pa.array([t for _, t in rows]), 4))
+    at, keys = hm._band_keys(np.array([hm.registers(s) for s in sets]), np.array([len(s) for s in sets]))
+    by = defaultdict(set)
+    for i, key in zip(at.tolist(), keys.tolist()):
+        by[i].add(key)
+    assert any(not by[i] & by[i + 1] for i in range(0, len(rows), 2))  # bands alone miss some
+    got = hm.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(i, i - i % 2) for i, _ in rows}
+
+
 def test_near_dedup_on_hard_rows(hard, nothing):
     got = hm.near_dedup(hard, words=4).collect()
     order = lambda x: (x[0] or 0, x[1])
