@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillmeter.llm.alignment import align_tokenizers
 from rillmeter.llm.common import table
 from rillmeter.llm.decontaminate import contaminated_words
 from rillmeter.llm.exact_dedup import exact_dedup
+from rillmeter.llm.hard_negatives import hard_negatives
 from rillmeter.llm.html_text import extract
 from rillmeter.llm.hyperminhash import near_dedup
 from rillmeter.llm.language import detect
@@ -136,3 +138,29 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_language")
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op11_hard_negatives",
+    """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+                  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+                    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+       s AS (SELECT a.vec_id AS anchor_id, o.vec_id, o.label = a.label AS same, list_dot_product(a.x, o.x)::BIGINT AS score
+             FROM v a JOIN v o ON a.vec_id % 50 = 0 AND o.vec_id <> a.vec_id),
+       p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+             QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+       SELECT anchor_id, positive_id, row_number() OVER best::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+       FROM p JOIN s USING (anchor_id)
+       WHERE NOT same AND 100 * score BETWEEN 50 * positive_score AND 95 * positive_score
+       WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY rank <= 3""",
+)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+@query("op13_alignment")
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(table(spark, sf_dir, "documents"))
