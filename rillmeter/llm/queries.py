@@ -17,6 +17,7 @@ from rillmeter.llm.hyperminhash import near_dedup
 from rillmeter.llm.language import detect
 from rillmeter.llm.licenses import scan_licenses
 from rillmeter.llm.packing import pack
+from rillmeter.llm.pii import find_personal_data
 from rillmeter.llm.secrets import scan_secrets, written
 from rillmeter.llm.token_store import read_tokens, write_tokens
 from rillmeter.llm.toxicity import fit, toxicity
@@ -164,3 +165,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_alignment")
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokenizers(table(spark, sf_dir, "documents"))
+
+
+@query("op12_pii")
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(written("base"), 256).alias("base_sha256"), written("found").alias("spans"), "n_more"
+    )
