@@ -13,7 +13,9 @@ register keeps the count of leading zeros and ten bits after them: 128 registers
    ``n - ceil(t * n) + 1`` of each, in any fixed order, and its places there and the parities of
    256 cells bound what they share. Rare shingles come first (by a counting table of fixed
    size), so passages and lines that many documents share are in no prefix. Only pairs between different
-   components are formed and confirmed.
+   components are formed and confirmed. Where a shingle's members are of many components (a large group of near
+   copies, few of which reach the threshold with the bucket's first member), they first meet one member
+   a round, the one with fewest changes, and components are merged before the rest is joined.
 
 What can be missed is a linked pair of larger sets that shares no band bucket at all; see ``BANDS``.
 """
@@ -37,7 +39,8 @@ MANTISSA = 10
 _REST = 57
 #: (smallest set, largest set, bands). Small sets fill few registers, so they get wider bands. Classes overlap
 #: by a quarter: a linked pair is in one class together. With 32 bands of 4 registers a pair at 0.8 shares no
-#: bucket with probability (1 - 0.8**4)**32 = 5e-8; below 80 shingles fewer shingles differ than there are bands.
+#: bucket with probability (1 - 0.8**4)**32 = 5e-8. Below 72 shingles fewer shingles differ than there are bands; sets of
+#: 72 to 79 may differ in 16 shingles, which touch all 16 bands with probability 16!/16**16 = 1e-6.
 #: Small sets may share no filled band. Those that can be linked with a set of fewer than ``FEW`` shingles also have a
 #: bucket for each of their first shingles, as in step 3, so that none of their links is missed.
 BANDS = ((1, 20, 8), (13, 80, 16), (52, 1 << 62, 32))
@@ -46,6 +49,9 @@ SIGMAS = 6
 #: Counters that order shingles by frequency: 4 MB, whatever the corpus holds.
 COUNTERS = 1 << 20
 PARITIES = ("p0", "p1", "p2", "p3")
+#: A token is crowded if its members are of more components than this; most rounds of leaders before what is left is
+#: joined as it is.
+CROWD, ROUNDS = 64, 8
 
 
 def registers(shingles: np.ndarray) -> np.ndarray:
@@ -204,11 +210,13 @@ def _prefixes(batches: Iterator[pa.RecordBatch], counts, percent: int) -> Iterat
         for i in range(batch.num_rows):
             found = np.frombuffer(batch["shingles"][i].as_py(), np.uint64)
             some = prefix(found, table, percent).astype(np.int64)
+            often = table[(found & np.uint64(len(table) - 1)).astype(np.int64)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(some), *[pa.array(np.full(len(some), batch[c][i].as_py(), np.int64)) for c in ("id", "component")],
                  pa.array(np.full(len(some), len(found), np.int64)), pa.array(np.arange(len(some))),
-                 *[pa.array(np.full(len(some), x, np.int64)) for x in parities(found)]],
-                names=["token", "id", "component", "n", "at", *PARITIES],
+                 *[pa.array(np.full(len(some), x, np.int64)) for x in parities(found)],
+                 pa.array(np.full(len(some), np.log(np.maximum(often, 1)).mean()))],
+                names=["token", "id", "component", "n", "at", *PARITIES, "common"],
             )
 
 
@@ -299,25 +307,58 @@ def _prefix_links(spark, sets: DataFrame, rest: DataFrame, percent: int, counter
     table = np.zeros(counters, np.int32)
     table[found["slot"].to_numpy()] = np.minimum(found["n"].to_numpy(), np.iinfo(np.int32).max)
     shared = spark.sparkContext.broadcast(table)
-    tokens = materialise(
-        sets.join(rest, "id").mapInArrow(lambda b: _prefixes(b, shared, percent), "token long, id long, component long, n long, at long, " + ", ".join(f"{p} long" for p in PARITIES)).distinct(),
-        "prefixes",
-    )
-    several = (
-        tokens.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
-    )
-    several = materialise(several, "several")
-    met = materialise(tokens.join(several.hint("merge"), "token", "left_semi"), "met")
+    schema = "token long, id long, component long, n long, at long, " + ", ".join(f"{p} long" for p in PARITIES) + ", common double"
+    tokens = materialise(sets.join(rest, "id").mapInArrow(lambda b: _prefixes(b, shared, percent), schema).distinct(), "prefixes")
+    met, links = _open_tokens(tokens), rest.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+    known = links.count()
+    for _ in range(ROUNDS):
+        large = _crowded(met)
+        if not large.head(1):
+            break
+        met, links = _led(met, large, links, sets, percent)
+        now = links.count()
+        if now == known:  # the leaders are apart from all others
+            break
+        known = now
     other = met.select("token", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("at").alias("bt"), *[F.col(p).alias(f"b{p}") for p in PARITIES])
-    # Before a pair's first common shingle nothing is shared, so at most min(n - at, nb - bt) shingles are.
-    # A pair that reaches the threshold differs in at most (100 - t) / (100 + t) of (n + nb) shingles.
+    pairs = met.join(other, "token").where(f"component < cb and {_close(percent)}").select(F.col("id").alias("a"), "b").distinct()
+    return links.union(_confirmed(pairs, sets, percent))
+
+
+def _close(percent: int) -> str:
+    """Whether two rows of a token can reach the threshold. Before a pair's first common shingle nothing is shared, so at
+    most min(n - at, nb - bt) shingles are. A pair that reaches it differs in at most (100 - t) / (100 + t) of (n + nb) shingles."""
     differ = " + ".join(f"bit_count({p} ^ b{p})" for p in PARITIES)
-    close = (
-        f"component < cb and {100 + percent} * least(n - at, nb - bt) >= {percent} * (n + nb) "
-        f"and {100 + percent} * ({differ}) <= {100 - percent} * (n + nb)"
+    return (
+        f"{100 + percent} * least(n - at, nb - bt) >= {percent} * (n + nb) and {100 + percent} * ({differ}) <= {100 - percent} * (n + nb)"
     )
-    pairs = met.join(other, "token").where(close).select(F.col("id").alias("a"), "b").distinct()
-    return _confirmed(pairs, sets, percent)
+
+
+def _open_tokens(tokens: DataFrame) -> DataFrame:
+    """Rows of the tokens that still hold several components."""
+    several = tokens.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
+    return materialise(tokens.join(materialise(several, "several").hint("merge"), "token", "left_semi"), "met")
+
+
+def _crowded(met: DataFrame) -> DataFrame:
+    """Tokens with more than CROWD components. In any other, a row has fewer partners than CROWD times the token's rows."""
+    by = met.select("token", "component").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+    return materialise(by.where(f"c > {CROWD}").select("token"), "crowded")
+
+
+def _led(met: DataFrame, large: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """A round: in each crowded token all members meet one of them, the one with the most common shingles, which of a
+    group of near copies is the one with fewest changes. Returns the rows that have still not met and all links so far."""
+    crowd = met.join(large.hint("merge"), "token", "left_semi")
+    row = F.struct(F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("at").alias("bt"), *[F.col(p).alias(f"b{p}") for p in PARITIES])
+    leader = crowd.groupBy("token").agg(F.max_by(row, F.struct("common", -F.col("id"))).alias("l")).select("token", "l.*")
+    leader = materialise(leader, "token-leaders")
+    beside = met.join(leader.hint("merge"), "token", "left")
+    pairs = beside.where(f"b is not null and component <> cb and {_close(percent)}").select(F.col("id").alias("a"), "b").distinct()
+    links = materialise(links.union(_confirmed(pairs, sets, percent)), "led-links")
+    named = materialise(components(links).withColumnRenamed("component", "new"), "led-components")
+    left = beside.where("b is null or id <> b").select(*met.columns).join(named.withColumnRenamed("node", "id").hint("merge"), "id", "left")
+    return _open_tokens(left.withColumn("component", F.coalesce("new", "component")).drop("new")), links
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:

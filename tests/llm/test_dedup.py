@@ -179,3 +179,22 @@ def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7)]
     got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
     assert got == {i: 0 for i in range(41)} | {100 + k: 100 for k in range(30)}
+
+
+def test_crowds_of_near_copies_meet_leaders(spark, monkeypatch):
+    """Copies of one text with a few changes each: most pairs lie around the threshold, few reach it with the first."""
+    r = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for at in r.choice(60, 1 + i % 3, replace=False):
+            words[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(words)))
+    want = {i: c for i, _, c in brute_components(rows, 5, 80)}
+    assert len(set(want.values())) > 20
+    for crowd, rounds in ((2, 8), (2, 1)):
+        monkeypatch.setattr(hm, "CROWD", crowd)
+        monkeypatch.setattr(hm, "ROUNDS", rounds)
+        found = hm.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert {x["doc_id"]: x["component_id"] for x in found.collect()} == want
