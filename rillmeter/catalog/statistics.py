@@ -244,22 +244,85 @@ def feature_normal_qq(spark, sf_dir):
     return density.normal_qq(t.stored_features(spark, sf_dir), FEATURES, ["household_id"])
 
 
-@query(
-    "C8_qq_line",
-    with_tables(
-        "features",
+def _line_sql(level, *cells):
+    return with_tables(
+        level,
         "SELECT hemisphere, \"column\", "
         + r(slope="CASE WHEN var_pop(x) = 0 THEN NULL ELSE covar_pop(x, value) / var_pop(x) END",
             intercept="CASE WHEN var_pop(x) = 0 THEN NULL ELSE avg(value) - covar_pop(x, value) / var_pop(x) * avg(x) END",
             r="CASE WHEN var_pop(x) * var_pop(value) = 0 THEN NULL ELSE covar_pop(x, value) / (stddev_pop(x) * stddev_pop(value)) END")
         + f" FROM (SELECT *, {_normal_quantile('p')} AS x FROM placed) GROUP BY 1, 2",
-        FEATURE_CELLS, "kernels AS (SELECT * FROM cells WHERE value IS NOT NULL)", _POSITIONS,
-    ),
-)
+        *cells, _POSITIONS,
+    )
+
+
+@query("C8_qq_line", _line_sql("features", FEATURE_CELLS, "kernels AS (SELECT * FROM cells WHERE value IS NOT NULL)"))
 def qq_line(spark, sf_dir):
     return density.qq_line(density.normal_qq(t.stored_features(spark, sf_dir), FEATURES, ["household_id"]))
 
 
+@query("C8_usage_qq_line", _line_sql("panel", USAGE_CELLS, _ALL_CELLS))
+def usage_qq_line(spark, sf_dir):
+    return density.qq_line(density.normal_qq(t.stored_usage(spark, sf_dir), ["liters"], ["household_id", "day_index"]))
+
+
+def _digamma(k: str) -> str:
+    y = f"({k} + 8)"
+    q = f"(1 / ({y} * {y}))"
+    return f"(ln({y}) - 0.5 / {y} - {q} * (1.0 / 12 - {q} * (1.0 / 120 - {q} * (1.0 / 252 - {q} / 240)))" + "".join(f" - 1 / ({k} + {i})" for i in range(8)) + ")"
+
+
+def _trigamma(k: str) -> str:
+    y = f"({k} + 8)"
+    q = f"(1 / ({y} * {y}))"
+    return f"(1 / {y} + {q} / 2 + {q} / {y} * (1.0 / 6 - {q} * (1.0 / 30 - {q} * (1.0 / 42 - {q} / 30)))" + "".join(f" + 1 / (({k} + {i}) * ({k} + {i}))" for i in range(8)) + ")"
+
+
+def _shaped(rows: str) -> str:
+    """Shape k4 (Minka's iteration, from his estimate) and slope of the likelihood for rows of my, ml, inv: the mean,
+    mean logarithm and mean inverse of what is above a location."""
+    out = f"SELECT *, (3 - d + sqrt((d - 3) * (d - 3) + 24 * d)) / (12 * d) AS k0 FROM (SELECT *, ln(my) - ml AS d FROM ({rows}))"
+    for i in range(4):
+        k = f"k{i}"
+        step = f"1 / (1 / {k} + (ln({k}) - {_digamma(k)} - d) / ({k} * {k} * (1 / {k} - {_trigamma(k)})))"
+        out = f"SELECT *, {step} AS k{i + 1} FROM ({out})"
+    return f"SELECT *, k4 / my - (k4 - 1) * inv AS slope FROM ({out})"
+
+
+_LOCATION = "(least - s * exp(u))"
+_ABOVE = (
+    f"any_value(mean - {_LOCATION}) AS my, avg(ln(value - {_LOCATION})) AS ml, avg(1 / (value - {_LOCATION})) AS inv, any_value({_LOCATION}) AS location"
+)
+_REACH = "(ln(1e3::DOUBLE) - i * (ln(1e3::DOUBLE) - ln(1e-6::DOUBLE)) / 31)"
+#: The likelihood's slope at 32 locations, the first turn from the far side, fifty halvings of it.
+_GAMMA_SQL = with_tables(
+    "panel",
+    f"SELECT hemisphere, \"column\", n, {r(shape='coalesce(k4, flat)', location='coalesce(location, 0)')}, k4 IS NOT NULL AS inner FROM "
+    f"(SELECT g, k4 AS flat FROM ({_shaped('SELECT g, avg(value) AS my, avg(ln(value)) AS ml, 0.0 AS inv FROM x GROUP BY g')})) "
+    f"JOIN m USING (g) LEFT JOIN ({_shaped(f'SELECT g, {_ABOVE} FROM x JOIN m USING (g) JOIN (SELECT g, (hi + lo) / 2 AS u FROM b WHERE i = 50) USING (g) GROUP BY g')}) USING (g)",
+    'cells AS (SELECT hemisphere, \'liters\' AS "column", CAST(liters AS DOUBLE) AS value FROM usage UNION ALL '
+    "SELECT hemisphere, 'occupancy_count', CAST(occupancy_count AS DOUBLE) FROM household UNION ALL "
+    "SELECT hemisphere, 'appliance_efficiency_score', appliance_efficiency_score FROM household)",
+    'x AS MATERIALIZED (SELECT hemisphere || "column" AS g, * FROM cells WHERE value > 0)',
+    'm AS MATERIALIZED (SELECT g, hemisphere, "column", count(*) AS n, avg(value) AS mean, min(value) AS least, stddev_pop(value) AS s FROM x GROUP BY ALL)',
+    "scan AS MATERIALIZED (" + _shaped(f"SELECT g, u, {_ABOVE} FROM x JOIN m USING (g), (SELECT {_REACH} AS u FROM range(32) t(i)) GROUP BY g, u") + ")",
+    "turn AS (SELECT g, max(u) AS hi, arg_max(near, u) AS lo FROM (SELECT *, lead(u) OVER w AS near, lead(slope) OVER w AS after FROM scan "
+    "WINDOW w AS (PARTITION BY g ORDER BY u DESC)) WHERE slope > 0 AND after <= 0 GROUP BY g)",
+    "b(i, g, hi, lo) AS (SELECT 0, g, hi, lo FROM turn UNION ALL SELECT i, g, CASE WHEN slope > 0 THEN u ELSE hi END, CASE WHEN slope > 0 THEN lo ELSE u END FROM ("
+    + _shaped(
+        f"SELECT g, any_value(i) + 1 AS i, any_value(hi) AS hi, any_value(lo) AS lo, any_value(u) AS u, {_ABOVE} "
+        "FROM (SELECT b.*, (hi + lo) / 2 AS u, value, mean, least, m.s FROM b JOIN x USING (g) JOIN m USING (g) WHERE i < 50) GROUP BY g"
+    )
+    + "))",
+).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("C9_gamma_fits", _GAMMA_SQL)
+def gamma_fits(spark, sf_dir):
+    traits = density.gamma_fits(t.panel(spark, sf_dir).household, _HOUSEHOLD_COLUMNS)
+    return density.gamma_fits(t.stored_usage(spark, sf_dir), ["liters"]).union(traits)
+
+
 @query("C9_usage_gamma_qq")
 def usage_gamma_qq(spark, sf_dir):
     return density.gamma_qq(t.stored_usage(spark, sf_dir), ["liters"], ["household_id", "day_index"])
@@ -314,3 +377,8 @@ def traits_and_means(spark, sf_dir):
     return pr.traits_with_means(p.household, p.usage).select(
         *KEYS, F.col("occupancy_count").cast("double").alias("occupancy_count"), *_NUMERIC[1:]
     )
+
+
+@query("C9_usage_gamma_line")
+def usage_gamma_line(spark, sf_dir):
+    return density.qq_line(density.gamma_qq(t.stored_usage(spark, sf_dir), ["liters"], ["household_id", "day_index"]))

@@ -72,7 +72,7 @@ def digamma(x: float) -> float:
 
 
 def gamma_shape(mean: float, mean_log: float) -> float | None:
-    """Maximum-likelihood gamma shape with the location held at zero.
+    """Maximum-likelihood gamma shape of values with this mean and mean logarithm.
 
     Solves ``log k - digamma(k) = log(mean) - mean_log`` by bisection; the left
     side falls in ``k``. Constant data has no finite shape.
@@ -90,20 +90,90 @@ def gamma_shape(mean: float, mean_log: float) -> float | None:
     return math.sqrt(low * high)
 
 
-def gamma_cdf(shape: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Regularised lower incomplete gamma function by its power series."""
-    x = np.maximum(x, 1e-300)
-    term = 1.0 / shape
-    total = term.copy()
-    step = shape.copy()
-    for _ in range(20_000):
+#: From this shape on the distribution function comes from its uniform expansion; below, from series and fraction.
+LARGE_SHAPE = 1e4
+# Temme (1979), first two coefficients of the uniform expansion as power series in eta.
+TEMME_FIRST = (
+    -1 / 3, 1 / 12, -2 / 135, 1 / 864, 1 / 2835, -139 / 777600, 1 / 25515, -571 / 261273600, -281 / 151559100,
+)
+TEMME_SECOND = (-1 / 540, -1 / 288, 1 / 378, -77 / 77760, 1 / 4860, -4.0187757201646091e-7)
+
+
+def _stirling(shape: np.ndarray) -> np.ndarray:
+    """Gamma(a) / (sqrt(2 pi / a) (a / e)^a) for large a."""
+    t = 1 / shape
+    return 1 + t * (1 / 12 + t * (1 / 288 - t * (139 / 51840 + t * 571 / 2488320)))
+
+
+def _excess(shape: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """x / a - 1 - log(x / a), without cancellation near x = a."""
+    mu = (x - shape) / shape
+    near = mu * mu * (1 / 2 - mu * (1 / 3 - mu * (1 / 4 - mu * (1 / 5 - mu * (1 / 6 - mu / 7)))))
+    return np.where(np.abs(mu) < 1e-3, near, mu - np.log1p(np.maximum(mu, np.nextafter(-1, 0))))
+
+
+def _density_factor(shape: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """x^a exp(-x) / Gamma(a + 1)."""
+    log_gamma = np.vectorize(math.lgamma, otypes=[float])(np.minimum(shape, 50) + 1)
+    few = np.minimum(shape, 50)
+    small = np.exp(few * np.log(x) - x - log_gamma)
+    large = np.exp(-shape * _excess(shape, x)) / np.sqrt(2 * np.pi * shape) / _stirling(shape)
+    return np.where(shape < 50, small, large)
+
+
+def _series(shape: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Lower function by its power series, for x <= a + 1: terms fall from the first on."""
+    term, total, step = np.ones_like(x), np.ones_like(x), shape.copy()
+    while np.any(term > total * 1e-17):
         step = step + 1
         term = term * x / step
         total = total + term
-        if np.all(term <= total * 1e-16):
-            break
-    log_gamma = np.vectorize(math.lgamma)(shape)
-    return np.clip(np.exp(shape * np.log(x) - x - log_gamma) * total, 0.0, 1.0)
+    return _density_factor(shape, x) * total
+
+
+def _fraction(shape: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Upper function by its continued fraction (Lentz's method), for x > a + 1."""
+    b = x + 1 - shape
+    c, d = np.full_like(x, 1e300), 1 / b
+    h, i, open_ = d.copy(), 0, np.ones(len(x), bool)
+    while open_.any():
+        i += 1
+        step = -i * (i - shape)
+        b = b + 2
+        d = step * d + b
+        d = 1 / np.where(np.abs(d) < 1e-300, 1e-300, d)
+        c = b + step / c
+        c = np.where(np.abs(c) < 1e-300, 1e-300, c)
+        h = np.where(open_, h * d * c, h)
+        open_ &= np.abs(d * c - 1) > 1e-16 * 4
+    return _density_factor(shape, x) * shape * h
+
+
+def _uniform(shape: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Lower function for large shapes: an error function and two terms of Temme's expansion around x = a."""
+    half = _excess(shape, x)
+    eta = np.sign(x - shape) * np.sqrt(2 * half)
+    centre = np.array([math.erfc(z) / 2 for z in -eta * np.sqrt(shape / 2)])
+    near = np.clip(eta, -0.2, 0.2)  # beyond, the exponential is zero
+    first, second = (np.polynomial.polynomial.polyval(near, c) for c in (TEMME_FIRST, TEMME_SECOND))
+    return centre - np.exp(-shape * half) * (first + second / shape) / np.sqrt(2 * np.pi * shape)
+
+
+def gamma_cdf(shape: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Regularised lower incomplete gamma function, for any positive shape.
+
+    Power series up to x = a + 1, continued fraction beyond, uniform expansion from ``LARGE_SHAPE`` on. Each runs until
+    its terms no longer count; below ``LARGE_SHAPE`` that takes a few thousand at most.
+    """
+    shape, x = np.asarray(shape, float), np.maximum(np.asarray(x, float), 1e-300)
+    out = np.empty(len(x))
+    large = shape >= LARGE_SHAPE
+    low = ~large & (x <= shape + 1)
+    high = ~large & ~low
+    for part, how in ((large, _uniform), (low, _series), (high, lambda a, v: 1 - _fraction(a, v))):
+        if part.any():
+            out[part] = how(shape[part], x[part])
+    return np.clip(out, 0.0, 1.0)
 
 
 def gamma_ppf(p: np.ndarray, shape: np.ndarray) -> np.ndarray:

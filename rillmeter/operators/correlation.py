@@ -8,42 +8,39 @@ from itertools import combinations_with_replacement
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillmeter.functions.expressions import array_of, names_of
+from rillmeter.functions.expressions import nan_to_null
 from rillmeter.operators.ranking import average_ranks
 
 
 def pearson(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ("hemisphere",)) -> DataFrame:
     """All pairs over the rows where both are known; both triangles are returned.
 
-    Each row meets its pairs inside its task and is summed there. A pair with a
-    constant side gives NULL, where ``corr`` would raise a division error.
+    All pairs are sums of one aggregate: a task holds one row of mergeable co-moments per group, and a row of the table is
+    read once. A pair's sums count the rows where both are known. A pair with a constant side gives NULL, where ``corr``
+    would raise a division error.
     """
-    pairs = list(combinations_with_replacement(range(len(columns)), 2))
-    sides = F.expr("array(" + ", ".join(f"struct({i} AS a, {j} AS b)" for i, j in pairs) + ")")
-    x, y = F.get("values", F.col("pair.a")), F.get("values", F.col("pair.b"))
-    known = (
-        df.select(*by, array_of(columns).alias("values"), F.explode(sides).alias("pair"))
-        .select(*by, "pair.a", "pair.b", x.alias("x"), y.alias("y"))
-        .withColumn("both", F.col("x").isNotNull() & F.col("y").isNotNull())
-    )
-    x, y = F.when(F.col("both"), F.col("x")), F.when(F.col("both"), F.col("y"))
-    upper = known.groupBy(*by, "a", "b").agg(
-        F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias("r")
-    )
-    lower = F.when(F.col("a") != F.col("b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = F.array_compact(F.array(F.struct("a", "b"), lower))
-    names = names_of(columns)
-    return upper.select(*by, "r", F.explode(both).alias("pair")).select(
-        *by, F.get(names, F.col("pair.a")).alias("a"), F.get(names, F.col("pair.b")).alias("b"), "r"
+    pairs = list(combinations_with_replacement(columns, 2))
+    x, y = (lambda i: F.col(f"`{pairs[i][0]}`")), (lambda i: F.col(f"`{pairs[i][1]}`"))
+    values = df.select(*by, *[nan_to_null(F.col(f"`{c}`").cast("double")).alias(c) for c in columns])
+    sums = values.groupBy(*by).agg(
+        *[F.regr_sxy(y(i), x(i)).alias(f"xy{i}") for i in range(len(pairs))],
+        *[F.regr_sxx(y(i), x(i)).alias(f"xx{i}") for i in range(len(pairs))],
+        *[F.regr_syy(y(i), x(i)).alias(f"yy{i}") for i in range(len(pairs))],
     )
+    cells = [
+        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.try_divide(F.col(f"xy{i}"), F.sqrt(f"xx{i}") * F.sqrt(f"yy{i}")).alias("r"))
+        for i, pair in enumerate(pairs)
+        for a, b in sorted({pair, pair[::-1]})
+    ]
+    return sums.select(*by, F.explode(F.array(*cells)).alias("cell")).select(*by, "cell.a", "cell.b", "cell.r")
 
 
 def rank_columns(
     df: DataFrame, columns: Sequence[str], ids: Sequence[str], by: Sequence[str] = ("hemisphere",),
-    rows_per_bucket: int = 1_000_000,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Replace each column by its average rank within the group."""
-    ranks = average_ranks(df, by, ids, columns, rows_per_bucket)
+    ranks = average_ranks(df, by, ids, columns, partitions)
     return ranks.groupBy(*by, *ids).agg(
         *[F.max(F.when(F.col("column") == c, F.col("rank"))).alias(c) for c in columns]
     )
@@ -51,10 +48,10 @@ def rank_columns(
 
 def spearman(
     df: DataFrame, columns: Sequence[str], ids: Sequence[str], by: Sequence[str] = ("hemisphere",),
-    rows_per_bucket: int = 1_000_000,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Pearson of average ranks. ``ids`` name the row, so ranks can be brought back together."""
-    return pearson(rank_columns(df, columns, ids, by, rows_per_bucket), columns, by)
+    return pearson(rank_columns(df, columns, ids, by, partitions), columns, by)
 
 
 def collinear_pairs(matrix: DataFrame, threshold: float = 0.8) -> DataFrame:

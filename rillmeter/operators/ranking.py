@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillmeter.functions.expressions import array_of, names_of, nan_to_null
+from rillmeter.session import materialise
 
 #: A slice with at most this many rows is sorted inside one task.
 DIRECT_ROWS = 250_000
@@ -224,93 +225,90 @@ def quantile_table(
     return local_table(df.sparkSession, data, ddl)
 
 
-def _bucketed(
-    df: DataFrame, by: Sequence[str], ids: Sequence[str], columns: Sequence[str], rows_per_bucket: int
-) -> DataFrame:
-    """Cells with their range bucket, the rows before it and a salt.
+def _ranged(df: DataFrame, by: Sequence[str], ids: Sequence[str], columns: Sequence[str], partitions: int | None) -> DataFrame:
+    """Cells dealt to a fixed number of value ranges by one range exchange, with what the driver adds up per range.
 
-    A value frequent enough to overfill a bucket always coincides with a
-    splitter, so it gets an odd bucket of its own and is spread by ``salt``.
+    The key of the row is the last part of the range key, so a value that holds many rows is spread over several
+    ranges. Columns added: ``part`` (the range), ``before`` (rows of the group in former ranges), ``n`` (rows of the
+    group), and for the least and the largest value of the range, which alone can go on in another, where its run begins and
+    how long it is (``lo``, ``lo_before``, ``lo_rows``, ``hi``, ...). A range and group is one row on the driver.
     """
-    cells = melt(df, [*by, *ids], columns)
-    counts = _group_counts(df, by, columns)
-    buckets = math.ceil(max((n for _, _, n in counts), default=0) / rows_per_bucket)
-    if buckets <= 1:
-        zero = F.lit(0).cast("long")
-        return cells.withColumns({"bucket": F.lit(0), "before": zero, "rows": zero, "salt": F.lit(0)})
-    grid = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    sketch = cells.groupBy(*by, "column").agg(
-        F.array_sort(F.array_distinct(F.percentile_approx("value", grid, F.lit(10 * buckets)))).alias("splitters")
-    )
-    splitters = [r.asDict() for r in sketch.collect()]
-    group_ddl = [f"{b} {_type_of(df, b)}" for b in by] + ["column STRING"]
     names = [*by, "column"]
-    table = local_table(
-        df.sparkSession,
-        {k: [r[k] for r in splitters] for k in [*names, "splitters"]},
-        ", ".join([*group_ddl, "splitters ARRAY<DOUBLE>"]),
+    spark = df.sparkSession
+    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cells = melt(df, [*by, *ids], columns).withColumn("value", F.col("value") + F.lit(0.0))  # one zero
+    dealt = cells.repartitionByRange(partitions, *names, "value", F.xxhash64(*ids)).withColumn("part", F.spark_partition_id())
+    ranged = materialise(dealt, "ranged")  # the ranges come from a sample: they must not be drawn twice
+    keys = ["part", *names]
+    ends = ranged.groupBy(*keys).agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count(F.lit(1)).alias("rows"))
+    ends = materialise(ends, "range-ends")
+    known = ranged.join(F.broadcast(ends), _same(ranged, ends, keys))
+    runs = known.groupBy(*[ranged[k] for k in keys]).agg(
+        F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.first("rows").alias("rows"),
+        F.count_if(F.col("value") == F.col("lo")).alias("at_lo"), F.count_if(F.col("value") == F.col("hi")).alias("at_hi"),
     )
-    placed = cells.join(F.broadcast(table), names).withColumn(
-        "bucket", bucket_of(F.col("value"), F.col("splitters"), buckets)
-    ).drop("splitters")
-    filled = [r.asDict() for r in placed.groupBy(*names, "bucket").count().orderBy(*names, "bucket").collect()]
-    running: dict = {}
-    for r in filled:
-        key = tuple(r[n] for n in names)
-        r["before"], r["rows"] = running.get(key, 0), r["count"]
-        running[key] = r["before"] + r["rows"]
-    offsets = local_table(
-        df.sparkSession,
-        {k: [r[k] for r in filled] for k in [*names, "bucket", "before", "rows"]},
-        ", ".join([*group_ddl, "bucket INT", "before BIGINT", "rows BIGINT"]),
+    found = sorted((r.asDict() for r in runs.collect()), key=lambda r: r["part"])
+    total: dict = {}
+    begin: dict = {}
+    length: dict = {}
+    for r in found:
+        group = tuple(r[k] for k in names)
+        r["before"] = total.get(group, 0)
+        total[group] = r["before"] + r["rows"]
+        for end, count, start in (("lo", "at_lo", r["before"]), ("hi", "at_hi", total[group] - r["at_hi"])):
+            if end == "hi" and r["hi"] == r["lo"]:
+                continue
+            begin.setdefault((group, r[end]), start)
+            length[group, r[end]] = length.get((group, r[end]), 0) + r[count]
+    for r in found:
+        group = tuple(r[k] for k in names)
+        r["n"] = total[group]
+        for end in ("lo", "hi"):
+            r[f"{end}_before"], r[f"{end}_rows"] = begin[group, r[end]], length[group, r[end]]
+    more = ["before", "n", "lo_before", "lo_rows", "hi_before", "hi_rows"]
+    ddl = ["part INT", *[f"{b} {_type_of(df, b)}" for b in by], "column STRING", "lo DOUBLE", "hi DOUBLE", *[f"{m} BIGINT" for m in more]]
+    table = local_table(spark, {k: [r[k] for r in found] for k in [*keys, "lo", "hi", *more]}, ", ".join(ddl))
+    return ranged.join(F.broadcast(table), _same(ranged, table, keys)).select(
+        *[ranged[c] for c in ranged.columns], "lo", "hi", *more
     )
-    spread = F.ceil(F.col("rows") / F.lit(rows_per_bucket))
-    salt = F.when(F.col("bucket") % 2 == 1, F.pmod(F.xxhash64(*ids), spread)).otherwise(0)
-    return placed.join(F.broadcast(offsets), [*names, "bucket"]).withColumn("salt", salt.cast("int"))
+
+
+def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
+    condition = F.lit(True)
+    for k in keys:
+        condition &= left[k].eqNullSafe(right[k])
+    return condition
 
 
 def average_ranks(
-    df: DataFrame, by: Sequence[str], ids: Sequence[str], columns: Sequence[str], rows_per_bucket: int = 1_000_000
+    df: DataFrame, by: Sequence[str], ids: Sequence[str], columns: Sequence[str], partitions: int | None = None
 ) -> DataFrame:
     """1-based ranks with ties averaged, long form ``(by..., ids..., column, value, rank)``.
 
-    Rows are ordered inside range buckets, never in one partition per group.
+    Rows are ordered inside value ranges, never in one partition per group; a run of equal values that crosses
+    ranges is ranked as one. ``partitions``: number of ranges, by default that of shuffles.
     """
-    order = Window.partitionBy(*by, "column", "bucket", "salt").orderBy("value")
-    inside = (F.rank().over(order) + F.count(F.lit(1)).over(order)) / 2
-    tied = (F.col("rows") + 1) / 2
+    order = Window.partitionBy("part", *by, "column").orderBy("value")
+    inside = F.col("before") + (F.rank().over(order) + F.count(F.lit(1)).over(order)) / 2
+    run = lambda end: F.col(f"{end}_before") + (F.col(f"{end}_rows") + 1) / 2
     return (
-        _bucketed(df, by, ids, columns, rows_per_bucket)
+        _ranged(df, by, ids, columns, partitions)
         .withColumn("inside", inside)
         .select(
             *by, *ids, "column", "value",
-            (F.col("before") + F.when(F.col("bucket") % 2 == 1, tied).otherwise(F.col("inside"))).alias("rank"),
+            F.when(F.col("value") == F.col("lo"), run("lo")).when(F.col("value") == F.col("hi"), run("hi")).otherwise(F.col("inside")).alias("rank"),
         )
     )
 
 
 def ordered_positions(
-    df: DataFrame, by: Sequence[str], ids: Sequence[str], columns: Sequence[str], rows_per_bucket: int = 1_000_000
+    df: DataFrame, by: Sequence[str], ids: Sequence[str], columns: Sequence[str], partitions: int | None = None
 ) -> DataFrame:
     """1-based position of every row in value order (ties in any order), with the group size.
 
     Long form ``(by..., ids..., column, value, position, n)``.
     """
-    names = [*by, "column"]
-    placed = _bucketed(df, by, ids, columns, rows_per_bucket)
-    order = Window.partitionBy(*names, "bucket", "salt").orderBy("value")
-    # Salted shares of a frequent value follow one another; their sizes are few.
-    shares = placed.groupBy(*names, "bucket", "salt").agg(F.count(F.lit(1)).alias("share"))
-    salts = Window.partitionBy(*names, "bucket").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    group = Window.partitionBy(*names)
-    shares = shares.withColumns(
-        {"skip": F.coalesce(F.sum("share").over(salts), F.lit(0)), "n": F.sum("share").over(group)}
-    )
-    return (
-        placed.withColumn("inside", F.row_number().over(order))
-        .join(shares.drop("share"), [*names, "bucket", "salt"])
-        .select(
-            *by, *ids, "column", "value",
-            (F.col("before") + F.col("skip") + F.col("inside")).alias("position"), "n",
-        )
+    order = Window.partitionBy("part", *by, "column").orderBy("value")
+    return _ranged(df, by, ids, columns, partitions).withColumn("inside", F.row_number().over(order)).select(
+        *by, *ids, "column", "value", (F.col("before") + F.col("inside")).alias("position"), "n"
     )
