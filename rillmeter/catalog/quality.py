@@ -7,6 +7,7 @@ from rillmeter.catalog.registry import query
 from rillmeter.catalog.sql import r, with_tables
 from rillmeter.functions.hemispheres import LANDSCAPE_WEIGHTS, PARAMETERS
 from rillmeter.operators import quality as q
+from rillmeter.session import scratch_path
 from rillmeter.sources import layout
 
 # Sizes of the full-size inputs; smaller data violates them, which the report shows.
@@ -280,3 +281,39 @@ def declared_types(spark, sf_dir):
         .unionByName(q.check_types("environment", inputs.environment))
         .unionByName(q.check_types("usage", inputs.usage))
     )
+
+
+_FOUND = "CASE typeof({c}) WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' ELSE lower(typeof({c})) END"
+
+
+def _stored(table, *columns):
+    return " UNION ALL ".join(
+        f"SELECT DISTINCT '{table}' AS table_name, '{c}' AS \"column\", '{d}' AS declared, {_FOUND.format(c=c)} AS found, "
+        f"{_FOUND.format(c=c)} = '{d}' AS conforms FROM {table}" for c, d in columns
+    )
+
+
+@query(
+    "Q16_file_types",
+    with_tables(
+        "panel",
+        " UNION ALL ".join(
+            [
+                _stored("household", ("household_id", "string"), ("occupancy_count", "smallint"), ("appliance_efficiency_score", "float"),
+                        ("landscape_type", "string")),
+                _stored("environment", ("day_index", "int"), (_TEMP, "float"), (_RAIN, "float")),
+                _stored("usage", ("household_id", "string"), ("day_index", "int"), ("liters", "float")),
+            ]
+        ),
+    ),
+)
+def file_types(spark, sf_dir):
+    """Types in the part files of the panel as it is stored, in which keys are numbers and readings double precision."""
+    p = t.panel(spark, sf_dir)
+    checked = []
+    for name, df in (("household", p.household), ("environment", p.environment), ("usage", p.usage)):
+        path = scratch_path(spark, name)
+        layout.write_keyed(df, path)
+        checked.append(q.check_file_types(name, layout.read_keyed(spark, path)))
+    household, environment, usage = checked
+    return household.union(environment).union(usage).drop("file").distinct()

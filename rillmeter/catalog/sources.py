@@ -1,14 +1,16 @@
 """S: sources, sinks and ingest. Every file read here was written from the panel by Spark."""
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from rillmeter.catalog import tables as t
 from rillmeter.catalog.registry import query
-from rillmeter.catalog.sql import r, with_tables
+from rillmeter.catalog.sql import long_of, r, with_tables
 from rillmeter.functions.expressions import publish_float
 from rillmeter.operators.scaling import fit_scaler, scale
 from rillmeter.operators.selection import variance_table
-from rillmeter.schemas import FEATURES, HEMISPHERES, SCALED_ORDER
+from rillmeter.operators.stages import DayFlags, archetype_pipeline
+from rillmeter.schemas import FEATURES, HEMISPHERES, KEYS, SCALED_ORDER
 from rillmeter.session import scratch_path
 from rillmeter.sources import layout
 
@@ -126,6 +128,43 @@ def fitted_state(spark, sf_dir):
     return loaded.select("hemisphere", "column", "center", "scale", F.round("lambda", 4).alias("lambda_"))
 
 
+@query(
+    "S9_saved_pipeline",
+    with_tables(
+        "scaled",
+        f"SELECT 'scaler' AS part, hemisphere, \"column\" AS item, {r(a='center', b='scale')}, {r(digits=4, c='\"lambda\"')} FROM params "
+        "UNION ALL SELECT 'mask', hemisphere, \"column\", " + r(a="var_pop(value)") + ", CAST(var_pop(value) > 0.01 AS DOUBLE), NULL "
+        f"FROM ({long_of('scaled', SCALED_ORDER)}) GROUP BY 1, 2, 3 "
+        "UNION ALL SELECT 'days', hemisphere, CAST(day_index AS VARCHAR), " + r(a="temp") + ", CAST(dry_in_window AS DOUBLE), "
+        "CAST(is_dry AS DOUBLE) + 2 * CAST(is_drought AS DOUBLE) + 4 * CAST(is_summer AS DOUBLE) + 8 * CAST(is_weekend AS DOUBLE) FROM flags "
+        # Every household has the same cluster, archetype and distance before saving and after loading.
+        "UNION ALL SELECT 'archetypes', hemisphere, 'households', count(*), count(*), count(*) FROM scaled GROUP BY hemisphere",
+    ),
+)
+def saved_pipeline(spark, sf_dir):
+    features = t.stored_features(spark, sf_dir)
+    path = scratch_path(spark, "pipeline")
+    fitted = archetype_pipeline().fit(features)
+    fitted.write().save(f"{path}/features")
+    PipelineModel([DayFlags().fit(t.panel(spark, sf_dir).environment)]).write().save(f"{path}/days")
+    days, loaded = PipelineModel.load(f"{path}/days").stages[0], PipelineModel.load(f"{path}/features")
+    scaler, mask = loaded.stages[:2]
+    bit = lambda c, n: F.when(F.col(c), float(n)).otherwise(0.0)
+    rows = lambda df, part, item, a, b, c: df.select(
+        F.lit(part).alias("part"), "hemisphere", F.col(item).cast("string").alias("item"), *[x.cast("double").alias(n) for n, x in (("a", a), ("b", b), ("c", c))]
+    )
+    label = lambda model, name: model.transform(features).select(*KEYS, F.struct("cluster_id", "archetype", "min_distance").alias(name))
+    both = label(fitted, "before").join(label(loaded, "after"), list(KEYS)).groupBy("hemisphere").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("before") == F.col("after")).alias("same"), F.count_if(F.col("after.archetype").isNotNull()).alias("named")
+    )
+    return (
+        rows(scaler.table(spark), "scaler", "column", F.col("center"), F.col("scale"), F.round("lambda", 4))
+        .union(rows(mask.table(spark), "mask", "column", F.col("variance"), bit("kept", 1), F.lit(None)))
+        .union(rows(days.table(spark), "days", "day_index", F.col("temp"), F.col("dry_in_window"), bit("is_dry", 1) + bit("is_drought", 2) + bit("is_summer", 4) + bit("is_weekend", 8)))
+        .union(rows(both.withColumn("item", F.lit("households")), "archetypes", "item", F.col("n"), F.col("same"), F.col("named")))
+    )
+
+
 @query(
     "S10_preview",
     with_tables(

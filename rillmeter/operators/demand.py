@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from rillmeter.functions.calendar import is_weekend
 from rillmeter.functions.hemispheres import parameter
 from rillmeter.functions.landscape import landscape_coefficient
 from rillmeter.schemas import KEYS
-from rillmeter.session import small_side
+from rillmeter.session import DAY_TABLE_LIMIT, small_side
 
 # Smallest daily deficit of a yard.
 MIN_DEFICIT = 0.5
@@ -56,16 +58,31 @@ def day_deficits(environment: DataFrame) -> DataFrame:
     return environment.select("hemisphere", "day_index", environmental_deficit().alias("deficit"))
 
 
-def expected_usage(household: DataFrame, environment: DataFrame, environment_rows: int | None = None) -> DataFrame:
+def year_arrays(days: DataFrame, known_rows: int | None = None, rows_per_part: int = DAY_TABLE_LIMIT) -> list[DataFrame]:
+    """The day table as one row per hemisphere, ``(hemisphere, days ARRAY<STRUCT<day_index, deficit>>)``.
+
+    A table of more than ``rows_per_part`` days comes in several parts, each of about that many days at most, dealt by a
+    hash of the day.
+    """
+    rows = days.count() if known_rows is None else known_rows
+    parts = max(-(-rows // rows_per_part), 1)
+    part = F.pmod(F.xxhash64("day_index"), F.lit(parts))
+    own = lambda i: days if parts == 1 else days.where(part == i)
+    return [own(i).groupBy("hemisphere").agg(F.array_sort(F.collect_list(F.struct("day_index", "deficit"))).alias("days")) for i in range(parts)]
+
+
+def expected_usage(household: DataFrame, environment: DataFrame, environment_rows: int | None = None, rows_per_part: int = DAY_TABLE_LIMIT) -> DataFrame:
     """Expected litres for every household and day of its hemisphere.
 
-    The result has one row per household and day by definition; the day table
-    is the broadcast side, so households stay where they are.
+    The result has one row per household and day by definition. Each household meets its hemisphere's days as one array, a
+    broadcast of one row per hemisphere, and opens it where it is: households are never shuffled by hemisphere, however
+    long the day table is. A day that stands twice in it counts twice.
     """
-    days = small_side(day_deficits(environment), known_rows=environment_rows)
-    return _with_demand(household.join(days, "hemisphere")).select(
-        *KEYS, "day_index", "indoor_liters", "outdoor_liters", "expected_liters"
-    )
+    parts = []
+    for years in year_arrays(day_deficits(environment), environment_rows, rows_per_part):
+        met = household.join(F.broadcast(years), "hemisphere").withColumn("day", F.explode("days")).drop("days")
+        parts.append(_with_demand(met.withColumns({"day_index": F.col("day.day_index"), "deficit": F.col("day.deficit")})))
+    return reduce(DataFrame.unionByName, parts).select(*KEYS, "day_index", "indoor_liters", "outdoor_liters", "expected_liters")
 
 
 def usage_residuals(

@@ -7,6 +7,7 @@ soft expectations and ``info`` rows are statistics to look at.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -360,6 +361,29 @@ def check_types(table: str, df: DataFrame) -> DataFrame:
     )
 
 
+def check_file_types(table: str, stored: DataFrame, parallel: int = 8) -> DataFrame:
+    """Declared column types against the schema of every Parquet part file of a table read by ``spark.read.parquet``.
+
+    ``(table_name, file, column, declared, found, conforms)``: a row per file and declared column; ``found`` is NULL
+    where the file lacks the column. Columns that are folder names are in no file and are left out. Only footers are
+    read, ``parallel`` files at a time; the driver holds a row per file and column.
+    """
+    spark = stored.sparkSession
+    files = sorted(stored.inputFiles())
+    with ThreadPoolExecutor(parallel) as pool:
+        schemas = list(pool.map(lambda f: {c.name: c.dataType.simpleString() for c in spark.read.parquet(f).schema}, files))
+    folders = {part.split("=")[0] for f in files for part in f.split("/")[:-1] if "=" in part}
+    rows = [
+        (table, file.rsplit("/", 1)[-1], c.name, c.dataType.simpleString(), found.get(c.name), found.get(c.name) == c.dataType.simpleString())
+        for file, found in zip(files, schemas)
+        for c in DECLARED[table].fields
+        if c.name not in folders
+    ]
+    return spark.createDataFrame(
+        rows, "table_name STRING, file STRING, column STRING, declared STRING, found STRING, conforms BOOLEAN"
+    )
+
+
 def check_inputs(inputs: Inputs, expected: Expectations = Expectations()) -> DataFrame:
     """All gates over the three inputs in one table; usage is scanned once."""
     per_household = materialise(household_usage(inputs.usage), "household-usage")

@@ -1,7 +1,7 @@
 """Score profiles against fitted centroids: nearest cluster, distances, anomaly flag.
 
-Centroids are a handful of rows, so they become literals and scoring is a pure
-projection. It runs unchanged over a batch or a streaming DataFrame.
+A handful of centroids become literals and scoring is a pure projection; more of them
+meet the profiles as arrays. Either way it runs unchanged over a batch or a streaming DataFrame.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from rillmeter.schemas import FINAL_FEATURES
 
 # A profile farther than this from every centroid is an anomaly.
 ANOMALY_DISTANCE = 5.0
-#: Most centroids that may be turned into literals.
+#: Most centroids that become literals, and most of a hemisphere that meet a profile as one array.
 MAX_CENTROIDS = 1_000
 
 
@@ -39,26 +39,50 @@ def training_bounds(df: DataFrame, features: Sequence[str] = FINAL_FEATURES) ->
     )
 
 
+@dataclass(frozen=True)
+class CentroidTable:
+    """Centroids that are too many for literals: parts of a broadcast row per hemisphere, with training bounds as numbers.
+
+    ``parts``: tables ``(hemisphere, part ARRAY<STRUCT<cluster_id, centroid, archetype>>)``, in order of cluster ids.
+    """
+
+    parts: list[DataFrame]
+    bounds: dict[str, list[tuple[float, float]]] = field(default_factory=dict)
+
+
+def _bounds(bounds: DataFrame | None, features: Sequence[str], hemispheres: Sequence[str]) -> dict:
+    if bounds is None:
+        return {}
+    found = {(r["hemisphere"], r["feature"]): (r["lower"], r["upper"]) for r in bounds.where(F.col("hemisphere").isin(list(hemispheres))).collect()}
+    return {h: [found[h, f] for f in features] for h in hemispheres}
+
+
 def load_scorer(
-    centroids: DataFrame, bounds: DataFrame | None = None, features: Sequence[str] = FINAL_FEATURES
-) -> Scorer:
-    """Read the centroid table (and bounds) to the driver; refuses more than ``MAX_CENTROIDS`` rows.
+    centroids: DataFrame, bounds: DataFrame | None = None, features: Sequence[str] = FINAL_FEATURES, most_literals: int = MAX_CENTROIDS
+) -> Scorer | CentroidTable:
+    """Read the centroid table (and bounds). Up to ``most_literals`` centroids become literals on the driver; more stay a
+    table, of which ``most_literals`` per hemisphere at a time meet the profiles as one array.
 
     Cluster ids of a hemisphere must be 0, 1, 2, ...
     """
-    rows = centroids.orderBy("hemisphere", "cluster_id").limit(MAX_CENTROIDS + 1).collect()
-    if len(rows) > MAX_CENTROIDS:
-        raise ValueError(f"more than {MAX_CENTROIDS} centroids")
+    rows = centroids.orderBy("hemisphere", "cluster_id").limit(most_literals + 1).collect()
+    if len(rows) > most_literals:
+        named = centroids if "archetype" in centroids.columns else centroids.withColumn("archetype", F.lit(None).cast("string"))
+        named = named.select("hemisphere", "cluster_id", F.col("centroid").cast("array<double>").alias("centroid"), "archetype")
+        last = named.agg(F.max("cluster_id")).first()[0]
+        piece = F.floor(F.col("cluster_id") / F.lit(most_literals))
+        parts = [
+            named.where(piece == i).groupBy("hemisphere").agg(F.array_sort(F.collect_list(F.struct("cluster_id", "centroid", "archetype"))).alias("part"))
+            for i in range(last // most_literals + 1)
+        ]
+        hemispheres = [r["hemisphere"] for r in named.select("hemisphere").distinct().collect()]
+        return CentroidTable(parts, _bounds(bounds, features, hemispheres))
     points: dict = {}
     names: dict = {}
     for r in rows:
         points.setdefault(r["hemisphere"], []).append([float(x) for x in r["centroid"]])
         names.setdefault(r["hemisphere"], []).append(r["archetype"] if "archetype" in centroids.columns else None)
-    ranges: dict = {}
-    if bounds is not None:
-        found = {(r["hemisphere"], r["feature"]): (r["lower"], r["upper"]) for r in bounds.where(F.col("hemisphere").isin(list(points))).collect()}
-        ranges = {h: [found[h, f] for f in features] for h in points}
-    return Scorer(points, names, ranges)
+    return Scorer(points, names, _bounds(bounds, features, list(points)))
 
 
 def _by_hemisphere(values: dict[str, Column]) -> Column:
@@ -93,23 +117,46 @@ def is_anomaly(min_distance: Column, threshold: float = ANOMALY_DISTANCE) -> Col
     return min_distance > F.lit(threshold)
 
 
+def _against_literals(profiles: DataFrame, scorer: Scorer, features: Sequence[str]) -> tuple[DataFrame, Column]:
+    """Profiles with all distances, and the name of the nearest centroid."""
+    names = _by_hemisphere(
+        {h: F.get(F.array(*[F.lit(n) for n in labels]), F.col("nearest")) for h, labels in scorer.archetypes.items()}
+    )
+    return profiles.withColumn("distances", distance_columns(scorer, features)), names
+
+
+def _against_table(profiles: DataFrame, table: CentroidTable, features: Sequence[str]) -> tuple[DataFrame, Column]:
+    """As :func:`_against_literals`, part after part: each adds its distances by a function over the array."""
+    point = F.array(*[F.col(f"`{f}`").cast("double") for f in features])
+    out = profiles.withColumns({"distances": F.lit(None).cast("array<double>"), "names": F.lit(None).cast("array<string>")})
+
+    def distance(c: Column) -> Column:
+        gaps = F.zip_with(point, c["centroid"], lambda x, y: (x - y) * (x - y))
+        return F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda total, gap: total + gap))
+
+    for part in table.parts:
+        away, named = F.transform("part", distance), F.transform("part", lambda c: c["archetype"])
+        add = lambda old, new: F.when(F.col(old).isNull(), new).when(F.col("part").isNull(), F.col(old)).otherwise(F.concat(old, new))
+        out = out.join(F.broadcast(part), "hemisphere", "left").withColumns({"distances": add("distances", away), "names": add("names", named)}).drop("part")
+    return out, F.get("names", F.col("nearest"))
+
+
 def score_profiles(
-    profiles: DataFrame, scorer: Scorer, threshold: float = ANOMALY_DISTANCE,
+    profiles: DataFrame, scorer: Scorer | CentroidTable, threshold: float = ANOMALY_DISTANCE,
     features: Sequence[str] = FINAL_FEATURES,
 ) -> DataFrame:
     """Add label, archetype, distances, anomaly flag and features outside the training range.
 
-    Other columns pass through. A profile with a missing feature gets NULLs.
+    Other columns pass through. A profile with a missing feature gets NULLs. Literals and table give the same rows.
     """
-    scored = profiles.withColumn("distances", distance_columns(scorer, features)).withColumns(
+    against = _against_literals if isinstance(scorer, Scorer) else _against_table
+    measured, names = against(profiles, scorer, features)
+    scored = measured.withColumns(
         {
             "nearest": nearest(F.col("distances")),
             "min_distance": F.array_min("distances"),
         }
     )
-    names = _by_hemisphere(
-        {h: F.get(F.array(*[F.lit(n) for n in labels]), F.col("nearest")) for h, labels in scorer.archetypes.items()}
-    )
     complete = F.col("nearest").isNotNull()
     out = scored.withColumns(
         {
@@ -118,7 +165,7 @@ def score_profiles(
             "min_distance": F.when(complete, F.col("min_distance")),
             "is_anomaly": F.when(complete, is_anomaly(F.col("min_distance"), threshold)),
         }
-    ).drop("nearest")
+    ).drop("nearest", *([] if isinstance(scorer, Scorer) else ["names"]))
     if not scorer.bounds:
         return out
     outside = {
