@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rillmeter.catalog import tables as t
 from rillmeter.catalog.registry import query
 from rillmeter.catalog.sql import r, with_tables
-from rillmeter.operators import clustering as cl
+from rillmeter.operators import clustering as cl, lloyd
 from rillmeter.operators.sampling import sample_per_group
 from rillmeter.operators.scaling import fit_robust, scale
 from rillmeter.operators.scoring import score_profiles, training_bounds
@@ -293,3 +293,27 @@ def profiles_by_archetype(spark, sf_dir):
     boxes = archetype_profiles(t.stored_features(spark, sf_dir), done.assignments)
     names = done.centroids.select("hemisphere", F.col("cluster_id").cast("string").alias("cluster_id"), "archetype")
     return boxes.join(names, ["hemisphere", "cluster_id"])
+
+
+_WIDTH = 64
+
+
+@query(
+    "K7_embedding_sums_of_squares",
+    # Whatever the clusters, what lies inside and between them adds up to the scatter about the mean.
+    "WITH cells AS (SELECT vec_id, unnest(range(64)) AS d, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE len(embedding) = 64 AND vec_id IS NOT NULL), "
+    "total AS (SELECT sum(v) AS s, any_value(n) AS n FROM (SELECT var_pop(x) * count(*) AS v, count(*) AS n FROM cells GROUP BY d)) "
+    "SELECT k::INTEGER AS k, round(s, 3) AS total, n FROM total, (VALUES (2), (4), (8), (16)) t(k)",
+)
+def embedding_sums_of_squares(spark, sf_dir):
+    """Fits of a table of real width, all in the same passes."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(F.size("embedding") == _WIDTH)
+    names = [f"x{i}" for i in range(_WIDTH)]
+    wide = materialise(vectors.select("vec_id", F.lit("all").alias("hemisphere"), *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)]), "wide")
+    asked = [lloyd.Fit("all", tuple(range(_WIDTH)), k, start) for k in (2, 4, 8, 16) for start in range(2)]
+    rows = []
+    for f in lloyd.best_starts(lloyd.fit_together(wide, asked, names, ["vec_id"])[0]):
+        if f.centres is not None:
+            mean = f.sizes @ f.centres / f.sizes.sum()
+            rows.append((f.k, round(float(f.cost + f.sizes @ ((f.centres - mean) ** 2).sum(axis=1)), 3), int(f.sizes.sum())))
+    return spark.createDataFrame(rows, "k INT, total DOUBLE, n BIGINT")

@@ -13,10 +13,12 @@ from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rillmeter.operators.lloyd import Fit, best_starts, fit_together, silhouettes_together
 from rillmeter.operators.ranking import local_table
 from rillmeter.operators.sampling import sample_rows
 from rillmeter.operators.scoring import Scorer, euclidean, nearest, score_profiles
 from rillmeter.schemas import FINAL_FEATURES, KEYS
+from rillmeter.session import materialise
 
 # Clusters and seeds of the training and the suitability study.
 CLUSTERS = 4
@@ -177,51 +179,47 @@ def pca_ratios(df: DataFrame, features: Sequence[str]) -> list[float]:
     return [float(x) for x in PCA(k=components, inputCol="vector", outputCol="pc").fit(vectors).explainedVariance]
 
 
+#: Starts of every k in the suitability study.
+STUDY_STARTS = 5
 STUDY_METRICS = ("pca_variance_ratio", "inertia", "silhouette", "squared_silhouette")
 
 
 def cluster_suitability(
     df: DataFrame, features: Sequence[str] = FINAL_FEATURES, max_k: int = 8, seed: int = STUDY_SEED,
-    sample_size: int = SILHOUETTE_SAMPLE, metrics: Sequence[str] = STUDY_METRICS,
+    sample_size: int = SILHOUETTE_SAMPLE, metrics: Sequence[str] = STUDY_METRICS, n_starts: int = STUDY_STARTS,
 ) -> DataFrame:
     """PCA ratios, inertia and both silhouettes for k = 2..max_k, long form ``(hemisphere, metric, k, value)``.
 
     For the PCA rows ``k`` is the component number. The Euclidean silhouette is
     taken over a sample, as it compares every pair; the squared one over all
-    rows. Fits of different k do not depend on each other and run side by side.
+    rows. Every k and start of both hemispheres is fitted in the same passes, and
+    the inertia is the cost the last of them has added up.
     """
     spark = df.sparkSession
+    stored = materialise(df.select(*KEYS, *features), "study")
+    groups = hemispheres_of(stored)
     rows: list[tuple] = []
-    for h in hemispheres_of(df):
-        part = df.where(F.col("hemisphere") == h).select(*KEYS, *features).persist()
-        try:
-            if "pca_variance_ratio" in metrics:
-                rows += [(h, "pca_variance_ratio", i + 1, v) for i, v in enumerate(pca_ratios(part, features))]
-            if set(metrics) == {"pca_variance_ratio"}:
-                continue
-            sample = sample_rows(part, KEYS, sample_size, seed)
-
-            def study(k: int) -> tuple[list[tuple], list[list[float]]]:
-                model = best_kmeans(part, features, k, seed)
-                out = []
-                if "inertia" in metrics:
-                    out.append((h, "inertia", k, inertia(part, model, features)))
-                if "squared_silhouette" in metrics:
-                    out.append((h, "squared_silhouette", k, squared_silhouette(label_rows(part, model, features), features)))
-                return out, centroid_literals(model)
-
-            with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-                studied = list(pool.map(study, range(2, max_k + 1)))
-            rows += [row for out, _ in studied for row in out]
-            if "silhouette" in metrics:
+    if "pca_variance_ratio" in metrics:
+        for h in groups:
+            rows += [(h, "pca_variance_ratio", i + 1, v) for i, v in enumerate(pca_ratios(stored.where(F.col("hemisphere") == h), features))]
+    if set(metrics) != {"pca_variance_ratio"}:
+        whole = tuple(range(len(features)))
+        asked = [Fit(h, whole, k, start) for h in groups for k in range(2, max_k + 1) for start in range(n_starts)]
+        fits = [f for f in best_starts(fit_together(stored, asked, features, KEYS, seed=seed)[0]) if f.centres is not None]
+        if "inertia" in metrics:
+            rows += [(f.group, "inertia", f.k, f.cost) for f in fits]
+        if "squared_silhouette" in metrics:
+            scores = silhouettes_together(stored, fits, features, KEYS)
+            rows += [(f.group, "squared_silhouette", f.k, s.squared) for f, s in zip(fits, scores)]
+        if "silhouette" in metrics:
+            for h in groups:
+                sample = sample_rows(stored.where(F.col("hemisphere") == h), KEYS, sample_size, seed)
                 labels = [
-                    F.struct(F.lit(k).alias("k"), nearest(F.array(*[euclidean(features, c) for c in centroids])).alias("label"))
-                    for k, (_, centroids) in enumerate(studied, start=2)
+                    F.struct(F.lit(f.k).alias("k"), nearest(F.array(*[euclidean(features, c.tolist()) for c in f.centres])).alias("label"))
+                    for f in fits if f.group == h
                 ]
                 wide = sample.select("hemisphere", *features, F.explode(F.array(*labels)).alias("fit"))
                 scored = silhouettes(wide.select("*", "fit.k", "fit.label"), features, ["hemisphere", "k"])
                 rows += [(r["hemisphere"], "silhouette", r["k"], r["silhouette"]) for r in scored.collect()]
-        finally:
-            part.unpersist()
     data = {n: [r[i] for r in rows] for i, n in enumerate(("hemisphere", "metric", "k", "value"))}
     return local_table(spark, data, "hemisphere STRING, metric STRING, k INT, value DOUBLE")

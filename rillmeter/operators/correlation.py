@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations_with_replacement
+from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,19 +19,19 @@ def pearson(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ("hemisph
     read once. A pair's sums count the rows where both are known. A pair with a constant side gives NULL, where ``corr``
     would raise a division error.
     """
-    pairs = list(combinations_with_replacement(columns, 2))
+    pairs = list(combinations(columns, 2))
     x, y = (lambda i: F.col(f"`{pairs[i][0]}`")), (lambda i: F.col(f"`{pairs[i][1]}`"))
     values = df.select(*by, *[nan_to_null(F.col(f"`{c}`").cast("double")).alias(c) for c in columns])
+    # The two slopes of a pair are its co-moment over either sum of squares, and NULL where that is zero.
     sums = values.groupBy(*by).agg(
-        *[F.regr_sxy(y(i), x(i)).alias(f"xy{i}") for i in range(len(pairs))],
-        *[F.regr_sxx(y(i), x(i)).alias(f"xx{i}") for i in range(len(pairs))],
-        *[F.regr_syy(y(i), x(i)).alias(f"yy{i}") for i in range(len(pairs))],
+        *[F.regr_slope(y(i), x(i)).alias(f"yx{i}") for i in range(len(pairs))],
+        *[F.regr_slope(x(i), y(i)).alias(f"xy{i}") for i in range(len(pairs))],
+        *[F.var_pop(f"`{c}`").alias(f"own{i}") for i, c in enumerate(columns)],
     )
-    cells = [
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.try_divide(F.col(f"xy{i}"), F.sqrt(f"xx{i}") * F.sqrt(f"yy{i}")).alias("r"))
-        for i, pair in enumerate(pairs)
-        for a, b in sorted({pair, pair[::-1]})
-    ]
+    both = lambda a, b, r: [F.struct(F.lit(p).alias("a"), F.lit(q).alias("b"), r.alias("r")) for p, q in sorted({(a, b), (b, a)})]
+    cells = [cell for i, c in enumerate(columns) for cell in both(c, c, F.when(F.col(f"own{i}") > 0, 1.0))]
+    for i, (a, b) in enumerate(pairs):
+        cells += both(a, b, F.signum(f"yx{i}") * F.sqrt(F.col(f"yx{i}") * F.col(f"xy{i}")))
     return sums.select(*by, F.explode(F.array(*cells)).alias("cell")).select(*by, "cell.a", "cell.b", "cell.r")
 
 

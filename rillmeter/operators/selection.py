@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillmeter.operators.clustering import best_kmeans, label_rows, silhouette, squared_silhouette
+from rillmeter.operators.lloyd import ANCHORS, Fit, best_starts, fit_together, silhouettes_together
 from rillmeter.operators.ranking import local_table
-from rillmeter.operators.sampling import sample_rows
 from rillmeter.schemas import COLLINEAR_COLUMNS, KEYS
 
 # A column must vary more than this to stay.
@@ -51,38 +50,34 @@ def reduce_collinear(df: DataFrame) -> DataFrame:
 
 
 def silhouette_ablation(
-    df: DataFrame, columns: Sequence[str], k: int = 4, seed: int = 42, n_starts: int = 10,
-    sample_size: int | None = None, parallel: int = 8,
+    df: DataFrame, columns: Sequence[str], k: int = 4, seed: int = 42, n_starts: int = 10, anchors: int = ANCHORS,
 ) -> DataFrame:
-    """How much the silhouette falls when each feature is left out, for one hemisphere's frame.
+    """How much the silhouette falls when each feature is left out: ``(hemisphere, position, feature, drop_euclidean,
+    euclidean_error, drop_squared)``.
 
-    ``drop_squared`` scores all rows. ``drop_euclidean`` is NULL unless the caller
-    asks for it on a sample of ``sample_size`` rows, because the Euclidean
-    silhouette compares every pair. The fits are independent and share a
-    small thread pool; ``df`` should be stored or cached.
+    All hemispheres, subsets and starts are fitted in the same passes over ``df`` (a stored table), and scored in two
+    more. The squared silhouettes are exact; a Euclidean one comes from ``anchors`` rows of each cluster, and the error is the standard
+    error of its drop, 0 where every cluster was small enough to be taken whole.
     """
-    sample = None if sample_size is None else sample_rows(df, KEYS, sample_size, seed)
-
-    def scores(names: Sequence[str]) -> tuple[float | None, float | None]:
-        model = best_kmeans(df, names, k, seed, n_starts)
-        return (
-            None if sample is None else silhouette(label_rows(sample, model, names), names),
-            squared_silhouette(label_rows(df, model, names), names),
-        )
-
-    subsets = [list(columns)] + [[c for c in columns if c != left_out] for left_out in columns]
-    with ThreadPoolExecutor(parallel) as pool:
-        (base, base_squared), *rest = pool.map(scores, subsets)
-
-    def fall(whole: float | None, part: float | None) -> float | None:
-        return None if whole is None or part is None else whole - part
-
-    data = {
-        "position": list(range(len(columns))),
-        "feature": list(columns),
-        "drop_euclidean": [fall(base, e) for e, _ in rest],
-        "drop_squared": [fall(base_squared, s) for _, s in rest],
-    }
+    whole = tuple(range(len(columns)))
+    subsets = [whole] + [tuple(i for i in whole if i != left_out) for left_out in whole]
+    groups = [r["hemisphere"] for r in df.select("hemisphere").where("hemisphere IS NOT NULL").distinct().orderBy("hemisphere").collect()]
+    asked = [Fit(h, subset, k, start) for h in groups for subset in subsets for start in range(n_starts)]
+    fits, _ = fit_together(df, asked, columns, KEYS, seed=seed)
+    best = [f for f in best_starts(fits) if f.centres is not None]
+    scores = {(f.group, f.columns): s for f, s in zip(best, silhouettes_together(df, best, columns, KEYS, anchors=anchors))}
+    rows: list[tuple] = []
+    for h in groups:
+        base = scores.get((h, whole))
+        for i, name in enumerate(columns):
+            part = scores.get((h, subsets[i + 1]))
+            if base is None or part is None or base.squared is None or part.squared is None:
+                rows.append((h, i, name, None, None, None))
+            else:
+                error = math.hypot(base.error, part.error)
+                rows.append((h, i, name, base.euclidean - part.euclidean, error, base.squared - part.squared))
+    names = ("hemisphere", "position", "feature", "drop_euclidean", "euclidean_error", "drop_squared")
     return local_table(
-        df.sparkSession, data, "position INT, feature STRING, drop_euclidean DOUBLE, drop_squared DOUBLE"
+        df.sparkSession, {n: [r[i] for r in rows] for i, n in enumerate(names)},
+        "hemisphere STRING, position INT, feature STRING, drop_euclidean DOUBLE, euclidean_error DOUBLE, drop_squared DOUBLE",
     )

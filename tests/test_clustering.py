@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillmeter.operators import clustering as cl
+from rillmeter.operators import lloyd
 from rillmeter.operators.scoring import Scorer, load_scorer, score_profiles, training_bounds
 from rillmeter.operators.selection import silhouette_ablation
 from rillmeter.plans.clustering import archetype_profiles, cluster
@@ -139,9 +140,82 @@ def test_suitability(blobs):
 
 def test_ablation(blobs):
     north = blobs.where("hemisphere = 'north'")
-    rows = silhouette_ablation(north, FINAL_FEATURES, n_starts=2, sample_size=2_000).orderBy("position").collect()
+    rows = silhouette_ablation(north, FINAL_FEATURES, n_starts=2).orderBy("position").collect()
     assert [r["feature"] for r in rows] == list(FINAL_FEATURES)
     pdf = north.toPandas()[list(FINAL_FEATURES)].to_numpy()
     base = brute_silhouette(pdf, np.repeat(range(4), 60))
     without = brute_silhouette(pdf[:, [0, 2, 3]], np.repeat(range(4), 60))
     assert rows[1]["drop_euclidean"] == pytest.approx(base - without)
+    assert all(r["euclidean_error"] == 0 for r in rows)  # clusters of 60 rows are taken whole
+    assert {r["hemisphere"] for r in silhouette_ablation(blobs, FINAL_FEATURES, n_starts=1).collect()} == {"north", "south"}
+    assert silhouette_ablation(blobs.limit(0), FINAL_FEATURES).collect() == []
+
+
+def spread_blobs(spark, n, seed=6):
+    r = np.random.default_rng(seed)
+    points = r.normal(size=(4, 4))[r.integers(0, 4, n)] * 1.5 + r.normal(size=(n, 4))
+    rows = [("north" if i % 3 else "south", f"h{i}", *map(float, p)) for i, p in enumerate(points)]
+    rows += [("north", "missing", None, 1.0, 1.0, 1.0), (None, "nowhere", 1.0, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "hemisphere STRING, household_id STRING, " + ", ".join(f"{f} DOUBLE" for f in FINAL_FEATURES))
+    return points, df
+
+
+def test_fits_advance_together_and_come_to_rest(spark):
+    """Each fit ends where a plain Lloyd iteration from its centres ends, and passes do not grow with the number of fits."""
+    points, df = spread_blobs(spark, 900)
+    asked = [lloyd.Fit(h, columns, k, start) for h in ("north", "south") for columns in ((0, 1, 2, 3), (0, 2)) for k in (2, 5) for start in range(3)]
+    fits, passes = lloyd.fit_together(df, asked, FINAL_FEATURES, ["household_id"])
+    alone = [lloyd.fit_together(df, [f], FINAL_FEATURES, ["household_id"]) for f in asked[:4]]
+    assert passes <= 3 and passes >= max(n for _, n in alone)  # a sample of 1,000 rows a group holds them all
+    for f, ((single,), _) in zip(fits, alone):
+        assert np.allclose(f.centres, single.centres) and f.cost == pytest.approx(single.cost)
+    place = np.arange(900) % 3 > 0
+    for f in fits:
+        own = points[place if f.group == "north" else ~place][:, f.columns]
+        away = ((own[:, None] - f.centres[None]) ** 2).sum(2)
+        near = away.argmin(1)
+        assert f.cost == pytest.approx(away.min(1).sum()) and f.sizes.tolist() == np.bincount(near, minlength=f.k).tolist()
+        assert np.allclose(f.centres, [own[near == c].mean(0) for c in range(f.k)], atol=1e-4)
+    few, passes = lloyd.START_ROWS, 0
+    lloyd.START_ROWS = 40
+    try:
+        again, passes = lloyd.fit_together(df, asked[:4], FINAL_FEATURES, ["household_id"])
+    finally:
+        lloyd.START_ROWS = few
+    for f in again:
+        own = points[place if f.group == "north" else ~place][:, f.columns]
+        near = ((own[:, None] - f.centres[None]) ** 2).sum(2).argmin(1)
+        assert np.allclose(f.centres, [own[near == c].mean(0) for c in range(f.k)], atol=1e-4)
+    assert passes > 3
+    best = lloyd.best_starts(fits)
+    assert len(best) == 8 and all(b.cost == min(f.cost for f in fits if (f.group, f.columns, f.k) == (b.group, b.columns, b.k)) for b in best)
+    nothing, passes = lloyd.fit_together(df, [lloyd.Fit("east", (0,), 2)], FINAL_FEATURES, ["household_id"])
+    assert nothing[0].centres is None and passes == 0
+
+
+@pytest.mark.parametrize("anchors", [16, 64, 10_000])
+def test_euclidean_silhouettes_are_within_their_error(spark, anchors):
+    points, df = spread_blobs(spark, 1500)
+    fits, _ = lloyd.fit_together(df, [lloyd.Fit("north", c, 4) for c in ((0, 1, 2, 3), (1, 2))], FINAL_FEATURES, ["household_id"])
+    own = points[np.arange(1500) % 3 > 0]
+    for f, s in zip(fits, lloyd.silhouettes_together(df, fits, FINAL_FEATURES, ["household_id"], anchors=anchors)):
+        some = own[:, f.columns]
+        labels = ((some[:, None] - f.centres[None]) ** 2).sum(2).argmin(1)
+        true = brute_silhouette(some, labels)
+        if anchors > 1000:
+            assert s.error == 0 and s.euclidean == pytest.approx(true)
+        else:
+            assert 0 < s.error < 0.1 and abs(s.euclidean - true) < 4 * s.error
+        squared = []
+        for i, p in enumerate(some):
+            d = ((some - p) ** 2).sum(1)
+            means = [d[labels == c].sum() / max((labels == c).sum() - (c == labels[i]), 1) for c in range(4)]
+            a, b = means[labels[i]], min(m for c, m in enumerate(means) if c != labels[i])
+            squared.append((b - a) / max(a, b))
+        assert s.squared == pytest.approx(np.mean(squared))
+
+
+def test_one_cluster_has_no_silhouette(spark):
+    _, df = spread_blobs(spark, 60)
+    fits, _ = lloyd.fit_together(df, [lloyd.Fit("north", (0, 1), 1)], FINAL_FEATURES, ["household_id"])
+    assert lloyd.silhouettes_together(df, fits, FINAL_FEATURES, ["household_id"]) == [lloyd.Silhouette(None, None, None)]

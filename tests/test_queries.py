@@ -1,15 +1,11 @@
 """Every named query: equal to its SQL, or, without one, runs and yields rows."""
 
-import os
-
 import pytest
 from compare import connect, mismatch
 
 import __spark_entry__ as contract
 
 QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
-# The repeated-start ablation takes a minute; its parts are tested in test_clustering.py.
-SLOW = {"X8_silhouette_ablation"}
 
 
 @pytest.fixture(scope="module")
@@ -24,8 +20,6 @@ def test_equals_sql(name, spark, sf_dir, con):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(name, spark, sf_dir):
-    if name in SLOW and not os.environ.get("TEST_SLOW"):
-        pytest.skip("set TEST_SLOW=1")
     assert QUERIES[name](spark, sf_dir).count() > 0
 
 
