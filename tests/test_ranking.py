@@ -68,9 +68,26 @@ def test_runs_of_equal_values_cross_ranges(spark):
     assert average_ranks(df.limit(0), ["g"], ["id"], ["x"]).collect() == []
 
 
-def test_a_row_is_read_once_for_all_pairs(skewed):
-    plan = pearson(skewed[1], ["x", "y"], ["g"])._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Generate") == 1 and plan.index("Generate") < plan.index("HashAggregate")  # cells are made after the sums
+def test_co_moments_of_parts_merge(spark):
+    """However rows are dealt to tasks: gaps, a third of them far from zero, a group under NULL, sides constant where both are known."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(400, 3)) + [1e6, 0.0, 3.0]
+    x[:, 1] += x[:, 0]
+    rows = [(["a", None][i % 2], *[None if r.random() < 0.2 else float(v) for v in p], 4.0 if i % 5 else None) for i, p in enumerate(x)]
+    rows += [("b", 1.0, 2.0, None, 5.0), ("b", 1.0, 3.0, None, 6.0), ("b", 2.0, None, None, 7.0)]
+    df = spark.createDataFrame(rows, "g STRING, x DOUBLE, y DOUBLE, z DOUBLE, c DOUBLE")
+    for parts in (1, 7, 60):
+        found = {(v["g"], v["a"], v["b"]): v["r"] for v in pearson(df.repartition(parts), ["x", "y", "z", "c"], ["g"]).collect()}
+        assert len(found) == 48
+        for g in ("a", None):
+            own = pd.DataFrame([v[1:4] for v in rows if v[0] == g], columns=["x", "y", "z"], dtype=float)
+            for a in "xyz":
+                for b in "xyz":
+                    assert found[g, a, b] == pytest.approx(own[a].corr(own[b]), abs=1e-8)
+            assert found[g, "x", "c"] is None and found[g, "c", "c"] is None
+        assert found["b", "x", "y"] is None and found["b", "x", "z"] is None  # x is 1 wherever y is known
+        assert found["b", "y", "c"] == pytest.approx(1.0)
+    assert pearson(df.limit(0), ["x", "y"], ["g"]).collect() == []
 
 
 def test_correlations_equal_pandas(skewed):
