@@ -23,6 +23,7 @@ What can be missed is a linked pair of larger sets that shares no band bucket at
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -309,20 +310,18 @@ def _prefix_links(spark, sets: DataFrame, rest: DataFrame, percent: int, counter
     shared = spark.sparkContext.broadcast(table)
     schema = "token long, id long, component long, n long, at long, " + ", ".join(f"{p} long" for p in PARITIES) + ", common double"
     tokens = materialise(sets.join(rest, "id").mapInArrow(lambda b: _prefixes(b, shared, percent), schema).distinct(), "prefixes")
-    met, links = _open_tokens(tokens), rest.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
-    known = links.count()
+    met, links = _open_tokens(tokens), []
     for _ in range(ROUNDS):
         large = _crowded(met)
         if not large.head(1):
             break
-        met, links = _led(met, large, links, sets, percent)
-        now = links.count()
-        if now == known:  # the leaders are apart from all others
+        met, found = _led(met, large, sets, percent)
+        links.append(found.select("a", "b"))
+        if not found.head(1):  # the leaders are apart from all others
             break
-        known = now
     other = met.select("token", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("at").alias("bt"), *[F.col(p).alias(f"b{p}") for p in PARITIES])
     pairs = met.join(other, "token").where(f"component < cb and {_close(percent)}").select(F.col("id").alias("a"), "b").distinct()
-    return links.union(_confirmed(pairs, sets, percent))
+    return reduce(DataFrame.union, links, _confirmed(pairs, sets, percent))
 
 
 def _close(percent: int) -> str:
@@ -346,19 +345,24 @@ def _crowded(met: DataFrame) -> DataFrame:
     return materialise(by.where(f"c > {CROWD}").select("token"), "crowded")
 
 
-def _led(met: DataFrame, large: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _led(met: DataFrame, large: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """A round: in each crowded token all members meet one of them, the one with the most common shingles, which of a
-    group of near copies is the one with fewest changes. Returns the rows that have still not met and all links so far."""
+    group of near copies is the one with fewest changes. Returns the rows that have still not met and the links found.
+
+    A component that is linked with a leader's takes its name. Names are equal only within a component, so no pair is
+    left out for them; that some of a component may keep two names costs pairs, not links.
+    """
     crowd = met.join(large.hint("merge"), "token", "left_semi")
     row = F.struct(F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("at").alias("bt"), *[F.col(p).alias(f"b{p}") for p in PARITIES])
     leader = crowd.groupBy("token").agg(F.max_by(row, F.struct("common", -F.col("id"))).alias("l")).select("token", "l.*")
     leader = materialise(leader, "token-leaders")
     beside = met.join(leader.hint("merge"), "token", "left")
-    pairs = beside.where(f"b is not null and component <> cb and {_close(percent)}").select(F.col("id").alias("a"), "b").distinct()
-    links = materialise(links.union(_confirmed(pairs, sets, percent)), "led-links")
-    named = materialise(components(links).withColumnRenamed("component", "new"), "led-components")
-    left = beside.where("b is null or id <> b").select(*met.columns).join(named.withColumnRenamed("node", "id").hint("merge"), "id", "left")
-    return _open_tokens(left.withColumn("component", F.coalesce("new", "component")).drop("new")), links
+    pairs = beside.where(f"b is not null and component <> cb and {_close(percent)}").select(F.col("id").alias("a"), "b", "component", "cb").distinct()
+    pairs = materialise(pairs, "led-pairs")
+    found = materialise(_confirmed(pairs.select("a", "b").distinct(), sets, percent).join(pairs, ["a", "b"]), "led-links")
+    named = materialise(found.groupBy("component").agg(F.min("cb").alias("new")), "led-names")
+    left = beside.where("b is null or id <> b").select(*met.columns).join(named.hint("merge"), "component", "left")
+    return _open_tokens(left.withColumn("component", F.coalesce("new", "component")).select(*met.columns)), found
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
