@@ -89,36 +89,78 @@ def test_decontamination_equals_brute_force(spark, hard, nothing):
     assert dc.contaminated_words(nothing, bench).count() == 0 and dc.drop_contaminated(hard, bench).columns == hard.columns
 
 
+def edits(a, b):
+    """Insertions, deletions, substitutions and swaps of neighbours that turn a into b."""
+    d = [[max(i, j) if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 2] == b[j - 1] != a[i - 1] == b[j - 2]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
+
+
 def distance(a, b, stem):
-    rows = list(range(len(b) + 1))
-    best = rows[-1]
-    for i, x in enumerate(a):
-        new = [i + 1]
-        for j, y in enumerate(b):
-            new.append(min(new[-1] + 1, rows[j + 1] + 1, rows[j] + (x != y)))
-        rows = new
-        best = min(best, rows[-1])
-    return best if stem else rows[-1]
+    """For a stem, to the nearest beginning of b in which its last letter is as it was or swapped with the one before."""
+    if not stem:
+        return edits(a, b)
+    found = [99]
+    for k in range(1, len(b) + 1):
+        if b[k - 1] == a[-1]:
+            found.append(edits(a[:-1], b[: k - 1]))
+        if k > 1 and b[k - 2 : k] == a[-1] + a[-2] and a[-1] != a[-2]:
+            found.append(edits(a[:-2], b[: k - 2]) + 1)
+    return min(found)
 
 
 def test_product_automaton_equals_edit_distance():
-    entries = [("idiot", False), ("moron", False), ("disgusting", False), ("scum", False), ("réeux", True), ("trash", False)]
-    automaton = toxicity.compile_lexicon(entries)
+    entries = [("idiot", False), ("moron", False), ("disgusting", False), ("scum", False), ("réeux", True), ("trash", False), ("hate", True), ("imbec", True)]
+    whole = toxicity.compile_shards(entries)
+    parts = toxicity.compile_shards(entries, max_states=len(whole[0].moves) - 1)
+    assert len(whole) == 1 and len(parts) > 1
     rng = random.Random(4)
-    texts = [w for w, _ in entries] + ["idi0t", "idot", "iidiot", "dsgustng", "disgussting", "scam", "réeuxtion", "reeux", "tr@sh", "xtrash", ""]
+    texts = [w for w, _ in entries] + ["idi0t", "idot", "iidiot", "dsgustng", "disgussting", "scam", "réeuxtion", "reeux", "tr@sh", "xtrash", "scvm", "idoit", "trsah", "imbceile", "imebcile", "imbxc", "haet", ""]
     for word, _ in entries:
         for _ in range(150):
             w = list(word)
             for _ in range(rng.randint(0, 3)):
                 k = rng.randrange(len(w) + 1)
+                if rng.random() < 0.3:
+                    w[k : k + 2] = w[k : k + 2][::-1]
+                    continue
                 w[k : k + rng.randint(0, 1)] = rng.choice(["", "a", "i", "o", "z9"])
             texts.append("".join(w))
-    owner, _, _, entry, errors, _ = toxicity.find_words(texts, automaton)
-    got = {int(k): int(e) for k, e in zip(owner, errors)}
-    for k, text in enumerate(texts):
-        near = [d for w, s in entries if (d := distance(text, w, s)) <= toxicity.allowed_errors(len(w), s)]
-        assert got.get(k) == (min(near) if near and text else None), text
-    assert len(entry) == len(got)
+    for automata in (whole, parts):
+        owner, _, _, entry, errors, _ = toxicity.find_words(texts, automata)
+        got = {int(k): (int(e), int(n)) for k, e, n in zip(owner, errors, entry)}
+        for k, text in enumerate(texts):
+            near = [(d, n) for n, (w, s) in enumerate(entries) if (d := distance(w, text, s)) <= toxicity.allowed_errors(len(w), s)]
+            assert got.get(k) == (min(near) if near and text else None), text
+        assert len(entry) == len(got)
+    assert [toxicity.find_words([w], whole)[3].tolist() for w in ("scvm", "idoit", "trsah", "idi0t")] == [[3], [0], [5], [0]]
+
+
+def test_an_entry_of_any_length_is_looked_for():
+    word = "ab" * 300
+    automata = toxicity.compile_shards([("idiot", False), (word, False)], max_states=200)
+    assert toxicity.find_words([word, "idoit", word + "c"], automata)[3].tolist() == [1, 0]
+
+
+def test_every_text_is_counted(spark):
+    rng = random.Random(8)
+    words = [f"{a}{b}{c}rd" for a in "bdfgklmnprst" for b in "aeiou" for c in "lmnrst"]
+    texts = ["shared " + " ".join(rng.sample(words, rng.randint(5, 40))) for _ in range(300)]
+    rows = [(i, t, int(i % 5 == 0)) for i, t in enumerate(texts)]
+    copies = [(1000 + i, t + " more", y) for i, t, y in rows if len(t.split()) > 20]
+    want = {0: Counter(), 1: Counter()}
+    for _, t, y in rows:
+        want[y].update(toxicity._terms(t))
+    for tasks in (1, 8):
+        docs = spark.createDataFrame(rows + copies, "doc_id long, text string, toxic int").repartition(tasks, "doc_id")
+        kept = toxicity.without_copies(docs)
+        assert {r["doc_id"] for r in kept.collect()} == {i for i, *_ in rows}
+        got = {r["term"]: (r["toxic"], r["clean"]) for r in toxicity.term_counts(kept).collect()}
+        assert got == {w: (want[1][w], want[0][w]) for w in want[0] | want[1]}
 
 
 def test_quotation_is_told_from_abuse():
@@ -146,7 +188,8 @@ def test_fit_does_not_depend_on_the_order_of_rows(documents, sf_dir, spark, mode
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     for turned in (documents.orderBy(documents["doc_id"].desc()), documents.repartition(5, "text")):
         again = toxicity.fit(turned, labels)
-        assert (again.automaton.moves == model.automaton.moves).all() and (again.evidence == model.evidence).all()
+        assert len(again.automata) == len(model.automata) and (again.evidence == model.evidence).all() and again.common == model.common
+        assert all((a.moves == b.moves).all() for a, b in zip(again.automata, model.automata))
         assert (again.weights == model.weights).all() and again.bias == model.bias
 
 
