@@ -1,7 +1,8 @@
 """Secret scans: three patterns, and a battery of randomness tests with length-aware false-discovery control.
 
 Everything is built-in functions: patterns give the matches, splitting by the same pattern gives the text between
-them, and a fold over both gives positions in code points.
+them, and running sums over both give positions in code points. Running values are folded in parts of about the
+square root of an array's length, as a fold copies the array it builds at every step.
 
 Long tokens that look like an encoding (hex, base32, base36, base64) are turned into symbol numbers and tested
 against uniform random symbols: chi-squared over the alphabet, runs above and below the middle, and serial
@@ -39,22 +40,65 @@ ENCODINGS = (
 LEAST_BITS = 80
 BINS = 50
 
-SPAN = "array<struct<start:int,end:int,value:string>>"
 
+def with_running(df: DataFrame, name: str, items: str, zero: Column, value, combine, emit) -> DataFrame:
+    """``df`` with an array column ``name``: for each element x of the array column ``items``, ``emit(before, x)``, where
+    ``before`` combines ``value`` of all earlier elements, from ``zero`` on."""
+    parts = f"{name} in parts"
+    n = F.size(items)
+    width = F.ceil(F.sqrt(n)).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / width).cast("int")), lambda i: F.slice(items, i * width + 1, width))
+    df = df.withColumn(parts, F.when(n > 0, cut))
 
-def located(text: Column, matches: Column, pattern: str) -> Column:
-    """Start, end (code points, end exclusive) and text of all matches of ``pattern``."""
-    between = F.slice(F.split(text, pattern, -1), 1, F.size(matches))
-    both = F.arrays_zip(matches.alias("m"), between.alias("b"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    def fold(array: Column, start: Column, of, put, kind: str) -> Column:
+        first = F.struct(start.alias("at"), F.array().cast(kind).alias("out"))
+        step = lambda s, x: F.struct(combine(s["at"], of(x)).alias("at"), F.concat(s["out"], F.array(put(s["at"], x))).alias("out"))
+        return F.aggregate(array, first, step, lambda s: s["out"])
 
-    def step(done: Column, x: Column) -> Column:
-        start = done["at"] + F.length(x["b"])
-        end = start + F.length(x["m"])
-        span = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(done["out"], F.array(span)).alias("out"))
+    one = df.limit(0).select(F.transform(items, lambda x: emit(zero, x)).alias("a"), F.array(zero).alias("z")).schema
+    totals = F.transform(parts, lambda part: F.aggregate(part, zero, lambda s, x: combine(s, value(x))))
+    starts = fold(totals, zero, lambda t: t, lambda s, _: s, one["z"].dataType.simpleString())
+    spread = F.zip_with(parts, starts, lambda part, start: fold(part, start, value, emit, one["a"].dataType.simpleString()))
+    return df.withColumn(name, F.coalesce(F.flatten(spread), F.array().cast(one["a"].dataType.simpleString()))).drop(parts)
 
-    return F.when(F.size(matches) == 0, F.array().cast(SPAN)).otherwise(F.aggregate(both, empty, step, lambda done: done["out"]))
+
+def with_places(df: DataFrame, name: str, pattern: str, text: str = "text") -> DataFrame:
+    """``df`` with the array column ``name`` (all matches of ``pattern``) turned into their start, end (code points, end
+    exclusive) and value."""
+    between = F.slice(F.split(text, pattern, -1), 1, F.size(name))
+    df = df.withColumn(f"{name} and gaps", F.arrays_zip(F.col(name).alias("m"), between.alias("b")))
+
+    def span(at: Column, x: Column) -> Column:
+        start = at + F.length(x["b"])
+        return F.struct(start.alias("start"), (start + F.length(x["m"])).alias("end"), x["m"].alias("value"))
+
+    placed = with_running(df, f"{name} placed", f"{name} and gaps", F.lit(0), lambda x: F.length(x["b"]) + F.length(x["m"]), lambda s, v: s + v, span)
+    return placed.drop(name, f"{name} and gaps").withColumnRenamed(f"{name} placed", name)
+
+
+def with_apart(df: DataFrame, name: str, spans: str, others: str) -> DataFrame:
+    """``df`` with an array column ``name``: the start and end of those in ``spans`` that overlap none of ``others``."""
+
+    def events(backwards: bool) -> Column:
+        def event(s: Column, is_span: bool) -> Column:
+            order = -s["start"] if backwards else s["start"]
+            return F.struct(order.alias("order"), F.lit(int(is_span)).alias("is_span"), s["start"].alias("start"), s["end"].alias("end"))
+
+        return F.array_sort(F.concat(F.transform(others, lambda s: event(s, False)), F.transform(f"{name} left", lambda s: event(s, True))))
+
+    kept = lambda at, x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["is_span"].alias("is_span"), at.alias("at"))
+    pair = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))
+    df = df.withColumn(f"{name} left", F.transform(spans, pair)).withColumn(f"{name} events", events(False))
+    # Forwards: no other begins at or before a span and reaches into it. Backwards: none begins inside it.
+    reach = lambda x: F.when(x["is_span"] == 0, x["end"]).otherwise(-1)
+    df = with_running(df, f"{name} met", f"{name} events", F.lit(-1), reach, F.greatest, kept)
+    free = F.filter(f"{name} met", lambda x: (x["is_span"] == 1) & (x["at"] <= x["start"]))
+    df = df.withColumn(f"{name} left", F.transform(free, pair)).withColumn(f"{name} events", events(True))
+    far = F.lit((1 << 31) - 1)
+    begins = lambda x: F.when(x["is_span"] == 0, x["start"]).otherwise(far)
+    df = with_running(df, f"{name} met", f"{name} events", far, begins, F.least, kept)
+    free = F.filter(f"{name} met", lambda x: (x["is_span"] == 1) & (x["end"] <= x["at"]))
+    return df.withColumn(name, F.array_sort(F.transform(free, pair))).drop(*[f"{name} {x}" for x in ("left", "events", "met")])
 
 
 def _tail(z: Column) -> Column:
@@ -170,16 +214,11 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "doc_id", "text",
         *[F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(n) for n, p in (("a", ASSIGN), ("k", ACCESS), ("h", HEX), ("r", CANDIDATE))],
     )
-    placed = matched.select(
-        "doc_id",
-        F.filter(
-            located(F.col("text"), F.col("a"), ASSIGN),
-            lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 2)) >= SHORTEST_VALUE,
-        ).alias("a"),
-        located(F.col("text"), F.col("k"), ACCESS).alias("k"),
-        located(F.col("text"), F.col("h"), HEX).alias("h"),
-        located(F.col("text"), F.col("r"), CANDIDATE).alias("r"),
-    )
+    placed = matched
+    for name, pattern in (("a", ASSIGN), ("k", ACCESS), ("h", HEX), ("r", CANDIDATE)):
+        placed = with_places(placed, name, pattern)
+    long_enough = F.filter("a", lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 2)) >= SHORTEST_VALUE)
+    placed = placed.withColumn("a", long_enough).drop("text")
 
     def ranked(name: str, rank: int) -> Column:
         return F.transform(
@@ -194,12 +233,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scanned = materialise(scanned, "scanned")
     cut = cuts(scanned, q)
     least = F.create_map(*[F.lit(x) for pair in cut.items() for x in pair]) if cut else F.create_map().cast("map<string,double>")
-    apart = F.filter(
-        F.col("tokens"),
-        lambda t: (t["p"] >= F.element_at(least, t["stratum"]))
-        & ~F.exists(F.col("base"), lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])),
-    )
-    random = F.transform(apart, lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("rank"), t["end"].alias("end"), F.lit(KINDS[3]).alias("kind")))
+    likely = F.filter("tokens", lambda t: t["p"] >= F.element_at(least, t["stratum"]))
+    scanned = with_apart(scanned.withColumn("likely", likely), "apart", "likely", "base")
+    random = F.transform("apart", lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("rank"), t["end"].alias("end"), F.lit(KINDS[3]).alias("kind")))
     return scanned.withColumn("random", random).select(
         "doc_id", "n_assign", "n_access", "n_hex", F.size("random").cast("long").alias("n_random"), "base",
         F.array_sort(F.concat("base", "random")).alias("found"),
