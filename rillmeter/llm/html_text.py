@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import itertools
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
@@ -189,6 +190,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int]]:
     """Text, zone, words and words in links of each block with text, in page order."""
     out: list[tuple[str, int, int, int]] = []
     stack: list[tuple[str, int]] = []
+    opened: Counter[str] = Counter()
     parts: list[tuple[str, bool]] = []
     zone = at = links = 0
     skipped, skipping = unread(page), False
@@ -227,11 +229,14 @@ def blocks(page: str) -> list[tuple[str, int, int, int]]:
             links, skipping = 0, False
             if tag in CONTAINERS:
                 if ends:
-                    depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-                    if depth is not None:
-                        del stack[depth:]
+                    while opened[tag]:  # a stray end tag closes nothing
+                        inner, _ = stack.pop()
+                        opened[inner] -= 1
+                        if inner == tag:
+                            break
                 elif not attributes.endswith("/"):
                     stack.append((tag, zone_of(tag, attributes, stack[-1][1] if stack else 0)))
+                    opened[tag] += 1
                 zone = stack[-1][1] if stack else 0
     add(page[at:])
     close()
