@@ -133,6 +133,46 @@ class Shard:
         return self.ids[self.begin[doc] : self.begin[doc + 1]]
 
 
+class ShardFile:
+    """One shard left in its file: what a key needs is read from where it lies, a few dozen bytes beside its ids."""
+
+    def __init__(self, source) -> None:
+        self.source, self.bytes_read = source, 0
+        head = self._bytes(0, 48)
+        if head[:8] != MAGIC:
+            raise ValueError("not a shard")
+        docs, tokens, self.n_keys, self.buckets, width = map(int, np.frombuffer(head, _HEADER, 5, 8))
+        blocks = (("ids", f"<u{width}", tokens), ("keys", "<i8", docs), ("null", "u1", docs), ("begin", "<u8", docs + 1), ("displacement", "<i8", self.buckets),
+                  ("prints", "<u4", self.n_keys), ("first", "<u4", self.n_keys), ("number", "<u4", self.n_keys))
+        self.blocks, at = {}, 48
+        for name, kind, n in blocks:
+            self.blocks[name] = (at, np.dtype(kind))
+            at += n * np.dtype(kind).itemsize
+
+    def _bytes(self, at: int, n: int) -> bytes:
+        self.bytes_read += n
+        self.source.seek(at)
+        return self.source.read(n)
+
+    def _values(self, name: str, first: int, n: int = 1) -> np.ndarray:
+        at, kind = self.blocks[name]
+        return np.frombuffer(self._bytes(at + first * kind.itemsize, n * kind.itemsize), kind)
+
+    def documents(self, key: int) -> list[np.ndarray]:
+        """Ids of each document with this key."""
+        if not self.n_keys:
+            return []
+        one = np.array([key], np.int64)
+        displacement = int(self._values("displacement", int(_buckets(one, self.buckets)[0]))[0])
+        slot = -1 - displacement if displacement < 0 else int(_slots(one, displacement, self.n_keys)[0])
+        if self._values("prints", slot)[0] != fingerprint(one)[0]:
+            return []
+        first, number = (int(self._values(name, slot)[0]) for name in ("first", "number"))
+        begin = self._values("begin", first, number + 1).astype(np.int64)
+        ids = self._values("ids", int(begin[0]), int(begin[-1] - begin[0]))
+        return np.split(ids, begin[1:-1] - begin[0])
+
+
 def _write(batches: Iterator[pa.RecordBatch], tokenizer: str, folder: str, shard_tokens: int) -> Iterator[pa.RecordBatch]:
     encoder = Encoder.of(tokenizer)
     files, root = fs.FileSystem.from_uri(folder)
@@ -218,9 +258,10 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            shard = _load(row["root"], row["path"])
-            first, number = shard.find(np.array(row["keys"], np.int64))
-            found = [(key, shard.tokens(a + i)) for key, a, n in zip(row["keys"], first, number) for i in range(n)]
+            files, _ = fs.FileSystem.from_uri(row["root"])
+            with files.open_input_file(row["path"]) as source:
+                shard = ShardFile(source)
+                found = [(key, ids) for key in row["keys"] for ids in shard.documents(key)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k for k, _ in found], pa.int64()), pa.array([t.astype("<u4").tobytes() for _, t in found], pa.binary())],
                 names=["doc_id", "ids"],
@@ -230,9 +271,10 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def lookup(manifest: DataFrame, keys: list[int]) -> DataFrame:
     """Ids (little-endian 32-bit) of the documents with these keys; a key that is not stored has no row.
 
-    ``keys`` is a caller's short list. Shards whose key range holds none of them are not opened.
+    ``keys`` is a caller's short list; a key given twice counts once. Shards whose key range holds none of them are not
+    opened, and of the others only the header, the index entries of the keys and their ids are read.
     """
-    wanted = F.array(*[F.lit(int(k)).cast("long") for k in keys]) if keys else F.array().cast("array<long>")
+    wanted = F.array(*[F.lit(k).cast("long") for k in sorted({int(k) for k in keys})]) if keys else F.array().cast("array<long>")
     within = F.filter(wanted, lambda k: (k >= F.col("first_id")) & (k <= F.col("last_id")))
     asked = manifest.select("root", "path", within.alias("keys")).where(F.size("keys") > 0)
     return asked.mapInArrow(_fetch, "doc_id long, ids binary")
