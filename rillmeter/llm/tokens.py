@@ -3,7 +3,7 @@
 The library's pre-tokeniser cuts a text into pieces that are encoded apart from each other. For texts in Latin-1
 without control characters the pieces are found with NumPy, and each distinct piece is given to the library's
 model once per worker; the cache is keyed by a 64-bit fingerprint of the piece. Any other text goes to the library
-as it is.
+as it is, and so do all texts where the tokenizer file has other rules than those known here.
 """
 
 from __future__ import annotations
@@ -46,6 +46,32 @@ def _spelling() -> dict[int, str]:
     return {c: "".join(spelt[b] for b in chr(c).encode()) for c in range(256)}
 
 
+# The normaliser and pre-tokeniser that ``pieces`` stands for, as in a tokenizer file.
+RULES = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+def understood(model: dict) -> bool:
+    """Whether a tokenizer file cuts texts as ``pieces`` does; its own added tokens must all hold "<|"."""
+    return {name: model[name] for name in RULES} == RULES and all("<|" in token["content"] for token in model["added_tokens"])
+
+
 KIND, LOWER = _classes()
 SPELT = _spelling()
 
@@ -101,7 +127,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        model = json.loads(self.library.to_str()) | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}
+        model = json.loads(self.library.to_str())
+        self.understood = understood(model)
+        model |= {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}
         self.pieces = Tokenizer.from_str(json.dumps(model))  # the same model, for texts already cut
         self.forget()
 
@@ -156,7 +184,7 @@ class Encoder:
         which, rest = [], []
         for i, text in enumerate(texts):
             try:
-                raw = text.encode("latin-1")
+                raw = text.encode("latin-1") if self.understood else b"<|"
                 fits = b"<|" not in raw and not raw.translate(None, _KNOWN)
             except UnicodeEncodeError:
                 fits = False
