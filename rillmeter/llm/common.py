@@ -15,6 +15,17 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The given names, lengthened until no column of ``docs`` has them."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only key and text (null: empty), under fixed names: other columns cannot clash."""
     return docs.select(

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillmeter.llm.common import col, id_and_text, null_safe
+from rillmeter.llm.common import col, id_and_text, null_safe, unused
 from rillmeter.llm.wordhash import text_bytes
 from rillmeter.session import materialise
 
@@ -169,12 +169,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that ``exact_dedup`` keeps."""
+    """The rows of ``docs``, all columns, that ``exact_dedup`` keeps.
+
+    Of rows that repeat one doc_id and one text, the one whose columns have the smallest hash stays.
+    """
     decided = materialise(exact_dedup(docs, id_col, text_col).where("kept").select("doc_id", "text_hash"), "kept-rows")
-    held = F.xxhash64(F.coalesce(col(text_col).cast("string"), F.lit("")))
-    keyed = docs.withColumns({"__key": col(id_col).cast("long"), "__held": held})
-    on = keyed["__key"].eqNullSafe(decided["doc_id"]) & (keyed["__held"] == decided["text_hash"])
-    kept = keyed.join(decided, on, "left_semi")
+    key, held, rank = unused(docs, "__key", "__held", "__rank")
+    keyed = docs.withColumns({key: col(id_col).cast("long"), held: F.xxhash64(F.coalesce(col(text_col).cast("string"), F.lit("")))})
+    kept = keyed.join(decided, keyed[key].eqNullSafe(decided["doc_id"]) & (keyed[held] == decided["text_hash"]), "left_semi")
     if docs.select(col(id_col)).count() != docs.select(col(id_col)).distinct().count():
-        kept = kept.dropDuplicates(["__key", "__held"])
-    return kept.drop("__key", "__held")
+        kept = kept.withColumn(rank, F.xxhash64(F.to_json(F.struct(*[col(c) for c in docs.columns]))))
+        first = materialise(kept.groupBy(key, held).agg(F.min(rank).alias("least")).toDF("k", "h", "least"), "first-rows")
+        same = kept[key].eqNullSafe(first["k"]) & (kept[held] == first["h"]) & (kept[rank] == first["least"])
+        kept = kept.join(first.hint("merge"), same, "left_semi").dropDuplicates([key, held])
+    return kept.select(*[col(c) for c in docs.columns])
