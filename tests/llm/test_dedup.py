@@ -55,6 +55,16 @@ def test_kept_rows_keep_their_columns(hard, nothing):
     assert ed.keep_one(nothing).count() == 0
 
 
+def test_clashing_columns_and_ties(spark):
+    rows = [(1, "same", "a", 1), (1, "same", "b", 2), (1, "same", "b", 2), (2, "other", None, None), (None, "other", "c", 5), (None, None, "d", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __key string, __Held int")
+    kept = [{tuple(r) for r in ed.keep_one(d).collect()} for d in (docs, docs.orderBy(docs["__key"].desc()), docs.repartition(5, "__key"))]
+    assert ed.keep_one(docs).columns == docs.columns and kept[0] == kept[1] == kept[2]
+    assert sorted(k[:2] for k in kept[0] if k[0]) == [(1, "same"), (2, "other")] and kept[0] <= set(rows)
+    odd = docs.withColumnRenamed("doc_id", "doc `id")
+    assert hm.keep_one(odd, id_col="doc `id").columns == odd.columns
+
+
 @contextmanager
 def small_skew(spark):
     """Partitions of a kilobyte count as skewed and are not put together."""

@@ -2,6 +2,7 @@ import base64
 import html
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -40,6 +41,31 @@ def test_random_tokens_are_told_from_structured_ones(spark):
     assert sum(got[100 + i] for i in range(80)) <= 4
 
 
+def test_many_tokens_in_one_text_take_little_time(spark):
+    rng = random.Random(9)
+    n = 100_000
+    tokens = [rng.randbytes(14).hex() for _ in range(n)]
+    text = "k " + " ".join(tokens)
+    began = time.monotonic()
+    got = secrets.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).select("n_hex", "n_random", secrets.written("base").alias("b")).first()
+    assert time.monotonic() - began < 60
+    assert (got["n_hex"], got["n_random"], got["b"]) == (n, 0, base_spans(text))
+
+
+def test_spans_apart_from_others(spark):
+    rng = random.Random(10)
+
+    def some(n):
+        starts = [rng.randrange(60) for _ in range(n)]
+        return sorted((a, a + rng.randint(1, 6)) for a in starts)
+
+    rows = [(k, some(rng.randrange(12)), some(rng.randrange(12))) for k in range(300)]
+    kind = "array<struct<start:int,end:int>>"
+    df = spark.createDataFrame(rows, f"id int, s {kind}, o {kind}")
+    got = {r["id"]: [tuple(x) for x in r["apart"]] for r in secrets.with_apart(df, "apart", "s", "o").collect()}
+    assert got == {k: [(a, b) for a, b in s if not any(c < b and a < d for c, d in o)] for k, s, o in rows}
+
+
 def test_random_values_behind_names_are_found(spark):
     rng = random.Random(6)
     rows, want = [], {}
@@ -246,6 +272,13 @@ def test_wrappers_do_not_empty_a_page(wrapper):
         assert html_text.main_text(f"<body><{wrapper}>" + "".join(f"<p>{t}</p>" for t in many) + f"</{name}>") == " ".join(many)
 
 
+def test_stray_end_tags_take_linear_time():
+    began = time.monotonic()
+    page = "<article>" + "<div>" * 100_000 + "</ul>" * 100_000 + "<p>Some words of a text that stays where it is</p></article>"
+    assert html_text.main_text(page).startswith("Some words")
+    assert time.monotonic() - began < 10
+
+
 def test_pages_with_nulls_and_repeats(spark):
     pages = spark.createDataFrame([(1, None, None), (1, "x", PAGE), (1, "x", PAGE), (None, "http://a.de/x", "<p>" + "wort " * 100_000)], "page_id long, url string, html string")
     got = html_text.extract(pages.selectExpr("*", "1 AS text", "2 AS n_chars")).collect()

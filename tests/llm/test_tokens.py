@@ -1,3 +1,5 @@
+import io
+import json
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -29,6 +31,34 @@ def test_batches_equal_the_library(library):
         assert ids[at[k] : at[k + 1]].tolist() == ids_of(library, text).tolist(), text[:50]
 
 
+def test_another_tokenizer_file_is_left_to_the_library(tmp_path):
+    file = json.loads(Tokenizer.from_file(default_tokenizer()).to_str())
+    assert Encoder.of(default_tokenizer()).understood
+    texts = ["Hello World, THE End 123", "don't", "a  b<x>c", ""]
+    for n, change in enumerate(({"normalizer": None}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}},
+                                {"added_tokens": [*file["added_tokens"], {**file["added_tokens"][0], "id": 49408, "content": "<x>"}]})):
+        path = str(tmp_path / f"{n}.json")
+        with open(path, "w") as out:
+            json.dump(file | change, out)
+        ids, at = Encoder.of(path).encode(texts)
+        library = Tokenizer.from_file(path)
+        assert [ids[at[k] : at[k + 1]].tolist() for k in range(len(texts))] == [ids_of(library, t).tolist() for t in texts]
+
+
+def test_a_key_is_read_without_its_shard():
+    rng = np.random.default_rng(2)
+    keys = np.sort(rng.choice(1 << 40, 20_000, replace=False))
+    begin = np.concatenate([[0], np.cumsum(rng.integers(1, 200, len(keys)))])
+    ids = rng.integers(0, 49_000, begin[-1])
+    data = token_store.Shard.pack(keys, np.zeros(len(keys), bool), ids, begin)
+    for k in rng.integers(0, len(keys), 200):
+        shard = token_store.ShardFile(io.BytesIO(data))
+        (found,) = shard.documents(int(keys[k]))
+        assert found.tolist() == ids[begin[k] : begin[k + 1]].tolist()
+        assert shard.bytes_read == 48 + 8 + 3 * 4 + 2 * 8 + 2 * len(found)
+    assert not any(token_store.ShardFile(io.BytesIO(data)).documents(int(k)) for k in range(50) if k not in keys)
+
+
 def test_pieces_are_powers_of_two_and_cover_each_document(hard, nothing, library):
     rows = packing.pack(hard, limit=256).collect()
     pieces = defaultdict(list)
