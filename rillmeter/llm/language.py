@@ -50,11 +50,17 @@ def _counted(batches: Iterator[pa.RecordBatch], languages: list[str]) -> Iterato
     yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(bucket), pa.array(total[lang, bucket])], names=["lang", "bucket", "n"])
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
-    """Languages (sorted; the ``MOST_LANGUAGES`` most frequent) and log probabilities of trigrams, languages by buckets."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE,
+        most_languages: int = MOST_LANGUAGES) -> tuple[list[str], np.ndarray]:
+    """Languages (sorted) and log probabilities of trigrams, languages by buckets.
+
+    Raises ValueError if the labels name more than ``most_languages``: the table, sent to all tasks, grows with them.
+    """
     labelled = docs.where(col(lang_col).isNotNull() & col(id_col).isNotNull())
-    common = labelled.groupBy(col(lang_col).cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
-    languages = sorted(r["lang"] for r in common.collect())
+    named = labelled.select(col(lang_col).cast("string").alias("lang")).distinct().limit(most_languages + 1)
+    languages = sorted(r["lang"] for r in named.collect())
+    if len(languages) > most_languages:
+        raise ValueError(f"more than {most_languages} languages; raise most_languages")
     if not languages:
         return [], np.zeros((0, BUCKETS))
     keys = labelled.select(col(id_col).cast("long").alias("doc_id"), col(lang_col).cast("string").alias("lang")).distinct()

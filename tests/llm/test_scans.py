@@ -311,6 +311,11 @@ def test_declared_language_is_found_anywhere(before, want):
     assert language.declared_language(f"{before}<p lang=fr>text</p>") == ""
 
 
+def test_too_many_languages_raise(documents):
+    with pytest.raises(ValueError):
+        language.fit(documents, most_languages=2)
+
+
 def test_hosts_of_one_site_share_their_pages(spark, documents):
     french, english = (documents.where(f"lang = '{lang}' and length(text) > 300").first()["text"] for lang in ("fr", "en"))
     page = "<article><p>{}</p></article>".format
