@@ -336,23 +336,109 @@ copies or substantial portions of the Software.
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED."""
 
 
+GPL3 = """ # This program is free software: you can redistribute it and/or modify
+ # it under the terms of the GNU General Public License as published by
+ # the Free Software Foundation, either version 3 of the License, or
+ # (at your option) any later version.
+ #
+ # This program is distributed in the hope that it will be useful,
+ # but WITHOUT ANY WARRANTY."""
+
+APACHE = """/* Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * See the License for the specific language governing permissions and
+ * limitations under the License.
+ */"""
+
+BSD = "Redistribution and use in source and binary forms, with or without modification, " + "of all the many parts named here " * 60 + """are permitted provided that:
+1. Redistributions of source code must retain the above copyright
+   notice.
+2. Redistributions in binary form must reproduce the above copyright notice.
+3. Neither the name of Foo Inc. nor the names of its contributors
+   may be used to endorse or promote products derived from this software.
+
+THIS SOFTWARE IS PROVIDED BY X "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES"""
+
+
 @pytest.mark.parametrize(
     "text, want",
     [
         (MIT, ["MIT"]),
+        ("MIT License\n\n" + MIT, ["MIT"]),
+        ("\n".join(" ".join(MIT.split()[k : k + 2]) for k in range(4, 60, 2)), ["MIT"]),
+        (BSD, ["BSD-3-Clause"]),
+        (GPL3, ["GPL-3.0-or-later"]),
+        (APACHE, ["Apache-2.0"]),
         ("Words before. Licensed under the Apache License, Version 2.0. Words after.", ["Apache-2.0"]),
         ("Licensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0"]),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", ["CC-BY-SA-4.0"]),
+        ("Creative Commons Attribution-ShareAlike 4.0 International License", ["CC-BY-SA-4.0"]),
         ("Released under the MIT License.\nThis work is licensed under the GNU General Public License, version 3.", ["MIT", "GPL-3.0"]),
-        ("SPDX-License-Identifier: BSD-3-Clause", ["BSD-3-CLAUSE"]),
+        ("Licensed under the MIT license (see LICENSE).", ["MIT"]),
+        ("Dual licensed under either the MIT license or the Apache License, Version 2.0, at your option.", ["MIT", "Apache-2.0"]),
+        ("SPDX-License-Identifier: BSD-3-Clause", ["BSD-3-Clause"]),
+        ("SPDX-License-Identifier: MIT OR Apache-2.0", ["MIT", "Apache-2.0"]),
+        ("/* SPDX-License-Identifier: (GPL-2.0-or-later WITH Classpath-exception-2.0 AND mit) */", ["GPL-2.0-or-later WITH Classpath-exception-2.0", "MIT"]),
+        ("GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007", ["AGPL-3.0"]),
+        ("It is licensed under the AGPLv3+.", ["AGPL-3.0-or-later"]),
+        ("Licensed under the GNU LGPL, version 2.1 only", ["LGPL-2.1-only"]),
+        ("Distributed under the Boost Software License, Version 1.0.", ["BSL-1.0"]),
+        ("This program is made available under the terms of the Eclipse Public License 2.0 which is available at x", ["EPL-2.0"]),
+        ("This is free and unencumbered software released into the public domain.", ["Unlicense"]),
         ("Copyright 2001 Us. All rights reserved.", ["proprietary"]),
-        ("My driving license is red. Copyright is a word.", []),
+        ("My driving license is red. Copyright is a word. In 1999 it was.", []),
+        ("The book was published by MIT press under licence. It was not licensed under the MIT license.", []),
     ],
 )
 def test_license_rules(text, want):
     spans, _, _ = licenses.scan(text)
     assert [s["license"] for s in spans] == want
     for s in spans:
-        assert licenses.scan(text[s["start"] : s["end"]])[0]
+        assert s["license"] in [x["license"] for x in licenses.scan(text[s["start"] : s["end"]])[0]]
+
+
+def brute_rules(ids):
+    """The rules as one regular expression over letters that stand for identifiers."""
+    names = sorted({step.rstrip("?") for _, rule in licenses.RULES for step in rule} | set(ids))
+    letter = {name: chr(0x4E00 + k) for k, name in enumerate(names)}
+    rules = ["".join(letter[step.rstrip("?")] + "?" * step.endswith("?") for step in rule) for _, rule in licenses.RULES]
+    pattern = re.compile("|".join(f"({rule})" for rule in rules) + "|(.)")
+    found = list(pattern.finditer("".join(letter[i] for i in ids)))
+    return [(licenses.RULES[m.lastindex - 1][0] or "" if m.lastindex <= len(rules) else None, *m.span()) for m in found]
+
+
+def test_rules_equal_brute_force():
+    rng = random.Random(4)
+    steps = sorted({step.rstrip("?") for _, rule in licenses.RULES for step in rule}) + ["unheard-of"]
+    for _ in range(300):
+        ids = []
+        while len(ids) < 30:
+            rule = rng.choice(licenses.RULES)[1]
+            ids += [s.rstrip("?") for s in rule if not s.endswith("?") or rng.random() < 0.5] if rng.random() < 0.7 else [rng.choice(steps)]
+        assert licenses.match(ids) == brute_rules(ids)
+
+
+def test_every_known_sentence_is_looked_for():
+    for name, pattern in licenses.SENTENCES:
+        plain = re.sub(r"\(\?:([^()|]*?)(?:\|[^()]*)?\)\??", r"\1", pattern)
+        plain = re.sub(r" \.{2,3}(?: |\|?$)", " x ", plain).replace(r"\d{4}", "1999").replace(r"\d ", "").replace(r"\w+", "x").replace("[sz]", "z").replace("?", "")
+        found = [s[2] for s in licenses.sentences(f"Some words.\n\n{plain}\n\nOther words.")]
+        assert found and found[0] == name, plain
+
+
+def test_licence_sentences_of_any_length():
+    gap = "word " * 200_000
+    names = ["MIT", "X11", "the 3-clause BSD", "the new BSD", "BSD-2-Clause", "GPLv3", "the terms of the LGPL v2.1", "EPL 2.0", "CC BY 4.0", "zlib", "Apache 2.0", "CC0", "GNU GPL"]
+    assert all(licenses.scan(f"It is released\nunder {name} by us.")[0] for name in names)
+    text = f"Redistribution and use in source and binary forms {gap} are permitted. " + "Neither the name of a b. Licensed under MIT or MIT.\n" * 5_000
+    began = time.monotonic()
+    spans, ids, left = licenses.scan(text)
+    assert time.monotonic() - began < 10
+    assert [s["license"] for s in spans] == ["BSD"] + ["MIT"] * 10_000 and not left
 
 
 def test_licenses_of_all_documents(documents, hard, nothing):
