@@ -7,7 +7,7 @@ points of the original text.
 
 An automaton is built once per Python worker from a broadcast list of windows. The list's size is checked
 first: items beyond ``max_item_bytes`` are dealt into shards, which are scanned one after another, each
-carrying on what the earlier ones found.
+carrying on what the earlier ones found. Only one shard's items and windows are on the driver at a time.
 """
 
 from __future__ import annotations
@@ -125,14 +125,16 @@ def _scan(batches: Iterator[pa.RecordBatch], token: str, windows, begin: bool, f
             yield pa.RecordBatch.from_arrays([ids, batch["text"], items, *places], names=["doc_id", "text", "items", "first", "last"])
 
 
-def _shards(benchmark: DataFrame, item_col: str, text_col: str, window: int, max_item_bytes: int) -> list[tuple[str, object]]:
+def _shards(benchmark: DataFrame, item_col: str, text_col: str, window: int, max_item_bytes: int) -> Iterator[tuple[str, object, bool]]:
+    """Token, broadcast windows and whether they are the last, one shard at a time; only that shard's items are on the driver."""
     items = benchmark.select(col(item_col).cast("string").alias("item_id"), col(text_col).cast("string").alias("text"))
     items = items.where("item_id is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text") + F.octet_length("item_id"))).first()[0] or 0
     shards = -(-size // max_item_bytes) or 1
     for k in range(shards):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k).collect()
-        yield uuid.uuid4().hex, benchmark.sparkSession.sparkContext.broadcast(windows_of([(r[0], r[1]) for r in part], window))
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k).distinct().collect()
+        windows = windows_of([(r[0], r[1]) for r in part], window)
+        yield uuid.uuid4().hex, benchmark.sparkSession.sparkContext.broadcast(windows), k == shards - 1
 
 
 def contaminated_words(
@@ -146,12 +148,12 @@ def contaminated_words(
     repeated items count once. An empty table on either side gives no hits.
     """
     state, begin = id_and_text(docs, id_col, text_col), True
-    shards = list(_shards(benchmark, item_col, item_text_col, window, max_item_bytes))
-    for token, windows in shards[:-1]:
+    for token, windows, last in _shards(benchmark, item_col, item_text_col, window, max_item_bytes):
+        if last:
+            return state.mapInArrow((lambda t, w, b: lambda batches: _scan(batches, t, w, b, True))(token, windows, begin), RESULT)
         step = (lambda t, w, b: lambda batches: _scan(batches, t, w, b, False))(token, windows, begin)
         state, begin = materialise(state.mapInArrow(step, STATE), "scanned"), False
-    token, windows = shards[-1]
-    return state.mapInArrow(lambda batches: _scan(batches, token, windows, begin, True), RESULT)
+        windows.destroy()  # what it found is stored, and no later stage reads it
 
 
 def drop_contaminated(
