@@ -138,7 +138,8 @@ def detect(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col:
     overall = F.array(*[F.lit((float(whole[1 + i] or 0) + 1) / (total + n)) for i in range(n)])
     joined = seen
     for key in (*LEVELS, "declared"):
-        joined = joined.join(_sums(seen, key, n), key)
+        # Stored first: both sides come straight from a shuffle, so adaptive execution can split a hot host or suffix.
+        joined = joined.join(materialise(_sums(seen, key, n), f"{key}-sums"), key)
 
     def smoothed(key: str, above: Column) -> Column:
         rest = F.zip_with(F.col(f"{key}_sum"), own, lambda s, p: F.greatest(s - p, F.lit(0.0)))

@@ -6,6 +6,7 @@ import time
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from llm.conftest import HARD
 from rillmeter.llm import decontaminate as dc
@@ -104,6 +105,8 @@ def test_decontamination_equals_brute_force(spark, hard, nothing):
     for size in (dc.MAX_ITEM_BYTES, 300):  # one automaton, then several shards
         got = dc.contaminated_words(docs, bench, max_item_bytes=size).collect()
         assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in got} == want
+    tokens = [windows for _, windows, _ in dc._shards(bench, "item_id", "text", 10, 300)]
+    assert len(tokens) > 2 and sum(len(w.value) for w in tokens[:1]) < sum(len(w.value) for w in tokens) / 2
     texts = dict(rows)
     for r in got:
         cut = [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"]]
@@ -311,6 +314,23 @@ def test_declared_language_is_found_anywhere(before, want):
     assert language.declared_language(f"{before}<p lang=fr>text</p>") == ""
 
 
+def test_a_hot_host_is_split_over_tasks(spark, documents):
+    from test_dedup import executed, small_skew
+
+    text = documents.where("lang = 'fr' and length(text) > 300").first()["text"][:300]
+    host = F.when(F.col("id") % 3 > 0, "www.hot.com").otherwise(F.concat(F.lit("h"), "id", F.lit(".net")))
+    pages = spark.range(0, 3000, 1, 8).select(F.col("id").alias("page_id"), F.concat(F.lit("http://"), host, F.lit("/")).alias("url"), F.lit(f"<p>{text}</p>").alias("html"))
+    with small_skew(spark):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+        try:
+            rows, plan = executed(language.detect(pages, documents))
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+            spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert "skew=true" in plan and len(rows) == 3000 and {r["lang"] for r in rows} == {"fr"}
+
+
 def test_too_many_languages_raise(documents):
     with pytest.raises(ValueError):
         language.fit(documents, most_languages=2)
