@@ -352,7 +352,8 @@ def _led(met: DataFrame, large: DataFrame, sets: DataFrame, percent: int) -> tup
     A component that is linked with a leader's takes its name. Names are equal only within a component, so no pair is
     left out for them; that some of a component may keep two names costs pairs, not links.
     """
-    crowd = met.join(large.hint("merge"), "token", "left_semi")
+    # Stored, so that the join can be split at a hot token and the leader is chosen from partial maxima, not from whole tokens in one task.
+    crowd = materialise(met.join(large.hint("merge"), "token", "left_semi"), "crowd")
     row = F.struct(F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("at").alias("bt"), *[F.col(p).alias(f"b{p}") for p in PARITIES])
     leader = crowd.groupBy("token").agg(F.max_by(row, F.struct("common", -F.col("id"))).alias("l")).select("token", "l.*")
     leader = materialise(leader, "token-leaders")
