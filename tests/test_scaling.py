@@ -1,3 +1,5 @@
+from statistics import NormalDist
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -60,6 +62,18 @@ def test_lambda_equals_grid_search(features):
         assert lam == pytest.approx(numpy_lambda(pdf[pdf.hemisphere == h][c].to_numpy()), abs=1e-5)
 
 
+def test_lambda_just_inside_the_first_bracket(spark):
+    """Of normal values under the inverse transform the lambda is known. One between the first bracket's end and the candidate
+    next to it is passed by the bracket that moves outwards, which must then not move back past it."""
+    y = np.array([NormalDist().inv_cdf((i + 0.5) / 500) for i in range(500)]) * 0.01 + 0.15
+    near = {f"h{i}": lam for i, lam in enumerate((-1.97, -1.86, -1.78, -9.9, 1.8, 1.95, 9.9))}
+    values = {h: (1 + lam * (y if lam > 0 else y / 3)) ** (1 / lam) - 1 for h, lam in near.items()}
+    rows = [(h, float(v)) for h, x in values.items() for v in x]
+    found = fit_lambdas(spark.createDataFrame(rows, "hemisphere STRING, water_usage_cv DOUBLE"), ["water_usage_cv"])
+    assert {h: lam for (h, _), lam in found.items()} == pytest.approx({h: numpy_lambda(x) for h, x in values.items()}, abs=1e-4)
+    assert {h: lam for (h, _), lam in found.items()} == pytest.approx(near, abs=0.1)
+
+
 def test_power_scaled_columns_are_standardised(features):
     df, _ = features
     scaled = scale(df, fit_power(df), POWER_COLUMNS).groupBy("hemisphere").agg(
