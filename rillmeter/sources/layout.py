@@ -151,8 +151,13 @@ def load_inputs(spark: SparkSession, base_dir: str, hemispheres: Sequence[str] =
 
 
 def usage_matrix(usage: DataFrame, days: int = 365) -> DataFrame:
-    """Long to wide: one row per household, ``column_0`` onwards; unobserved days are NULL."""
-    wide = usage.groupBy(*KEYS).pivot("day_index", list(range(days))).agg(F.first(F.col("liters").cast("float")))
+    """Long to wide: one row per household, ``column_0`` onwards; unobserved days are NULL.
+
+    Readings are moved to their household's task first. Widened where they lie, every task would send a whole
+    year for each household it knows a day of: households times tasks.
+    """
+    moved = usage.select(*KEYS, "day_index", F.col("liters").cast("float").alias("liters")).repartition(*[F.col(k) for k in KEYS])
+    wide = moved.groupBy(*KEYS).pivot("day_index", list(range(days))).agg(F.first("liters"))
     return wide.toDF(*KEYS, *[f"column_{d}" for d in range(days)])
 
 
@@ -160,19 +165,24 @@ def write_positional(inputs: Inputs, out_dir: str, hemispheres: Sequence[str] =
     """Write the positional layout.
 
     Households and usage rows are both sorted by key across all part files, so
-    their order agrees. The day table is a year long and goes to one file.
+    their order agrees. The day table is a year long and goes to one file. Usage is
+    summed and widened once for all hemispheres and stored before it is sorted, as
+    a sort by range runs what comes before it twice.
     """
+    asked = F.col("hemisphere").isin(list(hemispheres))
+    environment = materialise(inputs.environment.where(asked), "environment")
+    keys = inputs.household.where(asked).select(*KEYS)
+    wide = materialise(keys.join(usage_matrix(inputs.usage.where(asked), days), list(KEYS), "left"), "wide")
     for h in hemispheres:
         own = F.col("hemisphere") == h
         household = inputs.household.where(own)
         household.select(*HOUSEHOLD_SCHEMA.fieldNames()).orderBy("household_id").write.mode("overwrite").csv(
             f"{out_dir}/{h}_household.csv", header=True
         )
-        inputs.environment.where(own).orderBy("day_index").select(*ENVIRONMENT_SCHEMA.fieldNames()).coalesce(1).write.mode(
+        environment.where(own).orderBy("day_index").select(*ENVIRONMENT_SCHEMA.fieldNames()).coalesce(1).write.mode(
             "overwrite"
         ).csv(f"{out_dir}/{h}_environment.csv", header=True)
-        matrix = household.select(*KEYS).join(usage_matrix(inputs.usage.where(own), days), list(KEYS), "left")
-        matrix.orderBy("household_id").drop(*KEYS).write.mode("overwrite").parquet(f"{out_dir}/{h}_water_usage.parquet")
+        wide.where(own).orderBy("household_id").drop(*KEYS).write.mode("overwrite").parquet(f"{out_dir}/{h}_water_usage.parquet")
 
 
 def write_keyed(df: DataFrame, path: str) -> None:

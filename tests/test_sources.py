@@ -2,6 +2,7 @@ import pytest
 from fixtures import inputs
 from pyspark.sql import functions as F
 
+from rillmeter.functions.expressions import rounded
 from rillmeter.operators.features import features_of
 from rillmeter.operators.quality import Expectations
 from rillmeter.plans.clustering import train_clusters
@@ -119,3 +120,17 @@ def test_row_numbers_survive_changed_parallelism(spark, tmp_path):
         for key in settings:
             spark.conf.unset(key)
     assert len(rows) == 40_000 and all(r["v"] == r["row_number"] for r in rows)
+
+
+def test_readings_are_moved_once_to_become_wide(spark):
+    """Widened before they are moved, a year for every household and task would be sent."""
+    panel = inputs(spark, {"a": [1, None, 3], "b": [4, 5, 6]}, [0, 0, 0])
+    wide = layout.usage_matrix(panel.usage, 3)
+    assert wide._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(tuple(r)[1:] for r in wide.collect()) == [("a", 1.0, None, 3.0), ("b", 4.0, 5.0, 6.0)]
+
+
+def test_rounding_keeps_what_is_no_number(spark):
+    values = [-0.0, -1e-9, 0.0, 1.2345675, -2.5e-6, float("inf"), None]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "x DOUBLE").select(rounded(F.col("x"))).collect()]
+    assert [str(x) for x in got] == ["0.0", "0.0", "0.0", "1.234568", "-3e-06", "inf", "None"]
