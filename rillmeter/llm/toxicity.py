@@ -33,6 +33,8 @@ from rillmeter.session import materialise
 
 #: Most labelled rows of each class the model is fitted on (those with the smallest hash of their doc_id).
 MAX_TOXIC, MAX_CLEAN = 6_000, 10_000
+#: Terms a task counts in Python before it hands them on to be summed.
+HELD_TERMS = 100_000
 #: Most states of one product automaton; a lexicon that needs more has several.
 MAX_STATES = 20_000
 FOLDS = 5
@@ -230,7 +232,7 @@ def find_words(texts: list[str], automata: list[Automaton]) -> tuple[np.ndarray,
     """
     lengths = np.array([len(t) + 1 for t in texts], np.int64)
     points = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
-    points = np.minimum(points, (1 << 16) - 1)
+    points = np.minimum(points, (1 << 16) - 1).astype(np.uint16)
     alnum = _ALNUM[points]
     word = alnum.copy()
     word[1:-1] |= _SYMBOL[points[1:-1]] & alnum[:-2] & alnum[2:]
@@ -241,10 +243,9 @@ def find_words(texts: list[str], automata: list[Automaton]) -> tuple[np.ndarray,
     words = np.bincount(owner, minlength=len(texts))
     hits = [(np.zeros(0, np.int64),) * 3]
     for automaton in automata:
-        symbols = automaton.classes[points]
         live, state, at = np.arange(len(starts)), np.ones(len(starts), np.int32), starts.copy()
         while len(live):
-            state = automaton.moves[state, symbols[at]]
+            state = automaton.moves[state, automaton.classes[points[at]]]
             at = at + 1
             done = at == ends[live]
             found = done & (automaton.entry[state] >= 0)
@@ -374,12 +375,7 @@ def without_copies(sample: DataFrame) -> DataFrame:
     return keyed.join(F.broadcast(copies), ["doc_id", "held", "toxic"], "left_anti")
 
 
-def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with each term, by class."""
-    counts = {0: Counter(), 1: Counter()}
-    for batch in batches:
-        for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist()):
-            counts[toxic].update(_terms(text))
+def _counted_terms(counts: dict[int, Counter]) -> Iterator[pa.RecordBatch]:
     names = [t for t in counts[1]] + [t for t in counts[0] if t not in counts[1]]
     for i in range(0, len(names), 50_000):
         some = names[i : i + 50_000]
@@ -389,6 +385,18 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with each term, by class; a term comes again whenever HELD_TERMS were counted, so a task holds no more."""
+    counts = {0: Counter(), 1: Counter()}
+    for batch in batches:
+        for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist()):
+            counts[toxic].update(_terms(text))
+            if len(counts[0]) + len(counts[1]) > HELD_TERMS:
+                yield from _counted_terms(counts)
+                counts = {0: Counter(), 1: Counter()}
+    yield from _counted_terms(counts)
+
+
 def term_counts(rows: DataFrame) -> DataFrame:
     """term, toxic, clean: in how many texts of each class a term is. Every row counts."""
     spread = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(_term_counts, "term string, toxic long, clean long")

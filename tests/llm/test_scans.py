@@ -5,6 +5,7 @@ import re
 import time
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -204,6 +205,26 @@ def model(spark, documents, sf_dir):
     return toxicity.fit(documents, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def test_term_counts_are_handed_on_while_rows_come(monkeypatch):
+    """What a task counts must not grow with the words of its rows."""
+    monkeypatch.setattr(toxicity, "HELD_TERMS", 1_000, raising=False)
+    read, ahead, got = [], [], Counter()
+    texts = [f"same {' '.join(f'w{chr(97 + i)}{chr(97 + j)}{chr(97 + k)}x' for j in range(10) for k in range(10))}" for i in range(20)]
+
+    def batches():
+        for i, text in enumerate(texts):
+            read.append(i)
+            yield pa.RecordBatch.from_pydict({"text": [text, text], "toxic": [i % 2, 0]})
+
+    for out in toxicity._term_counts(batches()):
+        ahead.append(len(read))
+        for r in out.to_pylist():
+            got[r["term"], 1] += r["toxic"]
+            got[r["term"], 0] += r["clean"]
+    assert ahead[0] < 10
+    assert +got == Counter((t, kind) for i, text in enumerate(texts) for kind in (i % 2, 0) for t in toxicity._terms(text))
+
+
 def test_toxicity_holds_on_held_out_rows(spark, documents, sf_dir, model):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rows = toxicity.toxicity(documents, model).join(labels, "doc_id").collect()
