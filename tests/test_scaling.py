@@ -74,6 +74,22 @@ def test_lambda_just_inside_the_first_bracket(spark):
     assert {h: lam for (h, _), lam in found.items()} == pytest.approx(near, abs=0.1)
 
 
+def test_lambda_of_columns_that_lie_close_together_far_from_zero(spark):
+    """The transformed values agree in all but a few digits there, and so did the likelihoods of their lambdas."""
+    rng = np.random.default_rng(3)
+    skew = lambda n: (rng.gamma(20, 1, n) - 20) / 20**0.5
+    values = {"a": 0.67 + 0.0067 * skew(500), "b": 2 + 0.02 * skew(500), "c": -0.67 - 0.0067 * skew(500), "d": 0.116 + 0.00116 * skew(3000)}
+    rows = [(h, float(v)) for h, x in values.items() for v in x]
+    found = fit_lambdas(spark.createDataFrame(rows, "hemisphere STRING, water_usage_cv DOUBLE"), ["water_usage_cv"])
+    for h, x in values.items():
+        gain = np.log1p(np.abs(x))
+        gain -= gain.mean()  # the likelihood does not change by the factor this takes away, but for a constant
+        power = lambda lam: lam if h != "c" else 2 - lam
+        score = lambda lam: -len(x) / 2 * np.log((np.expm1(gain * power(lam)) / power(lam)).var())
+        lam = found[h, "water_usage_cv"]
+        assert score(lam) > max(score(lam - 0.05), score(lam + 0.05)) and abs(power(lam)) > 10
+
+
 def test_power_scaled_columns_are_standardised(features):
     df, _ = features
     scaled = scale(df, fit_power(df), POWER_COLUMNS).groupBy("hemisphere").agg(
