@@ -5,11 +5,11 @@ register keeps the count of leading zeros and ten bits after them: 128 registers
 
 1. Documents with equal shingle sets are one class; from here on one row stands for a class.
 2. Registers are cut into bands. Documents of a band bucket are each paired with the bucket's first member
-   only, so a bucket of m gives m - 1 pairs. Pairs are dropped when the sizes rule out the threshold or when
+   only, so a bucket of m gives m - 1 pairs; in a bucket of at most ``SMALL`` all are paired with each other. Pairs are dropped when the sizes rule out the threshold or when
    the collision-corrected estimate is below ``cut`` (the threshold less ``SIGMAS`` standard errors); the rest
    are confirmed on full sets, and links make components.
-3. Buckets that still hold several components may hide links between members that are not first. Their
-   members are joined exactly, by prefixes: two sets that reach the threshold share a shingle among the first
+3. Larger buckets whose members but the first are still of several components may hide links between those. They
+   are joined exactly, by prefixes: two sets that reach the threshold share a shingle among the first
    ``n - ceil(t * n) + 1`` of each, in any fixed order, and its places there and the parities of
    256 cells bound what they share. Rare shingles come first (by a counting table of fixed
    size), so passages and lines that many documents share are in no prefix. Only pairs between different
@@ -47,6 +47,8 @@ _REST = 57
 BANDS = ((1, 20, 8), (13, 80, 16), (52, 1 << 62, 32))
 FEW = 20
 SIGMAS = 6
+#: Most members of a bucket that are all paired, which gives fewer than half as many pairs a row.
+SMALL = 8
 #: Counters that order shingles by frequency: 4 MB, whatever the corpus holds.
 COUNTERS = 1 << 20
 PARITIES = ("p0", "p1", "p2", "p3")
@@ -259,27 +261,34 @@ def near_dedup(
     banded = classes.select("id", "n", "regs", "heads").mapInArrow(_banded, "key long, id long, n long")
     # Here and below, what is grouped by a key is stored before rows are joined back to it: adaptive execution can
     # split a hot key only where both sides of the join come straight from a shuffle.
-    leaders = banded.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    leaders = banded.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1")
     leaders = materialise(leaders, "leaders")
     members = materialise(banded.join(leaders.hint("merge"), "key"), "members")
 
     sizes = materialise(classes.groupBy("id").agg(F.max("n").alias("n")), "sizes")
     close = f"100 * least(n, nb) >= {percent} * greatest(n, nb)"
+    few = members.where(f"m between 3 and {SMALL} and id <> leader")  # with the leader they are paired below
+    among = (
+        few.select("key", F.col("id").alias("a"), "n").hint("merge")
+        .join(few.select("key", F.col("id").alias("b"), F.col("n").alias("nb")), "key").where(f"a > b and {close}").select("a", "b")
+    )
     star = (
         members.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b"), "n").distinct()
         .join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")).hint("merge"), "b").where(close).select("a", "b")
-    )
+    ).union(among).distinct()
     left = classes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
     right = classes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
     probable = materialise(
         star.join(left, "a").join(right, "b").mapInArrow(lambda b: _probable(b, percent / 100), "a long, b long").distinct(),
         "probable",
     )
-    sets = materialise(_texts_of(texts, members, words), "sets")  # the only time that texts are shuffled
+    crowds = members.where(f"m > {SMALL} and id <> leader").select("key", "id")
+    wanted = crowds.select("id").union(probable.select("a")).union(probable.select("b"))
+    sets = materialise(_texts_of(texts, wanted, words), "sets")  # the only time that texts are shuffled
     links = materialise(_confirmed(probable, sets, percent), "star-links")
     found = materialise(components(links), "components")
 
-    labelled = members.select("key", "id").join(found.select(F.col("node").alias("id"), "component"), "id", "left")
+    labelled = crowds.join(found.select(F.col("node").alias("id"), "component"), "id", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "id"))
     open_keys = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
     open_keys = materialise(open_keys, "open-keys")

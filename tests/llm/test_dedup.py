@@ -208,3 +208,30 @@ def test_crowds_of_near_copies_meet_leaders(spark, monkeypatch):
         monkeypatch.setattr(hm, "ROUNDS", rounds)
         found = hm.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
         assert {x["doc_id"]: x["component_id"] for x in found.collect()} == want
+
+
+def test_members_that_met_are_not_joined_again(spark, monkeypatch):
+    """Buckets of two or three unlinked texts: all their pairs were tested, nothing is left for the prefix join."""
+    r = random.Random(13)
+    rows = []
+    for k in range(120):
+        base = [f"w{r.randrange(10**9)}" for _ in range(60)]
+        for c in range(2 + k % 2):
+            text = list(base)
+            for at in r.sample(range(60), 3):
+                text[at] = f"x{r.randrange(10**9)}"
+            rows.append((len(rows), " ".join(text)))
+    left = []
+    whole = hm._prefix_links
+
+    def counted(spark, sets, rest, *more):
+        left.append(rest.count())
+        return whole(spark, sets, rest, *more)
+
+    monkeypatch.setattr(hm, "_prefix_links", counted)
+    want = {i: c for i, _, c in brute_components(rows, 4, 80)}
+    for small in (8, 0):  # with 0, only the leaders' pairs are tested before the prefix join
+        monkeypatch.setattr(hm, "SMALL", small)
+        found = hm.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), words=4)
+        assert {x["doc_id"]: x["component_id"] for x in found.collect()} == want
+    assert left[0] == 0 < left[1]
