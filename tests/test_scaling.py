@@ -138,6 +138,21 @@ def test_constant_power_column_keeps_lambda_one(features):
     assert fit_lambdas(flat)["north", "water_usage_cv"] == 1.0
 
 
+def test_power_column_constant_but_for_rounding_keeps_lambda_one(spark):
+    """Households of the same habits: their ratios agree, but the sums behind them were rounded differently."""
+    rng = np.random.default_rng(4)
+    values = {
+        "a": [0.4, float(np.nextafter(0.4, 1))] * 20,
+        "b": (0.4 * (1 + rng.integers(-3, 4, 500) * 2.0**-52)).tolist(),
+        "c": (-0.3 * (1 + rng.integers(-9, 10, 200) * 2.0**-52)).tolist(),
+    }
+    rows = [(h, f"{h}{i}", v) for h, x in values.items() for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "hemisphere STRING, household_id STRING, water_usage_cv DOUBLE")
+    params = fit_power(df, ["water_usage_cv"])
+    assert {r["hemisphere"]: r["lambda"] for r in params.collect()} == dict.fromkeys("abc", 1.0)
+    assert scale(df, params, ["water_usage_cv"]).agg(F.max(F.abs("water_usage_cv"))).first()[0] < 1e-13
+
+
 def test_final_four(features):
     df, _ = features
     final = reduce_collinear(scale(df, fit_robust(df), SCALED_ORDER))
